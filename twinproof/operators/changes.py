@@ -7,7 +7,7 @@ columns and the after-image columns. Later positions win; equal work twice chang
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +37,7 @@ def route(
     table = F.when(F.col(topic).rlike(pattern), F.regexp_extract(topic, pattern, 1))
     out = changes.withColumn("table", table)
     allowed = F.col("table").isin(*include) if include is not None else F.lit(True)
-    return out.withColumn("routed", F.col("table").isNotNull() & allowed)
+    return out.withColumn("routed", F.coalesce(F.col("table").isNotNull() & allowed, F.lit(False)))
 
 
 def latest_per_key(changes: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
@@ -87,9 +87,14 @@ def high_waters(applied: DataFrame, pos: str = "pos") -> DataFrame:
     return applied.groupBy("table").agg(F.max(pos).alias("high_water"))
 
 
-def after_high_water(changes: DataFrame, marks: DataFrame, pos: str = "pos") -> DataFrame:
-    """Changes after their own table's mark; a table added later brings its own snapshot mark."""
-    return changes.join(marks, "table").filter(quoted(pos) > F.col("high_water")).drop("high_water")
+def after_high_water(changes: DataFrame, marks: Mapping[str, int], pos: str = "pos") -> DataFrame:
+    """Changes after their own table's mark; a table added later brings its own snapshot mark.
+
+    ``marks`` has one number per replicated table, like the table list itself. Tables without
+    a mark have no snapshot yet and yield nothing.
+    """
+    entries = F.create_map(*[F.lit(x) for kv in marks.items() for x in kv])
+    return changes.filter(quoted(pos) > F.try_element_at(entries, F.col("table")))
 
 
 def apply_multiset(
