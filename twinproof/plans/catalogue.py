@@ -1,6 +1,6 @@
 """Everything that is registered."""
 
-from twinproof.plans import parity, stream_plans  # noqa: F401
+from twinproof.plans import fleet_plans, monitor_plans, parity, stream_plans  # noqa: F401
 from twinproof.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

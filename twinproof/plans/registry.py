@@ -47,7 +47,7 @@ class Derived:
         where = f" WHERE {self.where}" if self.where else ""
         return f"{self.name} AS (SELECT {cols} FROM {self.table}{where})".replace(" DIV ", " // ")
 
-    def but(self, name: str, where: str | None = None, **columns: str) -> "Derived":
+    def but(self, name: str, /, where: str | None = None, **columns: str) -> "Derived":
         """A variant with other expressions or another filter."""
         return Derived(name, self.table, {**self.columns, **columns}, where or self.where)
 
