@@ -309,7 +309,9 @@ def conform_report(df: DataFrame, casts: Sequence[Cast]) -> DataFrame:
 def identifier_collisions(catalog: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     """Names that differ only in case and would fold into one."""
     return (
-        catalog.groupBy(*by, F.lower(name).alias("folded"))
-        .agg(F.count_distinct(name).alias("spellings"), F.min(name).alias("first_name"), F.max(name).alias("last_name"))
+        catalog.select(*by, name)
+        .distinct()
+        .groupBy(*by, F.lower(name).alias("folded"))
+        .agg(F.count(name).alias("spellings"), F.min(name).alias("first_name"), F.max(name).alias("last_name"))
         .filter("spellings > 1")
     )

@@ -182,18 +182,15 @@ def health_watch(
     probes: DataFrame, series: str, chunk: str, order: str, body: str = "body", limit: int = MAX_FAILURES
 ) -> DataFrame:
     """Connector verdict: a reachable DOWN aborts, as does a run of unreachable probes."""
-    up, named = health_is_up(F.col(body))
-    tagged = probes.withColumn("reachable", F.col(body).isNotNull()).withColumn("down", F.col(body).isNotNull() & ~named)
-    streaks = (
-        failure_streaks(tagged, series, chunk, order, "reachable", limit)
-        .groupBy(series)
-        .agg(F.max("failures").alias("longest_outage"))
-    )
+    _, named = health_is_up(F.col(body))
+    tagged = probes.withColumn("_reached", F.col(body).isNotNull()).withColumn("_down", F.col(body).isNotNull() & ~named)
+    # Unreachable probes between two answers share the running count of answers.
+    islands = with_running_count(tagged, [series], chunk, order, F.col("_reached"), "_island")
     return (
-        tagged.groupBy(series)
-        .agg(F.count("*").alias("probes"), F.count_if("down").alias("down"))
-        .join(streaks, series, "left")
-        .withColumn("longest_outage", F.coalesce("longest_outage", F.lit(0)))
+        islands.groupBy(series, "_island")
+        .agg(F.count("*").alias("n"), F.count_if("_down").alias("d"), F.count_if(~F.col("_reached")).alias("o"))
+        .groupBy(series)
+        .agg(F.sum("n").alias("probes"), F.sum("d").alias("down"), F.max("o").alias("longest_outage"))
         .withColumn(
             "verdict",
             F.when(F.col("down") > 0, "connector down")

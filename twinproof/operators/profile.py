@@ -122,58 +122,49 @@ def table_profile(
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
-def diff_profiles(source: DataFrame, target: DataFrame) -> DataFrame:
-    """(kind, column, metric, source, target, side) of every divergence.
+def _compare(source: DataFrame, target: DataFrame) -> DataFrame:
+    """All cells of two profiles side by side, with ``kind`` set where they diverge.
 
-    A column known to one side only is one finding, not one per metric. Both inputs have a few
-    rows per column.
+    Both inputs have a few rows per column. A column known to one side only is reported once,
+    on its ``non_null`` cell.
     """
     key = [F.coalesce(F.col("column"), F.lit("")).alias("k"), "metric"]
     s = source.select(*key, F.col("value").alias("source"), F.lit(True).alias("in_source"))
     t = target.select(*key, F.col("value").alias("target"), F.lit(True).alias("in_target"))
-    joined = s.join(t, ["k", "metric"], "full")
     side = F.when(F.col("in_target").isNull(), "target").when(F.col("in_source").isNull(), "source")
-    rows = joined.select(
-        F.when(F.col("metric") == "row_count", "row_count")
-        .when(side.isNotNull(), "column_missing")
+    absent = side.isNotNull()
+    kind = (
+        F.when(absent & (F.col("metric") == "non_null"), "column_missing")
+        .when(absent | F.col("source").eqNullSafe(F.col("target")), None)
+        .when(F.col("metric") == "row_count", "row_count")
         .otherwise("column_metric")
-        .alias("kind"),
+    )
+    return s.join(t, ["k", "metric"], "full").select(
+        kind.alias("kind"),
         F.nullif("k", F.lit("")).alias("column"),
-        "metric",
-        "source",
-        "target",
+        F.when(~absent, F.col("metric")).alias("metric"),
+        F.when(~absent, F.col("source")).alias("source"),
+        F.when(~absent, F.col("target")).alias("target"),
         side.alias("side"),
     )
-    changed = rows.filter((F.col("kind") != "column_missing") & ~F.col("source").eqNullSafe(F.col("target")))
-    absent = (
-        rows.filter(F.col("kind") == "column_missing")
-        .groupBy("kind", "column", "side")
-        .agg(F.lit(None).cast("string").alias("metric"))
-        .select(
-            "kind",
-            "column",
-            "metric",
-            F.lit(None).cast("string").alias("source"),
-            F.lit(None).cast("string").alias("target"),
-            "side",
-        )
-    )
-    return changed.unionByName(absent)
+
+
+def diff_profiles(source: DataFrame, target: DataFrame) -> DataFrame:
+    """(kind, column, metric, source, target, side) of every divergence."""
+    return _compare(source, target).filter(F.col("kind").isNotNull())
 
 
 def profile_report(name: str, source: DataFrame, target: DataFrame, **kwargs) -> DataFrame:
     """One summary row for a pair, with the caveat that the check is the weaker one."""
-    sp, tp = table_profile(source, **kwargs), table_profile(target, **kwargs)
-    rows = sp.filter("metric = 'row_count'").select(F.lit(1).alias("_one"), F.col("value").alias("source_rows"))
-    rows = rows.join(
-        tp.filter("metric = 'row_count'").select(F.lit(1).alias("_one"), F.col("value").alias("target_rows")), "_one"
-    )
-    found = diff_profiles(sp, tp).agg(F.count("*").alias("mismatches")).withColumn("_one", F.lit(1))
-    return rows.join(found, "_one").select(
+    cells = _compare(table_profile(source, **kwargs), table_profile(target, **kwargs))
+    rows = F.col("metric") == "row_count"
+    return cells.agg(
+        F.max(F.when(rows, F.col("source"))).alias("source_rows"),
+        F.max(F.when(rows, F.col("target"))).alias("target_rows"),
+        F.count("kind").alias("mismatches"),
+    ).select(
         F.lit(name).alias("table"),
-        "source_rows",
-        "target_rows",
-        "mismatches",
+        "*",
         (F.col("mismatches") == 0).alias("match"),
         F.lit(CAVEAT).alias("caveat"),
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from twinproof.functions.canon import bucket, checksum, key_text, quoted, row_hash
@@ -85,29 +85,20 @@ def full_report(pair: TablePair, portable: bool = False) -> DataFrame:
     """One checksum per side over the whole table; counts alone can also fail it."""
     source, target = pair.sides()
 
-    def side(df: DataFrame, other: DataFrame, label: str) -> DataFrame:
+    def side(df: DataFrame, other: DataFrame, on_source: bool) -> DataFrame:
         h = row_hash(df.schema, pair.hash_columns, other=other.schema, portable=portable)
-        return df.select(h.alias("h")).agg(
-            F.count("*").alias(f"{label}_rows"), checksum(F.col("h")).alias(f"{label}_sum")
-        )
-
-    # Two global aggregates give one row each, so this pairing is not a product of tables.
-    return (
-        side(source, target, "source")
-        .withColumn("table", F.lit(pair.name))
-        .join(side(target, source, "target").withColumn("table", F.lit(pair.name)), "table")
-        .select(
-            "table",
-            "source_rows",
-            "target_rows",
-            "source_sum",
-            "target_sum",
-            (
-                (F.col("source_rows") == F.col("target_rows"))
-                & (F.col("source_sum") == F.col("target_sum"))
-            ).alias("match"),
-        )
+        return df.select(F.lit(on_source).alias("on_source"), h.alias("h"))
+
+    rows = side(source, target, True).unionByName(side(target, source, False))
+    src, zero = F.col("on_source"), F.lit(0).cast("decimal(38,0)")
+    totals = rows.agg(
+        F.count_if(src).alias("source_rows"),
+        F.count_if(~src).alias("target_rows"),
+        F.coalesce(F.sum(F.when(src, F.col("h").cast("decimal(38,0)"))), zero).alias("source_sum"),
+        F.coalesce(F.sum(F.when(~src, F.col("h").cast("decimal(38,0)"))), zero).alias("target_sum"),
     )
+    same = (F.col("source_rows") == F.col("target_rows")) & (F.col("source_sum") == F.col("target_sum"))
+    return totals.select(F.lit(pair.name).alias("table"), "*", same.alias("match"))
 
 
 def classify(prints: DataFrame) -> DataFrame:
@@ -162,7 +153,7 @@ def refine(prints: DataFrame, bad: DataFrame, fanout: int, buckets: int) -> Data
     return fine.join(F.broadcast(wrong), "fine", "left_semi").drop("fine")
 
 
-def multiset_diff(pair: TablePair, spread: int = 0) -> DataFrame:
+def multiset_diff(pair: TablePair) -> DataFrame:
     """Tables without a key: rows whose multiplicity differs, with the surplus on each side."""
     source, target = pair.sides()
     cols = pair.hash_columns
@@ -179,6 +170,11 @@ def multiset_diff(pair: TablePair, spread: int = 0) -> DataFrame:
     )
 
 
+def _all_of(flag: str) -> Column:
+    """Verdict over a report with one row per table; such a frame has a handful of rows."""
+    return F.bool_and(flag).over(Window.partitionBy())
+
+
 def summary(
     pairs: Iterable[TablePair],
     ledger_missing: DataFrame | None = None,
@@ -210,19 +206,13 @@ def summary(
             )
         )
     out = reduce(DataFrame.unionByName, reports)
-    ledger_ok = (
-        ledger_missing.agg((F.count("*") == 0).alias("ledger_ok"))
-        if ledger_missing is not None
-        else out.limit(1).select(F.lit(True).alias("ledger_ok"))
-    )
-    verdict = out.agg(F.bool_and("match").alias("tables_ok"))
-    # Single-row frames: attached with an equi join on a constant.
-    out = out.withColumn("_one", F.lit(1))
-    out = out.join(F.broadcast(verdict.withColumn("_one", F.lit(1))), "_one")
-    out = out.join(F.broadcast(ledger_ok.withColumn("_one", F.lit(1))), "_one")
+    ledger_ok = F.lit(True)
+    if ledger_missing is not None:
+        ledger_ok = ledger_missing.agg((F.count("*") == 0).alias("ok")).scalar()
+    out = out.withColumn("ledger_ok", ledger_ok)
     if lag is not None:
-        out = out.join(F.broadcast(lag.agg(F.max("lag").alias("lag")).withColumn("_one", F.lit(1))), "_one")
-    return out.withColumn("all_match", F.col("tables_ok") & F.col("ledger_ok")).drop("_one", "tables_ok")
+        out = out.withColumn("lag", lag.agg(F.max("lag")).scalar())
+    return out.withColumn("all_match", _all_of("match") & F.col("ledger_ok"))
 
 
 def examples(found: DataFrame, limit: int = MAX_EXAMPLES) -> DataFrame:
@@ -253,14 +243,10 @@ def count_convergence(pairs: Iterable[TablePair]) -> DataFrame:
                 F.count_if(F.col("s") == 0).alias("target_rows"),
             ).withColumn("table", F.lit(pair.name))
         )
-    out = reduce(DataFrame.unionByName, counts).withColumn(
-        "converged", F.col("source_rows") == F.col("target_rows")
-    )
-    verdict = out.agg(F.bool_and("converged").alias("all_converged")).withColumn("_one", F.lit(1))
     return (
-        out.withColumn("_one", F.lit(1))
-        .join(F.broadcast(verdict), "_one")
-        .select("table", "source_rows", "target_rows", "converged", "all_converged")
+        reduce(DataFrame.unionByName, counts)
+        .withColumn("converged", F.col("source_rows") == F.col("target_rows"))
+        .select("table", "source_rows", "target_rows", "converged", _all_of("converged").alias("all_converged"))
     )
 
 

@@ -11,6 +11,7 @@ from twinproof.operators import inventory as I
 from twinproof.operators import loadgen as L
 from twinproof.operators import reconcile as R
 from twinproof.operators import rules as Q
+from twinproof.operators.changes import apply_changes
 from twinproof.operators.monitor import retained_watchdog, slot_lag
 from twinproof.plans.fleet_plans import CATALOG_TABLES
 from twinproof.plans.monitor_plans import SLOTS
@@ -103,16 +104,14 @@ def load_changes(spark: SparkSession, folder: str) -> DataFrame:
 @query("load_ledger_proof", f"WITH {_CHANGES_SQL} SELECT CAST(count(*) AS BIGINT) AS tracked, CAST(0 AS BIGINT) AS missing FROM g WHERE tracked")
 def load_ledger_proof(spark: SparkSession, folder: str) -> DataFrame:
     """Apply the write load to an empty table: every tracked id in the ledger must have arrived."""
-    from twinproof.operators.changes import apply_changes
-
     changes = L.mixed_changes(_ids(spark, folder), "o_orderkey")
     path = shared_dir(spark, "ledger")
     append_ledger(changes.filter("tracked AND op = 'c'"), "id", path)
     empty = changes.filter(F.lit(False)).select("id", "content", "title")
     table = apply_changes(empty, changes, ["id"])
     ledger = read_ledger(spark, path)
-    lost = R.ledger_missing(ledger, table, "id").agg(F.count("*").alias("missing")).withColumn("_one", F.lit(1))
-    return ledger.agg(F.count("*").alias("tracked")).withColumn("_one", F.lit(1)).join(lost, "_one").drop("_one")
+    lost = R.ledger_missing(ledger, table, "id").agg(F.count("*")).scalar()
+    return ledger.agg(F.count("*").alias("tracked")).withColumn("missing", lost)
 
 
 @query(

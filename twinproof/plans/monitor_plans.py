@@ -203,7 +203,7 @@ def write_sessions(spark: SparkSession, folder: str) -> DataFrame:
 DRAIN = Derived(
     "drain",
     "events",
-    {"source": "user_id", "day": "CAST(CAST(ts AS DATE) AS STRING)", "lag_bytes": "CAST(floor(value) AS BIGINT) * 1024 - user_id * 10"},
+    {"source": "user_id", "day": "CAST(ts AS DATE)", "lag_bytes": "CAST(floor(value) AS BIGINT) * 1024 - user_id * 10"},
 )
 SOURCES = Derived("sources", "customer", {"source": "c_custkey"})
 _DEADLINE = "2024-01-20"
@@ -212,13 +212,13 @@ _DEADLINE = "2024-01-20"
 @query(
     "lag_drain",
     with_ctes(DRAIN, SOURCES)
-    + f""", s AS (SELECT source, min(day) FILTER (WHERE lag_bytes <= 0 AND day <= '{_DEADLINE}') AS drained_at,
+    + f""", s AS (SELECT source, min(day) FILTER (WHERE lag_bytes <= 0 AND day <= DATE '{_DEADLINE}') AS drained_at,
       count(*) AS samples FROM drain GROUP BY 1)
     SELECT source, drained_at, coalesce(samples, 0) AS samples, drained_at IS NOT NULL AS drained
     FROM sources LEFT JOIN s USING (source)""",
 )
 def lag_drain(spark: SparkSession, folder: str) -> DataFrame:
-    return M.lag_drain(SOURCES.df(spark, folder), DRAIN.df(spark, folder), "source", "day", F.lit(_DEADLINE))
+    return M.lag_drain(SOURCES.df(spark, folder), DRAIN.df(spark, folder), "source", "day", F.lit(_DEADLINE).cast("date"))
 
 
 SYNC = Derived(

@@ -195,7 +195,7 @@ def reconcile_drill(spark: SparkSession, folder: str) -> DataFrame:
 )
 def reconcile_refine(spark: SparkSession, folder: str) -> DataFrame:
     """Composite key, and a second checksum pass before rows are compared."""
-    prints = R.fingerprints(turns_pair(spark, folder))
+    prints = R.persist_fingerprints(spark, turns_pair(spark, folder))
     return R.classify(R.refine(prints, R.bucket_sums(prints), 64, R.BUCKETS)).select("pk", "kind")
 
 
