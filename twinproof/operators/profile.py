@@ -63,41 +63,58 @@ def category_of_name(type_name: Column) -> Column:
     )
 
 
-def _exact_sum(col: Column, dtype: T.DataType) -> Column:
-    """Sum that does not depend on row order, at six decimals for fractional columns."""
+def _limbs(value: Column) -> list[tuple[Column, int]]:
+    """A long as three 21-bit limbs; their long sums stay exact for 10^12 rows."""
+    mask = F.lit((1 << 21) - 1)
+    return [
+        (F.shiftright(value, 42), 1 << 42),
+        (F.shiftright(value, 21).bitwiseAND(mask), 1 << 21),
+        (value.bitwiseAND(mask), 1),
+    ]
+
+
+def _limb_sum(value: Column) -> Column:
+    """Exact sum of a long column, without a wide decimal per row."""
+    parts = [F.sum(v).cast("decimal(20,0)") * F.lit(w).cast("decimal(14,0)") for v, w in _limbs(value)]
+    return (parts[0] + parts[1] + parts[2]).cast("decimal(38,0)")
+
+
+def _helpers(i: int, col: Column, dtype: T.DataType, trim_blanks: bool) -> dict[str, Column]:
+    """Per-row values that several metrics of a column share, computed once below the aggregate."""
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         # Most values fit a scaled long, which is several times cheaper than a wide decimal.
         small = F.abs(col) < F.lit(_LONG_SAFE)
-        micros = F.when(small, F.rint(col * F.lit(1e6)).cast("bigint"))
-        # Three 21-bit limbs: their long sums stay exact for 10^12 rows.
-        limb = (1 << 21) - 1
-        parts = (
-            (F.shiftright(micros, 42), 1 << 42),
-            (F.shiftright(micros, 21).bitwiseAND(F.lit(limb)), 1 << 21),
-            (micros.bitwiseAND(F.lit(limb)), 1),
-        )
-        exact = sum(
-            (F.sum(v).cast("decimal(20,0)") * F.lit(w).cast("decimal(14,0)") for v, w in parts[1:]),
-            F.sum(parts[0][0]).cast("decimal(20,0)") * F.lit(parts[0][1]).cast("decimal(14,0)"),
-        ).cast("decimal(38,0)")
-        scaled = (exact.cast("decimal(31,0)") * F.expr("cast(0.000001 as decimal(7,6))")).cast(_SCALED)
-        large = F.sum(F.when(~small, col.try_cast(_SCALED)))
-        return F.coalesce(scaled + large, scaled, large).cast(_SCALED)
-    if isinstance(dtype, T.DecimalType):
-        return F.sum(col).cast(_SCALED)
-    return F.sum(col.cast("decimal(38,0)"))
-
-
-def _metric(name: str, col: Column, dtype: T.DataType, trim_blanks: bool) -> Column:
-    fractional = isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType))
+        return {
+            f"v{i}": col,
+            f"m{i}": F.when(small, F.rint(col * F.lit(1e6)).cast("bigint")),
+            f"w{i}": F.when(~small, col.try_cast(_SCALED)),
+        }
+    if category(dtype) == TEXT:
+        return {f"v{i}": F.length(F.rtrim(col) if trim_blanks else col)}
+    if category(dtype) in (TEMPORAL, BOOLEAN, OTHER):
+        return {f"v{i}": col.isNotNull()}
+    return {f"v{i}": col}
+
+
+def _metric(i: int, name: str, dtype: T.DataType) -> Column:
+    """One metric over the helper columns, as text."""
+    v = F.col(f"v{i}")
     if name == "non_null":
-        return F.count(col).cast("string")
-    if name == "sum":
-        return _exact_sum(col, dtype).cast("string")
+        return (F.count_if(v) if category(dtype) in (TEMPORAL, BOOLEAN, OTHER) else F.count(v)).cast("string")
+    if name == "char_len_sum":
+        return F.sum(v).cast("string")
+    fractional = isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType))
     if name in ("min", "max"):
-        bound = F.min(col) if name == "min" else F.max(col)
+        bound = F.min(v) if name == "min" else F.max(v)
         return (bound.try_cast(_SCALED) if fractional else bound).cast("string")
-    return F.sum(F.length(F.rtrim(col) if trim_blanks else col)).cast("string")
+    if isinstance(dtype, T.DecimalType):
+        return F.sum(v).cast(_SCALED).cast("string")
+    if not fractional:
+        return _limb_sum(v.cast("bigint")).cast("string")
+    millionth = F.expr("cast(0.000001 as decimal(7,6))")
+    scaled = (_limb_sum(F.col(f"m{i}")).cast("decimal(31,0)") * millionth).cast(_SCALED)
+    large = F.sum(f"w{i}")
+    return F.coalesce(scaled + large, scaled, large).cast(_SCALED).cast("string")
 
 
 def table_profile(
@@ -109,17 +126,23 @@ def table_profile(
     The row count is reported as metric ``row_count`` with a null column.
     """
     names = list(columns) if columns is not None else df.columns
+    helpers: dict[str, Column] = {}
     aggs = [F.count("*").cast("string").alias("row_count")]
-    cells = [F.struct(F.lit(None).cast("string").alias("column"), F.lit("row_count").alias("metric"), F.col("row_count").alias("value"))]
+
+    def cell(column: str | None, metric: str, alias: str) -> Column:
+        return F.struct(
+            F.lit(column).cast("string").alias("column"), F.lit(metric).alias("metric"), F.col(alias).alias("value")
+        )
+
+    cells = [cell(None, "row_count", "row_count")]
     for i, name in enumerate(names):
         dtype = df.schema[name].dataType
+        helpers |= _helpers(i, quoted(name), dtype, trim_blanks)
         for metric in METRICS[category(dtype)]:
-            alias = f"c{i}_{metric}"
-            aggs.append(_metric(metric, quoted(name), dtype, trim_blanks).alias(alias))
-            cells.append(
-                F.struct(F.lit(name).alias("column"), F.lit(metric).alias("metric"), F.col(alias).alias("value"))
-            )
-    return df.agg(*aggs).select(F.inline(F.array(*cells)))
+            aggs.append(_metric(i, metric, dtype).alias(f"c{i}_{metric}"))
+            cells.append(cell(name, metric, f"c{i}_{metric}"))
+    projected = df.select(*[c.alias(a) for a, c in helpers.items()])
+    return projected.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
 def _compare(source: DataFrame, target: DataFrame) -> DataFrame:
