@@ -1,8 +1,11 @@
 """Look-back and running counts over ordered samples without one task per series.
 
-A plain window puts a whole series on one task. Here a series is cut into chunks (hours, days,
-position ranges); windows run inside (series, chunk), and one small row per chunk carries what
+A plain window puts a whole series on one task. Here a series is cut into chunks of a bounded
+number of rows; windows run inside (series, chunk), and one small row per chunk carries what
 the next chunk needs to know. Results equal those of the plain window.
+
+A third of 10^11 samples in one series makes four million chunks of 8192: the chunk rows of
+that series still sort in one task, the samples never do.
 """
 
 from __future__ import annotations
@@ -13,12 +16,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Positions per chunk. Positions are unique in a series, so this also bounds the rows.
+CHUNK_WIDTH = 8192
+
+
+def position_chunk(order: str, width: int = CHUNK_WIDTH) -> Column:
+    """Chunk number of an integer position; choose the width by how densely positions lie."""
+    return F.floor(F.col(order) / width)
+
+
 def with_previous(
     df: DataFrame, series: Sequence[str], chunk: str, order: str, columns: Sequence[str]
 ) -> DataFrame:
     """Add ``prev_<c>`` for each column, and ``has_prev``.
 
-    ``chunk`` must not decrease along ``order``; ``order`` must be unique within a series.
+    ``chunk`` must not decrease along ``order`` (see :func:`position_chunk`); ``order`` must be
+    unique within a series.
     """
     series = list(series)
     inside = Window.partitionBy(*series, chunk).orderBy(order)

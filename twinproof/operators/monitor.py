@@ -234,18 +234,25 @@ def phase_summary(
 ) -> DataFrame:
     """Per run: how far it got, the phase that failed first, and the overall result.
 
-    ``results``: (run, phase, ok, ms). Phases after the first failure do not count. A run that
-    reaches cutover without confirmation is refused before its first phase.
+    ``results``: (run, phase, ok, ms). Repeated attempts of a phase add up, and one failed
+    attempt fails it. Phases after the first failure do not count. A run that reaches cutover
+    without confirmation is refused before its first phase.
     """
     order = F.coalesce(*[F.when(F.col("phase") == p, F.lit(i)) for i, p in enumerate(PHASES)])
     plan = phases_through(through)
-    tagged = results.withColumn("_i", order).filter(F.col("_i") < len(plan))
+    attempts = (
+        results.withColumn("_i", order)
+        .filter(F.col("_i") < len(plan))
+        .groupBy(run, "_i")
+        .agg(F.bool_and("ok").alias("ok"), F.sum("ms").alias("ms"))
+    )
+    # At most one row per phase and run is left to collect.
     out = (
-        tagged.groupBy(run)
+        attempts.groupBy(run)
         .agg(
             F.min(F.when(~F.col("ok"), F.col("_i"))).alias("_failed"),
-            F.collect_set(F.when(F.col("ok"), F.col("_i"))).alias("_done"),
-            F.sort_array(F.collect_set(F.struct("_i", "ms"))).alias("_ms"),
+            F.collect_list(F.when(F.col("ok"), F.col("_i"))).alias("_done"),
+            F.collect_list(F.struct("_i", "ms")).alias("_ms"),
         )
         .withColumn("_stop", F.coalesce("_failed", F.lit(len(plan))))
     )

@@ -29,6 +29,8 @@ MISSING, EXTRA, DIFFERENT = "missing_on_target", "extra_on_target", "hash_diff"
 
 def fingerprints(pair: TablePair, buckets: int = BUCKETS, portable: bool = False) -> DataFrame:
     """(on_source, b, kh, pk, h) for both sides: key hash, key text and row hash."""
+    if not 0 < buckets <= _REFINED_LIMIT:
+        raise ValueError(f"bad bucket numbers are broadcast, so at most {_REFINED_LIMIT} buckets")
     source, target = pair.sides()
 
     def side(df: DataFrame, other: DataFrame, on_source: bool) -> DataFrame:

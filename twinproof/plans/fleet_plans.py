@@ -268,7 +268,7 @@ ITEMS = Derived(
     },
 )
 ITEMS_T = ITEMS.but(
-    "items_t", where="p_partkey % 11 <> 0", version="CASE WHEN p_partkey % 5 = 0 THEN '1.' || p_size ELSE '0.' || p_size END"
+    "items_t", where="p_size <> 11", version="CASE WHEN p_partkey % 5 = 0 THEN '1.' || p_size ELSE '0.' || p_size END"
 )
 
 
@@ -342,7 +342,7 @@ ADDONS = Derived(
         "interval": "CASE WHEN c_custkey % 2 = 0 THEN 'monthly' END",
     },
 )
-ADDONS_T = ADDONS.but("addons_t", where="c_custkey % 9 <> 0", variant="'v' || (c_custkey % 3)")
+ADDONS_T = ADDONS.but("addons_t", where="c_mktsegment <> 'MACHINERY'", variant="'v' || (c_custkey % 3)")
 
 
 @query(

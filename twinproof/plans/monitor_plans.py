@@ -1,6 +1,6 @@
 """Monitoring queries: the event table read as metric samples, orders as sync states.
 
-A sample's series is its user, its order the event id and its chunk the calendar day.
+A sample's series is its user, its order the event id, its chunk a range of event ids.
 """
 
 from __future__ import annotations
@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinproof.functions.ordered import CHUNK_WIDTH
 from twinproof.functions.scalars import is_write_statement
 from twinproof.operators import monitor as M
 from twinproof.plans.registry import Derived, pick, query, with_ctes
@@ -15,8 +16,8 @@ from twinproof.session import shared_dir
 from twinproof.sources.reports import read_report, write_report
 from twinproof.streaming.watch import watch_slots
 
-SERIES, CHUNK, ORDER = "user_id", "day", "event_id"
-_BASE = {"event_id": "event_id", "user_id": "user_id", "day": "CAST(ts AS DATE)"}
+SERIES, CHUNK, ORDER = "user_id", "chunk", "event_id"
+_BASE = {"event_id": "event_id", "user_id": "user_id", "chunk": f"event_id DIV {CHUNK_WIDTH}"}
 
 POLLS = Derived(
     "polls",
@@ -152,7 +153,7 @@ def sync_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 EXPECTED_BYTES = Derived("expected", "lineitem", {"subscription": "l_suppkey", "bytes": "CAST(l_quantity AS BIGINT) * 8192"})
-COPIED_BYTES = EXPECTED_BYTES.but("copied", where="l_linestatus = 'F' AND l_suppkey % 4 <> 0")
+COPIED_BYTES = EXPECTED_BYTES.but("copied", where="l_linestatus = 'F' AND l_returnflag = 'R' AND l_linenumber = 1")
 
 
 @query(
@@ -323,11 +324,10 @@ _PH = "['preflight', 'replicate', 'watch', 'reconcile', 'cutover']"
 @query(
     "phase_summary",
     with_ctes(PHASE_EVENTS)
-    + f""", p AS (SELECT *, list_position({_PH}, phase) - 1 AS i FROM phase_events),
-    f AS (SELECT run, min(i) FILTER (WHERE NOT ok) AS failed, count(DISTINCT i) FILTER (WHERE ok) AS oks FROM p GROUP BY 1),
-    d AS (SELECT DISTINCT run, i, ms FROM p),
-    t AS (SELECT d.run, sum(ms) AS total FROM d JOIN f ON d.run = f.run AND d.i <= coalesce(failed, 5) GROUP BY 1),
-    o AS (SELECT run, count(DISTINCT i) AS n FROM p JOIN f USING (run) WHERE ok AND i < coalesce(failed, 5) GROUP BY 1)
+    + f""", p AS (SELECT run, list_position({_PH}, phase) - 1 AS i, bool_and(ok) AS ok, sum(ms) AS ms FROM phase_events GROUP BY ALL),
+    f AS (SELECT run, min(i) FILTER (WHERE NOT ok) AS failed, count(*) FILTER (WHERE ok) AS oks FROM p GROUP BY 1),
+    t AS (SELECT p.run, sum(ms) AS total FROM p JOIN f ON p.run = f.run AND p.i <= coalesce(failed, 5) GROUP BY 1),
+    o AS (SELECT run, count(*) AS n FROM p JOIN f USING (run) WHERE ok AND i < coalesce(failed, 5) GROUP BY 1)
     SELECT f.run, CASE WHEN f.run % 50 = 0 THEN 0 ELSE coalesce(o.n, 0) END AS phases_ok,
       CASE WHEN f.run % 50 = 0 THEN 'unconfirmed' WHEN failed IS NOT NULL THEN {_PH}[failed + 1] END AS failed_phase,
       CAST(CASE WHEN f.run % 50 = 0 THEN 0 ELSE total END AS BIGINT) AS total_ms,

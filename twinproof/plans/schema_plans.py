@@ -105,7 +105,7 @@ MSSQL = Derived(
 )
 _FRACTION = "CASE WHEN coalesce(datetime_precision, 0) = 0 THEN '' ELSE '(' || least(datetime_precision, 6) || ')' END"
 _MS_LENGTH = "CASE WHEN coalesce(character_maximum_length, 0) > 0 THEN character_maximum_length WHEN data_type = 'nchar' THEN 1 ELSE 255 END"
-_CUT = f"coalesce(datetime_precision, 0) > 6"
+_CUT = "coalesce(datetime_precision, 0) > 6"
 _MSSQL_SQL = with_ctes(MSSQL) + f""", tr AS (SELECT *,
   CASE WHEN data_type = 'nvarchar' AND character_maximum_length = -1 THEN 'text'
     ELSE replace({_filled(pick("id", _MSSQL_TARGET), _MS_LENGTH)}, 'F', {_FRACTION}) END AS target_type,
@@ -188,10 +188,9 @@ INDEXES = Derived(
     "part",
     {
         "table_id": "p_partkey DIV 8",
-        "is_primary": "p_size % 2 = 0",
+        "is_primary": "p_partkey % 8 = 0 AND p_size % 2 = 0",
         "attnum_list": "CASE WHEN p_size % 3 = 0 THEN '3,1' WHEN p_size % 3 = 1 THEN '8' ELSE '2,5,4' END",
     },
-    where="p_partkey % 8 = 0",
 )
 
 
@@ -216,7 +215,7 @@ PINNED = Derived(
         "table_id": "p_partkey DIV 8",
         "column_name": "CASE WHEN p_partkey % 29 = 0 THEN 'gone' || p_partkey ELSE 'c' || (p_partkey % 8) END",
     },
-    where="(p_partkey DIV 8) % 4 <> 3 AND p_size % 5 <> 1",
+    where="p_type <> 'ECONOMY' AND p_size > 5",
 )
 
 

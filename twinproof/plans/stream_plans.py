@@ -10,7 +10,7 @@ from twinproof.operators.loadgen import audit, churn
 from twinproof.plans.registry import Derived, query, with_ctes
 from twinproof.session import shared_dir
 from twinproof.sources.tables import load
-from twinproof.streaming.apply import ChangeTable, read_landed
+from twinproof.streaming.apply import ChangeTable, latest_state, read_landed
 
 KEYS = ["user_id"]
 
@@ -134,6 +134,21 @@ def cdc_replay(spark: SparkSession, folder: str) -> DataFrame:
     return table.state(spark)
 
 
+@query("cdc_stateful", _ALL_SQL)
+def cdc_stateful(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest change per key held as streaming state: a late re-delivery cannot replace it."""
+    landing, offsets = shared_dir(spark, "landing"), shared_dir(spark, "offsets")
+    table = ChangeTable(shared_dir(spark, "table"), tuple(KEYS))
+    table.create(SNAPSHOT.df(spark, folder), -1)
+    half = _mark(spark, folder, 2)
+    schema = CHANGES.df(spark, folder).schema
+    for where in (f"pos > {half}", f"pos <= {half}"):
+        _land(spark, folder, landing, where)
+        state = latest_state(read_landed(spark, landing, schema), KEYS)
+        table.start(state, offsets, "update").awaitTermination()
+    return table.state(spark)
+
+
 _ROUTES = """SELECT pos, topic, regexp_extract(topic, '^dbz\\.[^.]+\\.(.*)$', 1) AS r,
   regexp_extract(topic4, '^dbz\\.[^.]+\\.[^.]+\\.(.*)$', 1) AS table4 FROM topics"""
 

@@ -73,10 +73,14 @@ class ChangeTable:
         latest = latest_per_key(batch, self.keys, self.pos)
         latest.write.mode("overwrite").parquet(f"{self.path}/batches/batch={batch_id:012d}")
 
-    def start(self, changes: DataFrame, checkpoint: str):
-        """Apply everything that has landed, then stop; restarting resumes from the checkpoint."""
+    def start(self, changes: DataFrame, checkpoint: str, mode: str = "append"):
+        """Apply everything that has landed, then stop; restarting resumes from the checkpoint.
+
+        Use mode ``update`` for the output of :func:`latest_state`.
+        """
         return (
             changes.writeStream.foreachBatch(self.write_batch)
+            .outputMode(mode)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()
