@@ -110,8 +110,12 @@ def row_hash(
 
 
 def bucket(hash_col: Column, buckets: int) -> Column:
-    """Bucket number in ``[0, buckets)``; ``pmod`` also takes the smallest long."""
-    return F.pmod(hash_col, F.lit(buckets)).cast("bigint")
+    """Bucket number in ``[0, buckets)``; ``pmod`` also takes the smallest long.
+
+    ``coalesce`` only declares the result non-null: joins on a nullable expression would add a
+    null check that computes the hash a second time.
+    """
+    return F.coalesce(F.pmod(hash_col, F.lit(buckets)).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def checksum(hash_col: Column) -> Column:

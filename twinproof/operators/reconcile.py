@@ -27,21 +27,34 @@ _REFINED_LIMIT = 1 << 20
 MISSING, EXTRA, DIFFERENT = "missing_on_target", "extra_on_target", "hash_diff"
 
 
-def fingerprints(pair: TablePair, buckets: int = BUCKETS, portable: bool = False) -> DataFrame:
-    """(on_source, b, kh, pk, h) for both sides: key hash, key text and row hash."""
+def fingerprints(
+    pair: TablePair, buckets: int = BUCKETS, portable: bool = False, only: DataFrame | None = None
+) -> DataFrame:
+    """(on_source, b, kh, pk, h) for both sides: key hash, key text and row hash.
+
+    ``only`` (column ``b``, at most one row per bucket) restricts the rows before the row hash
+    and the key text are built.
+    """
     if not 0 < buckets <= _REFINED_LIMIT:
         raise ValueError(f"bad bucket numbers are broadcast, so at most {_REFINED_LIMIT} buckets")
     source, target = pair.sides()
+    keyed_by_row = pair.key_columns == pair.hash_columns
 
     def side(df: DataFrame, other: DataFrame, on_source: bool) -> DataFrame:
-        kh = row_hash(df.schema, pair.key_columns, other=other.schema, portable=portable)
-        h = row_hash(df.schema, pair.hash_columns, other=other.schema, portable=portable)
-        return df.select(
+        schema = df.schema
+        kh = row_hash(schema, pair.key_columns, other=other.schema, portable=portable)
+        keyed = df.withColumn("_kh", kh).withColumn("_b", bucket(F.col("_kh"), buckets))
+        if only is not None:
+            wanted = only.select(F.col("b").alias("_b"))
+            keyed = keyed.join(F.broadcast(wanted), "_b", "left_semi")
+        h = F.col("_kh") if keyed_by_row else row_hash(schema, pair.hash_columns, other=other.schema, portable=portable)
+        return keyed.select(
             F.lit(on_source).alias("on_source"),
-            kh.alias("kh"),
-            key_text(pair.key_columns, df.schema).alias("pk"),
-            (F.col("kh") if pair.key_columns == pair.hash_columns else h).alias("h"),
-        ).withColumn("b", bucket(F.col("kh"), buckets))
+            F.col("_b").alias("b"),
+            F.col("_kh").alias("kh"),
+            key_text(pair.key_columns, schema).alias("pk"),
+            h.alias("h"),
+        )
 
     return side(source, target, True).unionByName(side(target, source, False))
 
@@ -136,8 +149,8 @@ def drill_prints(prints: DataFrame, bad: DataFrame) -> DataFrame:
 
 def drill(pair: TablePair, buckets: int = BUCKETS, portable: bool = False) -> DataFrame:
     """(table, bucket, pk, kind) of every differing row, in one pass over all bad buckets."""
-    prints = fingerprints(pair, buckets, portable)
-    found = classify(drill_prints(prints, bucket_sums(prints)))
+    bad = bucket_report(pair, buckets, portable).filter(~F.col("match"))
+    found = classify(fingerprints(pair, buckets, portable, only=bad))
     return found.select(F.lit(pair.name).alias("table"), F.col("b").alias("bucket"), "pk", "kind")
 
 
