@@ -105,6 +105,7 @@ def test_conform(spark):
     assert got[2]["big"] is None and got[2]["day"] == datetime.date(2024, 2, 29) and got[2]["tags"] == [] and got[3]["tags"] is None
     rep = {r["column"]: (r["values"], r["new_nulls"]) for r in T.conform_report(df, casts).collect()}
     assert rep == {"big": (2, 1), "flag": (2, 0), "day": (2, 1), "tags": (2, 0)}
+    assert [r[0] for r in T.conform_rows(df.select("id", "t"), [T.Cast("t", "time")]).orderBy("id").select("t").collect()] == ["12:30:00.123456", None, None]
     with pytest.raises(ValueError):
         T.conform_expr(T.Cast("x", "odd"))
 

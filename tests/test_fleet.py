@@ -118,6 +118,11 @@ def test_endpoints(spark, url, provider, pooler, transaction, direct, ref):
     assert r["can_replicate"] is not pooler and r["is_hosted"] is (pooler or direct)
 
 
+def test_url_parts_are_decoded(spark):
+    r = C.classify_endpoints(spark.createDataFrame([("mysql://us%40er:p%3Aw@h:3307/my%20db?x=1",)], "url string")).first()
+    assert (r["user"], r["host"], r["port"], r["database"]) == ("us@er", "h", 3307, "my db")
+
+
 def test_transient(spark):
     rows = [("read ECONNRESET", None, True), ("connection timeout", None, True), ("bad query", "08006", True), ("x", "57P03", True), ("x", "57P04", False), ("syntax", "42601", False), (None, None, False)]
     df = spark.createDataFrame(rows, "m string, s string, want boolean")

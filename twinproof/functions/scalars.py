@@ -133,6 +133,16 @@ def url_port(url: Column) -> Column:
     return F.coalesce(F.nullif(port, F.lit("")).cast("int"), F.lit(DEFAULT_PORT))
 
 
+def url_user(url: Column) -> Column:
+    """Percent-decoded user of a connection URL."""
+    return F.url_decode(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^:@/]*)[^@/]*@", 1))
+
+
+def url_database(url: Column) -> Column:
+    """Percent-decoded database name of a connection URL."""
+    return F.url_decode(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*/([^?#]*)", 1))
+
+
 def provider_of(host: Column) -> Column:
     """Hosting provider of a database host; the cluster form is tested before the plain one."""
     out = None
@@ -185,6 +195,11 @@ def price_note(amount: Column, interval: Column) -> Column:
     )
 
 
+def cut_fraction(time_text: Column, digits: int = 6) -> Column:
+    """Time text with at most ``digits`` fractional digits; more are cut, not rounded."""
+    return F.regexp_replace(time_text, r"(\.\d{%d})\d+" % digits, "$1")
+
+
 def sql_identifier(name: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinproof.functions.canon import quoted
-from twinproof.functions.scalars import sql_identifier
+from twinproof.functions.scalars import cut_fraction, sql_identifier
 
 # Source types that map to one target type without further conditions.
 MYSQL_DIRECT = {
@@ -260,7 +260,7 @@ def sign_off(drafts: DataFrame, approvals: DataFrame, by: Sequence[str]) -> Data
 
 @dataclass(frozen=True)
 class Cast:
-    """How one column is conformed; ``kind`` is ``cast``, ``bool``, ``zero_date`` or ``set``."""
+    """How one column is conformed; ``kind`` is ``cast``, ``bool``, ``zero_date``, ``set`` or ``time``."""
 
     column: str
     kind: str
@@ -278,6 +278,8 @@ def conform_expr(cast: Cast) -> Column:
         return col.try_cast(cast.to or "date")
     if cast.kind == "set":
         return F.when(col == "", F.array().cast("array<string>")).otherwise(F.split(col, ","))
+    if cast.kind == "time":
+        return cut_fraction(col, MAX_FRACTION)
     raise ValueError(f"unknown cast kind {cast.kind!r}")
 
 

@@ -131,6 +131,40 @@ def replica_identity_ok(identity: Column, has_key: Column) -> Column:
     return ((identity == "d") & has_key) | identity.isin("f", "i")
 
 
+# The shipped checks, as (id, phase, severity).
+SHIPPED_CHECKS = (
+    ("source.slot_absent", "source-prep", "warn"),
+    ("source.publication_absent", "source-prep", "warn"),
+    ("source.replica_identity", "source-prep", "fail"),
+    ("target.schema_loaded", "target-prep", "fail"),
+    ("source.wal_level_logical", "source-prep", "fail"),
+)
+
+
+def shipped_checks(fleet: DataFrame, by: str) -> DataFrame:
+    """Evaluate the shipped checks for every table of a fleet, one row per check.
+
+    ``fleet``: (by, slot_name, publication, identity, has_key, relkind, wal_level). A stale
+    slot or publication is a finding when it is there; the other checks when they are not met.
+    """
+    passed = {
+        "source.slot_absent": F.col("slot_name").isNull(),
+        "source.publication_absent": F.col("publication").isNull(),
+        "source.replica_identity": replica_identity_ok(F.col("identity"), F.col("has_key")),
+        "target.schema_loaded": F.col("relkind").isin("r", "p"),
+        "source.wal_level_logical": F.col("wal_level") == "logical",
+    }
+    cells = [
+        F.struct(
+            F.lit(i).alias("check"),
+            F.lit(phase).alias("phase"),
+            F.when(F.coalesce(passed[i], F.lit(False)), "pass").otherwise(severity).alias("level"),
+        )
+        for i, phase, severity in SHIPPED_CHECKS
+    ]
+    return fleet.select(by, F.inline(F.array(*cells)))
+
+
 def readiness(checks: DataFrame, by: str, level: str = "level") -> DataFrame:
     """Tally of check results and the verdict."""
     out = checks.groupBy(by).agg(

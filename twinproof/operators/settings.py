@@ -75,7 +75,9 @@ def classify_endpoints(connections: DataFrame, url: str = "url") -> DataFrame:
     """
     host = S.url_host(F.col(url))
     port = S.url_port(F.col(url))
-    out = connections.withColumn("host", host).withColumn("port", port)
+    out = connections.withColumns(
+        {"host": host, "port": port, "user": S.url_user(F.col(url)), "database": S.url_database(F.col(url))}
+    )
     h = F.col("host")
     return out.withColumns(
         {

@@ -185,7 +185,7 @@ ENDPOINTS = Derived(
     "customer",
     {
         "server": "c_custkey",
-        "url": "'postgresql://u:p@' || replace(" + pick(_KIND9, _HOSTS) + ", '{0}', CAST(c_custkey AS STRING)) || '/app'",
+        "url": "'postgresql://u%40x:p@' || replace(" + pick(_KIND9, _HOSTS) + ", '{0}', CAST(c_custkey AS STRING)) || '/app%20' || c_nationkey || '?sslmode=require'",
     },
 )
 
@@ -196,7 +196,7 @@ ENDPOINTS = Derived(
       CAST({pick(_KIND9, [str(p) for p in _PORTS])} AS INTEGER) AS port, {_KIND9} IN (1, 2) AS is_pooler,
       {_KIND9} = 1 AS is_transaction_pooler, {_KIND9} = 0 AS is_direct,
       CASE WHEN {_KIND9} = 0 THEN 'abc' || c_custkey END AS ref, {_KIND9} NOT IN (1, 2) AS can_replicate,
-      {_KIND9} IN (0, 1, 2) AS is_hosted FROM customer""",
+      {_KIND9} IN (0, 1, 2) AS is_hosted, 'u@x' AS "user", 'app ' || c_nationkey AS "database" FROM customer""",
 )
 def classify_endpoints(spark: SparkSession, folder: str) -> DataFrame:
     return C.classify_endpoints(ENDPOINTS.df(spark, folder)).drop("url", "host")
@@ -614,6 +614,25 @@ def replica_identity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SHIPPED = CATALOG_TABLES.but(
+    "shipped",
+    slot_name="CASE WHEN o_custkey % 4 = 0 THEN 'mover' END",
+    publication="CASE WHEN o_orderpriority = '5-LOW' THEN 'pub' END",
+    relkind="CASE o_orderstatus WHEN 'O' THEN 'r' WHEN 'F' THEN 'p' WHEN 'P' THEN 'v' END",
+    wal_level="CASE WHEN o_custkey % 5 = 0 THEN 'replica' WHEN o_custkey % 5 = 1 THEN NULL ELSE 'logical' END",
+)
+_SHIPPED = """SELECT "table", '{0}' AS "check", '{1}' AS phase, CASE WHEN {3} THEN 'pass' ELSE '{2}' END AS level FROM shipped"""
+_SHIPPED_OK = ("slot_name IS NULL", "publication IS NULL", _IDENTITY_OK, "relkind IN ('r', 'p')", "wal_level = 'logical'")
+
+
+@query(
+    "shipped_checks",
+    with_ctes(SHIPPED) + " UNION ALL ".join(_SHIPPED.format(*c, ok) for c, ok in zip(Q.SHIPPED_CHECKS, _SHIPPED_OK)),
+)
+def shipped_checks(spark: SparkSession, folder: str) -> DataFrame:
+    return Q.shipped_checks(SHIPPED.df(spark, folder), "table")
+
+
 CHECKS = Derived(
     "checks", "lineitem", {"server": "l_orderkey", "level": "CASE l_returnflag WHEN 'A' THEN 'pass' WHEN 'N' THEN 'warn' ELSE 'fail' END"}
 )
@@ -672,16 +691,20 @@ def lint_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ASSETS = Derived("assets", "orders", {"id": "o_orderkey", "source": "o_orderpriority", "last_synced": "CAST(o_orderdate AS DATE)"})
+GUIDES = Derived("guides", "lineitem", {"id": "l_partkey", "source": "l_returnflag", "last_synced": "CAST(l_shipdate AS DATE)"})
 _NOW = "1998-08-02"
+_AGE = f"CAST(date_diff('day', last_synced, DATE '{_NOW}') AS BIGINT)"
 
 
 @query(
     "staleness",
-    with_ctes(ASSETS)
-    + f"""SELECT *, date_diff('day', last_synced, DATE '{_NOW}') AS age_days, date_diff('day', last_synced, DATE '{_NOW}') >= 90 AS stale FROM assets""",
+    with_ctes(ASSETS, GUIDES)
+    + f"""SELECT *, {_AGE} AS age_days, {_AGE} >= 90 AS stale FROM (SELECT * FROM assets UNION ALL SELECT * FROM guides)""",
 )
 def staleness(spark: SparkSession, folder: str) -> DataFrame:
-    return Q.staleness(ASSETS.df(spark, folder), F.lit(_NOW).cast("date"))
+    """Two catalogs of the same shape as one list."""
+    items = ASSETS.df(spark, folder).unionByName(GUIDES.df(spark, folder))
+    return Q.staleness(items, F.lit(_NOW).cast("date"))
 
 
 STEPS = Derived(

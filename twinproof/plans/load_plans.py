@@ -12,7 +12,7 @@ from twinproof.operators import loadgen as L
 from twinproof.operators import reconcile as R
 from twinproof.operators import rules as Q
 from twinproof.operators.changes import apply_changes
-from twinproof.operators.monitor import retained_watchdog, slot_lag
+from twinproof.operators.monitor import retained_watchdog
 from twinproof.plans.fleet_plans import CATALOG_TABLES
 from twinproof.plans.monitor_plans import SLOTS
 from twinproof.plans.registry import query, with_ctes
@@ -184,19 +184,22 @@ def fault_derived(spark: SparkSession, folder: str) -> DataFrame:
     return R.full_report(_derived_pair(spark, folder)).select("table", "source_rows", "target_rows", "match")
 
 
+_STALLED_AT = 5_000_000
+
+
 def _stalled(spark: SparkSession, folder: str) -> DataFrame:
-    """Every consumer stops confirming at its first position; the log keeps growing."""
+    """Every consumer stops confirming at one position while the log keeps growing."""
     slots = SLOTS.df(spark, folder).withColumn("wal_status", F.lit("reserved"))
-    now, old = lsn_position(F.col("current_lsn")), F.lit(0).cast("decimal(20,0)")
-    stalled = X.stall(slot_lag(slots).withColumn("restart", now), "restart", old)
-    return retained_watchdog(stalled.withColumn("retained_bytes", now - F.col("restart")))
+    now = lsn_position(F.col("current_lsn"))
+    stalled = X.stall(slots.withColumn("confirmed", now), "confirmed", F.lit(_STALLED_AT).cast("decimal(20,0)"))
+    return retained_watchdog(stalled.withColumn("retained_bytes", now - F.col("confirmed")))
 
 
 @query(
     "fault_stall",
     with_ctes(SLOTS)
-    + """SELECT sample, subscription, CASE WHEN (CAST('0x' || split_part(current_lsn, '/', 1) AS BIGINT) * 4294967296
-      + CAST('0x' || split_part(current_lsn, '/', 2) AS BIGINT)) / 1048576.0 > 2048 THEN 'abort' ELSE 'ok' END AS verdict FROM slots""",
+    + f"""SELECT sample, subscription, CASE WHEN (CAST('0x' || split_part(current_lsn, '/', 1) AS BIGINT) * 4294967296
+      + CAST('0x' || split_part(current_lsn, '/', 2) AS BIGINT) - {_STALLED_AT}) / 1048576.0 > 2048 THEN 'abort' ELSE 'ok' END AS verdict FROM slots""",
 )
 def fault_stall(spark: SparkSession, folder: str) -> DataFrame:
     return _stalled(spark, folder).select("sample", "subscription", "verdict")

@@ -14,7 +14,7 @@ from twinproof.operators.profile import category_of_name
 from twinproof.plans.registry import Derived, pick, query, with_ctes
 from twinproof.session import shared_dir
 from twinproof.sources import catalog as C
-from twinproof.sources.reports import read_report, write_report
+from twinproof.sources.reports import read_report, write_draft, write_report
 
 # (data type, column type, length, precision, scale, fraction) per cycle step.
 _MYSQL = [
@@ -135,6 +135,19 @@ def schema_draft(spark: SparkSession, folder: str) -> DataFrame:
     return T.create_tables(T.translate_mysql(MYSQL.df(spark, folder)), ["database"])
 
 
+@query(
+    "schema_files",
+    _MYSQL_SQL + "SELECT count(DISTINCT (\"database\", table_name)) AS tables, count(review) AS decisions FROM tr",
+)
+def schema_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The review files of a draft: DDL text and decisions, counted after reading them back."""
+    translated = T.translate_mysql(MYSQL.df(spark, folder))
+    path = shared_dir(spark, "draft")
+    write_draft(T.create_tables(translated, ["database"]), T.decisions(translated), path)
+    tables = spark.read.text(f"{path}/ddl").agg(F.count_if(F.col("value").startswith("CREATE TABLE")).alias("tables"))
+    return tables.withColumn("decisions", read_report(spark, f"{path}/decisions", "review string").agg(F.count("review")).scalar())
+
+
 @query("schema_decisions", _MYSQL_SQL + 'SELECT "database", table_name, column_name, review FROM tr WHERE review IS NOT NULL')
 def schema_decisions(spark: SparkSession, folder: str) -> DataFrame:
     """Open decisions, through the JSON-lines sink."""
@@ -279,6 +292,7 @@ RAW = Derived(
         "day": "CASE WHEN l_linenumber = 7 THEN '0000-00-00' ELSE CAST(CAST(l_shipdate AS DATE) AS STRING) END",
         "tags": "CASE l_linestatus WHEN 'O' THEN 'a,b' ELSE '' END",
         "price": "CAST(CAST(l_extendedprice AS DECIMAL(15,4)) AS STRING)",
+        "at": "'12:30:0' || l_linenumber || '.' || lpad(CAST(l_suppkey AS STRING), 7, '7')",
     },
 )
 CASTS = [
@@ -288,6 +302,7 @@ CASTS = [
     T.Cast("day", "zero_date"),
     T.Cast("tags", "set"),
     T.Cast("price", "cast", "decimal(15,2)"),
+    T.Cast("at", "time"),
 ]
 
 
@@ -296,7 +311,7 @@ CASTS = [
     with_ctes(RAW)
     + """SELECT l_orderkey, l_partkey, l_linenumber, CAST(CAST(big AS DECIMAL(20,0)) AS VARCHAR) AS big, CAST(TRY_CAST(small AS SMALLINT) AS INTEGER) AS small,
       CAST(flag AS BOOLEAN) AS flag, TRY_CAST(day AS DATE) AS day, CASE tags WHEN '' THEN 0 ELSE 2 END AS tag_count,
-      CAST(CAST(CAST(price AS DECIMAL(15,4)) AS DECIMAL(15,2)) AS VARCHAR) AS price FROM raw""",
+      CAST(CAST(CAST(price AS DECIMAL(15,4)) AS DECIMAL(15,2)) AS VARCHAR) AS price, left("at", 15) AS "at" FROM raw""",
 )
 def conform_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Raw source rows cast to the target types; impossible values become null."""
@@ -311,6 +326,7 @@ def conform_rows(spark: SparkSession, folder: str) -> DataFrame:
         "day",
         F.size("tags").alias("tag_count"),
         F.col("price").cast("string").alias("price"),
+        "at",
     )
 
 
@@ -322,7 +338,8 @@ def conform_rows(spark: SparkSession, folder: str) -> DataFrame:
     UNION ALL SELECT 'flag', 'bool', count(flag), 0 FROM raw
     UNION ALL SELECT 'day', 'zero_date', count(day), count(*) FILTER (WHERE day = '0000-00-00') FROM raw
     UNION ALL SELECT 'tags', 'set', count(tags), 0 FROM raw
-    UNION ALL SELECT 'price', 'cast', count(price), 0 FROM raw""",
+    UNION ALL SELECT 'price', 'cast', count(price), 0 FROM raw
+    UNION ALL SELECT 'at', 'time', count("at"), 0 FROM raw""",
 )
 def conform_report(spark: SparkSession, folder: str) -> DataFrame:
     return T.conform_report(RAW.df(spark, folder), CASTS)

@@ -14,3 +14,9 @@ def write_report(report: DataFrame, path: str) -> str:
 def read_report(spark: SparkSession, path: str, schema=None) -> DataFrame:
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.json(path)
+
+
+def write_draft(drafts: DataFrame, decisions: DataFrame, folder: str) -> None:
+    """DDL as text and open decisions as JSON lines, for review; nothing is applied."""
+    drafts.select("ddl").write.mode("errorifexists").text(f"{folder}/ddl")
+    write_report(decisions, f"{folder}/decisions")
