@@ -162,10 +162,10 @@ def test_provider_body(spark):
 
 def test_upgrade_plan(spark):
     ddl = "p int, addon string, variant string, amount double, interval string"
-    s = spark.createDataFrame([(1, "pitr", "v7", 100.0, "monthly"), (1, "ipv4", "on", None, None), (1, "compute_instance", None, None, None), (2, "pitr", "v7", 1.0, None)], ddl)
+    s = spark.createDataFrame([(1, "pitr", "v7", 100.0, "monthly"), (1, "ipv4", "on", None, None), (1, "compute_instance", None, None, None), (2, "pitr", "v7", 1.5, None)], ddl)
     t = spark.createDataFrame([(1, "pitr", "v3", None, None), (1, "ipv4", "on", None, None), (1, "compute_instance", "big", None, None)], ddl)
     got = tuples(I.upgrade_plan(s, t, "p", ["pitr", "ipv4", "compute_instance"]), "p", "addon", "from_variant", "price")
-    assert got == {(1, "pitr", "v3", "$100.0/monthly"), (2, "pitr", None, "$1.0/?")}
+    assert got == {(1, "pitr", "v3", "$100/monthly"), (2, "pitr", None, "$1.5/?")}
 
 
 def test_attribute_changes(spark):

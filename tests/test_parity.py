@@ -178,6 +178,7 @@ def test_refine_gives_the_same_rows(spark):
     prints = R.fingerprints(TablePair("t", source, target, ["k"]), 16)
     sums = R.bucket_sums(prints)
     refined = R.refine(prints, sums, 256, 16)
+    assert R.suspect_keys(refined).count() == 2
     assert refined.count() < R.drill_prints(prints, sums).count() / 20
     assert kinds(R.classify(refined)) == {("77", "missing_on_target"), ("4242", "hash_diff")}
     with pytest.raises(ValueError):
@@ -193,6 +194,10 @@ def test_reconcile_job(spark, data):
     assert not ok and got["same"]["match"] and len(got["orders"]["mismatched_buckets"]) == 1
     assert kinds(found) == {("5", "missing_on_target")}
     assert R.reconcile(spark, pairs[1:])[2]
+    lines = load(spark, data, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
+    more = lines.unionByName(spark.createDataFrame([("A", "F", 1), ("A", "F", 1), ("Z", None, 0)], lines.schema))
+    _, rows, ok = R.reconcile(spark, [TablePair("heap", lines, more)])
+    assert not ok and kinds(rows) == {("A,F,1", "extra_on_target"), ("Z,,0", "extra_on_target")}
     none = spark.createDataFrame([], "id string")
     assert R.reconcile(spark, pairs[1:], ledger=none)[2]
     assert not R.reconcile(spark, pairs[1:], ledger=spark.createDataFrame([("x",)], "id string"))[2]
@@ -217,6 +222,11 @@ def test_exactly_the_perturbed_keys(spark, rows, drop, edit, add):
     assert R.drill(shuffled).count() == 0 and R.full_report(shuffled).first()["match"]
 
 
+def test_persisted_prints_are_narrow(spark):
+    p = pair(spark, [(1, "a" * 1000)], [(1, "b")], keys=())
+    assert R.persist_fingerprints(spark, p).columns == ["on_source", "b", "kh", "h"]
+
+
 # --- ledger and counts --------------------------------------------------------------------------
 
 

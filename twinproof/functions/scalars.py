@@ -190,8 +190,9 @@ def env_line(line: Column) -> Column:
 
 
 def price_note(amount: Column, interval: Column) -> Column:
+    plain = F.regexp_replace(amount.cast("decimal(20,6)").cast("string"), r"\.?0+$", "")
     return F.when(amount.isNull(), "price n/a").otherwise(
-        F.format_string("$%s/%s", amount.cast("string"), F.coalesce(interval, F.lit("?")))
+        F.format_string("$%s/%s", F.when(amount == 0, "0").otherwise(plain), F.coalesce(interval, F.lit("?")))
     )
 
 

@@ -28,26 +28,30 @@ MISSING, EXTRA, DIFFERENT = "missing_on_target", "extra_on_target", "hash_diff"
 
 
 def fingerprints(
-    pair: TablePair, buckets: int = BUCKETS, portable: bool = False, only: DataFrame | None = None
+    pair: TablePair,
+    buckets: int = BUCKETS,
+    portable: bool = False,
+    only: DataFrame | None = None,
+    suspects: DataFrame | None = None,
 ) -> DataFrame:
     """(on_source, b, kh, pk, h) for both sides: key hash, key text and row hash.
 
-    ``only`` (column ``b``, at most one row per bucket) restricts the rows before the row hash
-    and the key text are built.
+    ``only`` (column ``b``, at most one row per bucket) and ``suspects`` (column ``kh``, any
+    size) restrict the rows before the row hash and the key text are built.
     """
     if not 0 < buckets <= _REFINED_LIMIT:
         raise ValueError(f"bad bucket numbers are broadcast, so at most {_REFINED_LIMIT} buckets")
     source, target = pair.sides()
-    keyed_by_row = pair.key_columns == pair.hash_columns
 
     def side(df: DataFrame, other: DataFrame, on_source: bool) -> DataFrame:
         schema = df.schema
         kh = row_hash(schema, pair.key_columns, other=other.schema, portable=portable)
         keyed = df.withColumn("_kh", kh).withColumn("_b", bucket(F.col("_kh"), buckets))
         if only is not None:
-            wanted = only.select(F.col("b").alias("_b"))
-            keyed = keyed.join(F.broadcast(wanted), "_b", "left_semi")
-        h = F.col("_kh") if keyed_by_row else row_hash(schema, pair.hash_columns, other=other.schema, portable=portable)
+            keyed = keyed.join(F.broadcast(only.select(F.col("b").alias("_b"))), "_b", "left_semi")
+        if suspects is not None:
+            keyed = keyed.join(suspects.select(F.col("kh").alias("_kh")), "_kh", "left_semi")
+        h = F.col("_kh") if pair.keyless else row_hash(schema, pair.hash_columns, other=other.schema, portable=portable)
         return keyed.select(
             F.lit(on_source).alias("on_source"),
             F.col("_b").alias("b"),
@@ -60,9 +64,13 @@ def fingerprints(
 
 
 def persist_fingerprints(spark: SparkSession, pair: TablePair, buckets: int = BUCKETS) -> DataFrame:
-    """Fingerprints as a table in the shared folder, so that later passes skip the wide scan."""
+    """Fingerprints as a table in the shared folder, so that later passes skip the wide scan.
+
+    Three longs and a flag per row; the key text is left out, since a table without a key would
+    be written whole.
+    """
     path = shared_dir(spark, "fingerprints")
-    fingerprints(pair, buckets).write.parquet(path)
+    fingerprints(pair, buckets).drop("pk").write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -113,33 +121,47 @@ def full_report(pair: TablePair, portable: bool = False) -> DataFrame:
         F.coalesce(F.sum(F.when(~src, F.col("h").cast("decimal(38,0)"))), zero).alias("target_sum"),
     )
     same = (F.col("source_rows") == F.col("target_rows")) & (F.col("source_sum") == F.col("target_sum"))
-    return totals.select(F.lit(pair.name).alias("table"), "*", same.alias("match"))
+    # The whole table is bucket 0.
+    wrong = F.when(same, F.array().cast("array<bigint>")).otherwise(F.array(F.lit(0).cast("bigint")))
+    return totals.select(
+        F.lit(pair.name).alias("table"), "*", wrong.alias("mismatched_buckets"), same.alias("match")
+    )
 
 
-def classify(prints: DataFrame) -> DataFrame:
-    """Rows that differ, by key: missing, extra or changed.
+def _per_key(prints: DataFrame, by: Iterable[str]) -> DataFrame:
+    """Rows and hash sums of both sides per key, kept where they disagree.
 
     Aggregating both sides together is a full outer join on the key that also copes with
-    repeated keys: counts and checksums per key must agree.
+    repeated keys, and merges them before the shuffle.
     """
-    src = F.col("on_source")
-    zero = F.lit(0).cast("decimal(38,0)")
-    signed = F.when(src, F.col("h")).otherwise(F.lit(0)).cast("decimal(38,0)")
-    signed_target = F.when(src, F.lit(0)).otherwise(F.col("h")).cast("decimal(38,0)")
-    per_key = prints.groupBy("b", "kh", "pk").agg(
+    src, zero = F.col("on_source"), F.lit(0).cast("decimal(38,0)")
+    h = F.col("h").cast("decimal(38,0)")
+    sums = prints.groupBy(*by).agg(
         F.count_if(src).alias("ns"),
         F.count_if(~src).alias("nt"),
-        F.sum(signed).alias("hs"),
-        F.sum(signed_target).alias("ht"),
-    )
-    kind = (
-        F.when(F.col("nt") == 0, MISSING)
-        .when(F.col("ns") == 0, EXTRA)
-        .when((F.col("ns") != F.col("nt")) | (F.coalesce("hs", zero) != F.coalesce("ht", zero)), DIFFERENT)
-    )
-    return (
-        per_key.select("b", "pk", "ns", "nt", kind.alias("kind")).filter(F.col("kind").isNotNull())
+        F.coalesce(F.sum(F.when(src, h)), zero).alias("hs"),
+        F.coalesce(F.sum(F.when(~src, h)), zero).alias("ht"),
     )
+    return sums.filter((F.col("ns") != F.col("nt")) | (F.col("hs") != F.col("ht")))
+
+
+def suspect_keys(prints: DataFrame) -> DataFrame:
+    """Key hashes under which the sides disagree; needs no key text."""
+    return _per_key(prints, ["kh"]).select("kh")
+
+
+def classify(prints: DataFrame, keyless: bool = False) -> DataFrame:
+    """Rows that differ, by key: missing, extra or changed.
+
+    Without a key the whole row is the key; then only its number of copies can differ, and the
+    side with fewer of them decides.
+    """
+    ns, nt = F.col("ns"), F.col("nt")
+    if keyless:
+        kind = F.when(ns > nt, MISSING).otherwise(EXTRA)
+    else:
+        kind = F.when(nt == 0, MISSING).when(ns == 0, EXTRA).otherwise(DIFFERENT)
+    return _per_key(prints, ["b", "kh", "pk"]).select("b", "pk", "ns", "nt", kind.alias("kind"))
 
 
 def drill_prints(prints: DataFrame, bad: DataFrame) -> DataFrame:
@@ -150,7 +172,7 @@ def drill_prints(prints: DataFrame, bad: DataFrame) -> DataFrame:
 def drill(pair: TablePair, buckets: int = BUCKETS, portable: bool = False) -> DataFrame:
     """(table, bucket, pk, kind) of every differing row, in one pass over all bad buckets."""
     bad = bucket_report(pair, buckets, portable).filter(~F.col("match"))
-    found = classify(fingerprints(pair, buckets, portable, only=bad))
+    found = classify(fingerprints(pair, buckets, portable, only=bad), pair.keyless)
     return found.select(F.lit(pair.name).alias("table"), F.col("b").alias("bucket"), "pk", "kind")
 
 
@@ -275,9 +297,9 @@ def reconcile(
 ) -> tuple[DataFrame, DataFrame, bool]:
     """The whole job: per-table report, differing rows and the overall verdict.
 
-    Fingerprints are written once. The drill then runs over bad buckets only, and a refining
-    pass is chosen when those still hold many rows. Only bucket rows (at most ``buckets`` per
-    table) come back to the driver.
+    Fingerprints are written once and narrow. The drill compares them inside bad buckets, with a
+    refining pass where those hold many rows, and then reads only the suspect keys from the
+    tables again. Only bucket rows (at most ``buckets`` per table) come back to the driver.
     """
     reports, found = [], []
     all_match = ledger is None or ledger.isEmpty()
@@ -287,9 +309,7 @@ def reconcile(
         wrong = [r for r in sums if not r["match"]]
         n_source = sum(r["source_rows"] for r in sums)
         n_target = sum(r["target_rows"] for r in sums)
-        reports.append(
-            (pair.name, buckets, n_source, n_target, sorted(r["b"] for r in wrong), not wrong)
-        )
+        reports.append((pair.name, buckets, n_source, n_target, sorted(r["b"] for r in wrong), not wrong))
         all_match = all_match and not wrong
         if not wrong:
             continue
@@ -297,9 +317,8 @@ def reconcile(
         heavy = max(r["source_rows"] + r["target_rows"] for r in wrong)
         fanout = min(_REFINED_LIMIT // buckets, heavy // _REFINED_ROWS)
         rows = refine(prints, bad, fanout, buckets) if fanout > 1 else drill_prints(prints, bad)
-        found.append(
-            classify(rows).select(F.lit(pair.name).alias("table"), F.col("b").alias("bucket"), "pk", "kind")
-        )
+        exact = classify(fingerprints(pair, buckets, suspects=suspect_keys(rows)), pair.keyless)
+        found.append(exact.select(F.lit(pair.name).alias("table"), F.col("b").alias("bucket"), "pk", "kind"))
     report = spark.createDataFrame(
         reports,
         "table string, buckets int, source_rows bigint, target_rows bigint, "

@@ -133,11 +133,14 @@ def row_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     f"""WITH {_PRINTS}, f AS (SELECT count(*) FILTER (WHERE s) AS source_rows, count(*) FILTER (WHERE NOT s) AS target_rows,
       coalesce(sum(h) FILTER (WHERE s), 0) AS source_sum, coalesce(sum(h) FILTER (WHERE NOT s), 0) AS target_sum FROM prints)
     SELECT 'orders' AS "table", source_rows, target_rows, CAST(source_sum AS VARCHAR) AS source_sum,
-      CAST(target_sum AS VARCHAR) AS target_sum, {_MATCH} AS match FROM f""",
+      CAST(target_sum AS VARCHAR) AS target_sum, CASE WHEN {_MATCH} THEN '' ELSE '0' END AS mismatched_buckets,
+      {_MATCH} AS match FROM f""",
 )
 def reconcile_full(spark: SparkSession, folder: str) -> DataFrame:
     out = R.full_report(orders_pair(spark, folder), portable=True)
-    return out.withColumns({c: F.col(c).cast("string") for c in ("source_sum", "target_sum")})
+    sums = {c: F.col(c).cast("string") for c in ("source_sum", "target_sum")}
+    listed = F.array_join(F.col("mismatched_buckets").cast("array<string>"), ",")
+    return out.withColumns({**sums, "mismatched_buckets": listed})
 
 
 @query(
@@ -195,8 +198,23 @@ def reconcile_drill(spark: SparkSession, folder: str) -> DataFrame:
 )
 def reconcile_refine(spark: SparkSession, folder: str) -> DataFrame:
     """Composite key, and a second checksum pass before rows are compared."""
-    prints = R.persist_fingerprints(spark, turns_pair(spark, folder))
-    return R.classify(R.refine(prints, R.bucket_sums(prints), 64, R.BUCKETS)).select("pk", "kind")
+    pair = turns_pair(spark, folder)
+    prints = R.persist_fingerprints(spark, pair)
+    suspects = R.suspect_keys(R.refine(prints, R.bucket_sums(prints), 64, R.BUCKETS))
+    return R.classify(R.fingerprints(pair, suspects=suspects)).select("pk", "kind")
+
+
+@query(
+    "reconcile_drill_keyless",
+    f"""WITH {_LINEITEM_TARGET}, u AS (
+      SELECT {_LCOLS}, l_partkey, l_returnflag, 1 AS n FROM lineitem
+      UNION ALL SELECT {_LCOLS}, l_partkey, l_returnflag, -1 FROM lineitem_t),
+    g AS (SELECT {_LCOLS}, l_partkey, l_returnflag, sum(n) AS surplus FROM u GROUP BY ALL HAVING sum(n) <> 0)
+    SELECT CASE WHEN surplus > 0 THEN 'missing_on_target' ELSE 'extra_on_target' END AS kind, count(*) AS rows FROM g GROUP BY 1""",
+)
+def reconcile_drill_keyless(spark: SparkSession, folder: str) -> DataFrame:
+    """The bucketed drill on a table without a key."""
+    return R.drill(lineitem_pair(spark, folder)).groupBy("kind").agg(F.count("*").alias("rows"))
 
 
 @query(

@@ -94,6 +94,11 @@ class TablePair:
     def key_columns(self) -> list[str]:
         return list(self.keys) or self.hash_columns
 
+    @property
+    def keyless(self) -> bool:
+        """The whole compared row is the key."""
+        return self.key_columns == self.hash_columns
+
     def sides(self) -> tuple[DataFrame, DataFrame]:
         """Both sides narrowed to the columns that the comparison reads."""
         needed = list(dict.fromkeys([*self.key_columns, *self.hash_columns]))
