@@ -78,6 +78,24 @@ def test_unfinished_generation_is_ignored(spark, table):
     assert state(table.state(spark)) == {(1, "a"), (2, "b"), (3, "c")}
 
 
+def test_schema_evolution(spark, tmp_path):
+    wide = spark.createDataFrame([(2, "b2", "new", "u", 11)], "k bigint, v string, extra string, op string, pos bigint")
+    plain = spark.createDataFrame([(3, "c", "c", 12)], "k bigint, v string, op string, pos bigint")
+    snapshot = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string")
+    strict = ChangeTable(str(tmp_path / "strict"), ("k",))
+    strict.create(snapshot, 10)
+    with pytest.raises(ValueError, match="extra"):
+        strict.write_batch(wide, 0)
+    basic = ChangeTable(str(tmp_path / "basic"), ("k",), evolution="basic")
+    basic.create(snapshot, 10)
+    basic.write_batch(wide, 0)
+    basic.write_batch(plain, 1)
+    want = {(1, "a", None), (2, "b2", "new"), (3, "c", None)}
+    assert {tuple(r) for r in basic.state(spark).select("k", "v", "extra").collect()} == want
+    basic.compact(spark)
+    assert {tuple(r) for r in basic.state(spark).select("k", "v", "extra").collect()} == want
+
+
 def test_no_generation_is_an_error(spark, tmp_path):
     t = ChangeTable(str(tmp_path), ("k",))
     (tmp_path / "generations").mkdir()

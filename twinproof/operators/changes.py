@@ -56,16 +56,24 @@ def latest_per_key(changes: DataFrame, keys: Sequence[str], pos: str = "pos") ->
 
 
 def merge(
-    snapshot: DataFrame, latest: DataFrame, keys: Sequence[str], op: str = "op", pos: str = "pos"
+    snapshot: DataFrame,
+    latest: DataFrame,
+    keys: Sequence[str],
+    op: str = "op",
+    pos: str = "pos",
+    add_columns: bool = False,
 ) -> DataFrame:
     """Upsert or delete one change per key into a snapshot.
 
     Untouched rows pass through an anti join, which Spark broadcasts while the changes are
-    small; the snapshot's payload never enters an aggregation.
+    small; the snapshot's payload never enters an aggregation. With ``add_columns``, columns
+    that only the changes have are appended; otherwise they are left out.
     """
     keep = snapshot.join(latest.select(*keys), list(keys), "left_anti")
-    upserts = latest.filter(F.col(op) != DELETE).select(*snapshot.columns)
-    return keep.unionByName(upserts)
+    upserts = latest.filter(F.col(op) != DELETE)
+    if add_columns:
+        return evolve(keep, upserts.drop(op, pos))
+    return keep.unionByName(upserts.select(*snapshot.columns))
 
 
 def apply_changes(

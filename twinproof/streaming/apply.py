@@ -55,12 +55,17 @@ def latest_state(changes: DataFrame, keys: Sequence[str], pos: str = "pos") -> D
 
 @dataclass(frozen=True)
 class ChangeTable:
-    """A keyed table kept as generations plus change batches under one folder."""
+    """A keyed table kept as generations plus change batches under one folder.
+
+    ``evolution`` is ``none`` (a batch with unknown columns is rejected) or ``basic`` (columns
+    are added, never dropped or retyped).
+    """
 
     path: str
     keys: tuple[str, ...]
     op: str = "op"
     pos: str = "pos"
+    evolution: str = "none"
 
     # -- writing ---------------------------------------------------------------------------
 
@@ -70,6 +75,11 @@ class ChangeTable:
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
         """Sink for ``foreachBatch``; running it twice for one id has no further effect."""
+        if self.evolution == "none":
+            known = {*self._generation(batch.sparkSession)[0].columns, self.op, self.pos}
+            unknown = sorted(set(batch.columns) - known)
+            if unknown:
+                raise ValueError(f"batch {batch_id} has unknown columns: {', '.join(unknown)}")
         latest = latest_per_key(batch, self.keys, self.pos)
         latest.write.mode("overwrite").parquet(f"{self.path}/batches/batch={batch_id:012d}")
 
@@ -102,12 +112,12 @@ class ChangeTable:
 
     def state(self, spark: SparkSession) -> DataFrame:
         """The table after every applied change."""
-        _, path, high_water = self._newest(spark)
-        snapshot = spark.read.parquet(path)
+        snapshot, high_water = self._generation(spark)
         pending = self._pending(spark, high_water)
         if pending is None:
             return snapshot
-        return merge(snapshot, latest_per_key(pending, self.keys, self.pos), self.keys, self.op, self.pos)
+        latest = latest_per_key(pending, self.keys, self.pos)
+        return merge(snapshot, latest, self.keys, self.op, self.pos, add_columns=self.evolution == "basic")
 
     # -- folders ---------------------------------------------------------------------------
 
@@ -132,9 +142,15 @@ class ChangeTable:
             raise ValueError(f"no complete generation under {self.path}")
         return best
 
+    def _generation(self, spark: SparkSession) -> tuple[DataFrame, int]:
+        _, path, high_water = self._newest(spark)
+        return spark.read.parquet(path), high_water
+
     def _pending(self, spark: SparkSession, high_water: int) -> DataFrame | None:
         fs, root = self._fs(spark, "batches")
         if not fs.exists(root):
             return None
-        batches = spark.read.parquet(root.toString()).drop("batch")
+        # Only tables that may gain columns pay for reading every footer.
+        merge_schema = str(self.evolution == "basic").lower()
+        batches = spark.read.option("mergeSchema", merge_schema).parquet(root.toString()).drop("batch")
         return batches.filter(F.col(self.pos) > high_water)
