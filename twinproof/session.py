@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 #: Canonical row text depends on these, so both sides of a comparison must run under them.
 PINNED = {
     "spark.sql.session.timeZone": "UTC",
+    # Decides, among others, how a decimal reads as text: 0.00000000 or 0E-8.
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
