@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinproof.functions.canon import quoted
+from twinproof.functions.canon import exact_sum, quoted
 
 NUMERIC, TEXT, TEMPORAL, BOOLEAN, OTHER = "numeric", "text", "temporal", "boolean", "other"
 
@@ -63,22 +63,6 @@ def category_of_name(type_name: Column) -> Column:
     )
 
 
-def _limbs(value: Column) -> list[tuple[Column, int]]:
-    """A long as three 21-bit limbs; their long sums stay exact for 10^12 rows."""
-    mask = F.lit((1 << 21) - 1)
-    return [
-        (F.shiftright(value, 42), 1 << 42),
-        (F.shiftright(value, 21).bitwiseAND(mask), 1 << 21),
-        (value.bitwiseAND(mask), 1),
-    ]
-
-
-def _limb_sum(value: Column) -> Column:
-    """Exact sum of a long column, without a wide decimal per row."""
-    parts = [F.sum(v).cast("decimal(20,0)") * F.lit(w).cast("decimal(14,0)") for v, w in _limbs(value)]
-    return (parts[0] + parts[1] + parts[2]).cast("decimal(38,0)")
-
-
 def _helpers(i: int, col: Column, dtype: T.DataType, trim_blanks: bool) -> dict[str, Column]:
     """Per-row values that several metrics of a column share, computed once below the aggregate."""
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
@@ -110,9 +94,9 @@ def _metric(i: int, name: str, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.DecimalType):
         return F.sum(v).cast(_SCALED).cast("string")
     if not fractional:
-        return _limb_sum(v.cast("bigint")).cast("string")
+        return exact_sum(v.cast("bigint")).cast("string")
     millionth = F.expr("cast(0.000001 as decimal(7,6))")
-    scaled = (_limb_sum(F.col(f"m{i}")).cast("decimal(31,0)") * millionth).cast(_SCALED)
+    scaled = (exact_sum(F.col(f"m{i}")).cast("decimal(31,0)") * millionth).cast(_SCALED)
     large = F.sum(f"w{i}")
     return F.coalesce(scaled + large, scaled, large).cast(_SCALED).cast("string")
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinproof.functions.canon import bucket, checksum, key_text, quoted, row_hash
+from twinproof.functions.canon import bucket, checksum, key_text, limbs, quoted, row_hash
 from twinproof.session import shared_dir
 from twinproof.sources.tables import TablePair
 
@@ -74,29 +74,24 @@ def persist_fingerprints(spark: SparkSession, pair: TablePair, buckets: int = BU
     return spark.read.parquet(path)
 
 
-def bucket_sums(prints: DataFrame, by: Iterable[str] = ("b",)) -> DataFrame:
-    """Counts and checksums of both sides per bucket."""
-    by = list(by)
-    per_side = prints.groupBy(*by, "on_source").agg(F.count("*").alias("n"), checksum(F.col("h")).alias("h"))
-    zero = F.lit(0).cast("decimal(38,0)")
+def _both_sides() -> list[Column]:
+    """Row counts and checksums of source and target, as aggregates over fingerprints."""
+    src, h = F.col("on_source"), F.col("h")
+    return [
+        F.count_if(src).alias("source_rows"),
+        F.count_if(~src).alias("target_rows"),
+        checksum(F.when(src, h)).alias("source_sum"),
+        checksum(F.when(~src, h)).alias("target_sum"),
+    ]
 
-    def pick(col: str, on_source: bool, empty):
-        wanted = F.col("on_source") if on_source else ~F.col("on_source")
-        return F.coalesce(F.max(F.when(wanted, F.col(col))), empty)
 
-    return (
-        per_side.groupBy(*by)
-        .agg(
-            pick("n", True, F.lit(0)).alias("source_rows"),
-            pick("n", False, F.lit(0)).alias("target_rows"),
-            pick("h", True, zero).alias("source_sum"),
-            pick("h", False, zero).alias("target_sum"),
-        )
-        .withColumn(
-            "match",
-            (F.col("source_rows") == F.col("target_rows")) & (F.col("source_sum") == F.col("target_sum")),
-        )
-    )
+def _same() -> Column:
+    return (F.col("source_rows") == F.col("target_rows")) & (F.col("source_sum") == F.col("target_sum"))
+
+
+def bucket_sums(prints: DataFrame, by: Iterable[str] = ("b",)) -> DataFrame:
+    """Counts and checksums of both sides per bucket."""
+    return prints.groupBy(*by).agg(*_both_sides()).withColumn("match", _same())
 
 
 def bucket_report(pair: TablePair, buckets: int = BUCKETS, portable: bool = False) -> DataFrame:
@@ -113,18 +108,11 @@ def full_report(pair: TablePair, portable: bool = False) -> DataFrame:
         return df.select(F.lit(on_source).alias("on_source"), h.alias("h"))
 
     rows = side(source, target, True).unionByName(side(target, source, False))
-    src, zero = F.col("on_source"), F.lit(0).cast("decimal(38,0)")
-    totals = rows.agg(
-        F.count_if(src).alias("source_rows"),
-        F.count_if(~src).alias("target_rows"),
-        F.coalesce(F.sum(F.when(src, F.col("h").cast("decimal(38,0)"))), zero).alias("source_sum"),
-        F.coalesce(F.sum(F.when(~src, F.col("h").cast("decimal(38,0)"))), zero).alias("target_sum"),
-    )
-    same = (F.col("source_rows") == F.col("target_rows")) & (F.col("source_sum") == F.col("target_sum"))
+    totals = rows.agg(*_both_sides())
     # The whole table is bucket 0.
-    wrong = F.when(same, F.array().cast("array<bigint>")).otherwise(F.array(F.lit(0).cast("bigint")))
+    wrong = F.when(_same(), F.array().cast("array<bigint>")).otherwise(F.array(F.lit(0).cast("bigint")))
     return totals.select(
-        F.lit(pair.name).alias("table"), "*", wrong.alias("mismatched_buckets"), same.alias("match")
+        F.lit(pair.name).alias("table"), "*", wrong.alias("mismatched_buckets"), _same().alias("match")
     )
 
 
@@ -134,15 +122,15 @@ def _per_key(prints: DataFrame, by: Iterable[str]) -> DataFrame:
     Aggregating both sides together is a full outer join on the key that also copes with
     repeated keys, and merges them before the shuffle.
     """
-    src, zero = F.col("on_source"), F.lit(0).cast("decimal(38,0)")
-    h = F.col("h").cast("decimal(38,0)")
-    sums = prints.groupBy(*by).agg(
-        F.count_if(src).alias("ns"),
-        F.count_if(~src).alias("nt"),
-        F.coalesce(F.sum(F.when(src, h)), zero).alias("hs"),
-        F.coalesce(F.sum(F.when(~src, h)), zero).alias("ht"),
+    src = F.col("on_source")
+    signed = [F.sum(F.when(src, limb).otherwise(-limb)) for limb in limbs(F.col("h"))]
+    out = prints.groupBy(*by).agg(
+        F.count_if(src).alias("source_rows"),
+        F.count_if(~src).alias("target_rows"),
+        *[column.alias(f"_d{i}") for i, column in enumerate(signed)],
     )
-    return sums.filter((F.col("ns") != F.col("nt")) | (F.col("hs") != F.col("ht")))
+    equal = (F.col("source_rows") == F.col("target_rows")) & (F.col("_d0") == 0) & (F.col("_d1") == 0) & (F.col("_d2") == 0)
+    return out.filter(~equal).drop("_d0", "_d1", "_d2")
 
 
 def suspect_keys(prints: DataFrame) -> DataFrame:
@@ -156,12 +144,12 @@ def classify(prints: DataFrame, keyless: bool = False) -> DataFrame:
     Without a key the whole row is the key; then only its number of copies can differ, and the
     side with fewer of them decides.
     """
-    ns, nt = F.col("ns"), F.col("nt")
+    ns, nt = F.col("source_rows"), F.col("target_rows")
     if keyless:
         kind = F.when(ns > nt, MISSING).otherwise(EXTRA)
     else:
         kind = F.when(nt == 0, MISSING).when(ns == 0, EXTRA).otherwise(DIFFERENT)
-    return _per_key(prints, ["b", "kh", "pk"]).select("b", "pk", "ns", "nt", kind.alias("kind"))
+    return _per_key(prints, ["b", "kh", "pk"]).select("b", "pk", "source_rows", "target_rows", kind.alias("kind"))
 
 
 def drill_prints(prints: DataFrame, bad: DataFrame) -> DataFrame:
