@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -211,8 +214,6 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > 0))
 
 
-def wildcards_regex(patterns: list[str]) -> str:
+def wildcards_regex(patterns: Sequence[str]) -> str:
     """One anchored regex for names where ``*`` stands for any run of characters."""
-    import re
-
     return "^(" + "|".join(".*".join(re.escape(p) for p in pat.split("*")) for pat in patterns) + ")$"

@@ -215,13 +215,16 @@ def create_tables(translated: DataFrame, by: Sequence[str], table: str = "table_
     columns = F.sort_array(F.collect_list(F.struct("ordinal", line.alias("line"))))
     keys = F.sort_array(
         F.collect_list(
-            F.when(F.col("key_position").isNotNull(), F.struct("key_position", sql_identifier(F.col("column_name")).alias("name")))
+            F.when(
+                F.col("key_position").isNotNull(),
+                F.struct("key_position", sql_identifier(F.col("column_name")).alias("name")),
+            )
         )
     )
     grouped = translated.groupBy(*by, table).agg(columns.alias("_columns"), keys.alias("_keys"))
+    names = F.array_join(F.transform("_keys", lambda k: k["name"]), ", ")
     key_line = F.when(
-        F.size("_keys") > 0,
-        F.array(F.concat(F.lit("  PRIMARY KEY ("), F.array_join(F.transform("_keys", lambda k: k["name"]), ", "), F.lit(")"))),
+        F.size("_keys") > 0, F.array(F.concat(F.lit("  PRIMARY KEY ("), names, F.lit(")")))
     ).otherwise(F.array().cast("array<string>"))
     body = F.array_join(F.concat(F.transform("_columns", lambda c: c["line"]), key_line), ",\n")
     ddl = F.concat(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.functions.scalars import price_note, split_setting
+from twinproof.functions.scalars import price_note, split_setting, wildcards_regex
 
 # Settings tuned to machine size, items every target has, and risky upgrades.
 SIZE_TUNED = (
@@ -29,6 +29,41 @@ UPGRADE_RISK = {
     "pg_cron": "some version pairs have no UPDATE path; confirm one before cutover",
     "pg_repack": "some version pairs have no UPDATE path; confirm one before cutover",
 }
+# Schemas that the platform manages; ``*`` stands for any run of characters.
+MANAGED_SCHEMAS = (
+    "_analytics",
+    "_realtime",
+    "_supavisor",
+    "auth",
+    "cron",
+    "dbdev",
+    "etl",
+    "extensions",
+    "graphql",
+    "graphql_public",
+    "net",
+    "pgbouncer",
+    "pgmq",
+    "pgsodium",
+    "pgsodium_masks",
+    "pgtle",
+    "realtime",
+    "repack",
+    "storage",
+    "supabase_functions",
+    "supabase_migrations",
+    "tiger",
+    "tiger_data",
+    "timescaledb_*",
+    "_timescaledb_*",
+    "topology",
+    "vault",
+)
+
+
+def own_schemas(catalog: DataFrame, schema: str = "schema") -> DataFrame:
+    """Catalog rows outside the managed schemas."""
+    return catalog.filter(~F.col(schema).rlike(wildcards_regex(MANAGED_SCHEMAS)))
 
 
 def parse_settings(rows: DataFrame, roles: DataFrame | None = None, databases: DataFrame | None = None) -> DataFrame:

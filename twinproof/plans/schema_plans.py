@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinproof.functions.scalars import wildcards_regex
 from twinproof.operators import conform as T
+from twinproof.operators.inventory import own_schemas
 from twinproof.operators.profile import category_of_name
 from twinproof.plans.registry import Derived, pick, query, with_ctes
 from twinproof.session import shared_dir
@@ -245,12 +245,6 @@ def hash_column_audit(spark: SparkSession, folder: str) -> DataFrame:
     return C.hash_column_audit(LIVE.df(spark, folder).drop("attnum"), PINNED.df(spark, folder))
 
 
-# Schemas that the platform manages; ``*`` stands for any run of characters.
-MANAGED = [
-    "_analytics", "_realtime", "_supavisor", "auth", "cron", "dbdev", "etl", "extensions", "graphql", "graphql_public", "net",
-    "pgbouncer", "pgmq", "pgsodium", "pgsodium_masks", "pgtle", "realtime", "repack", "storage", "supabase_functions",
-    "supabase_migrations", "tiger", "tiger_data", "timescaledb_*", "_timescaledb_*", "topology", "vault",
-]
 _SCHEMAS = ["public", "auth", "authx", "timescaledb_internal", "_timescaledb_", "graphql_public", "app", "Storage"]
 _SCOPED = ["true", "false", "true", "false", "false", "false", "true", "true"]
 SCHEMAS = Derived("schemas", "part", {"id": "p_partkey", "schema": pick("p_partkey", _SCHEMAS)})
@@ -259,7 +253,7 @@ SCHEMAS = Derived("schemas", "part", {"id": "p_partkey", "schema": pick("p_partk
 @query("schema_scope", with_ctes(SCHEMAS) + f"SELECT * FROM schemas WHERE CAST({pick('id', _SCOPED)} AS BOOLEAN)")
 def schema_scope(spark: SparkSession, folder: str) -> DataFrame:
     """Catalog rows outside the managed schemas."""
-    return SCHEMAS.df(spark, folder).filter(~F.col("schema").rlike(wildcards_regex(MANAGED)))
+    return own_schemas(SCHEMAS.df(spark, folder))
 
 
 NAMES = Derived(
