@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinproof.functions.canon import quoted
 
@@ -40,6 +41,12 @@ def route(
     return out.withColumn("routed", F.coalesce(F.col("table").isNotNull() & allowed, F.lit(False)))
 
 
+def open_images(changes: DataFrame, schema: T.StructType) -> DataFrame:
+    """(op, pos, columns) from JSON row images: the after-image, or the before-image of a delete."""
+    image = F.from_json(F.coalesce("after", "before"), schema)
+    return changes.select("op", "pos", image.alias("_image")).select("op", "pos", "_image.*")
+
+
 def latest_per_key(changes: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
     """The change with the highest position per key.
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from twinproof.operators import changes as C
 from twinproof.operators.loadgen import audit, churn
 from twinproof.plans.registry import Derived, query, with_ctes
 from twinproof.session import shared_dir
 from twinproof.sources.tables import load
-from twinproof.streaming.apply import ChangeTable, latest_state, read_landed
+from twinproof.streaming.apply import ChangeRouter, ChangeTable, latest_state, read_landed
 
 KEYS = ["user_id"]
 
@@ -149,6 +150,49 @@ def cdc_stateful(spark: SparkSession, folder: str) -> DataFrame:
     return table.state(spark)
 
 
+# Changes of two tables in one stream, with JSON images; some topics belong to nobody.
+ENVELOPES = Derived(
+    "envelopes",
+    "events",
+    {
+        "pos": "event_id",
+        "topic": "CASE WHEN value > 90 THEN 'other.shop.dead' WHEN event_type IN ('view', 'click') THEN 'dbz.shop.page_hits' "
+        "ELSE 'dbz.shop.accounts' END",
+        "op": "CASE event_type WHEN 'signup' THEN 'c' WHEN 'error' THEN 'd' ELSE 'u' END",
+        "before": "CASE WHEN event_type = 'error' THEN '{\"user_id\":' || user_id || '}' END",
+        "after": "CASE WHEN event_type <> 'error' THEN '{\"user_id\":' || user_id || ',\"event_type\":\"' || event_type || '\"}' END",
+    },
+)
+
+
+@query(
+    "cdc_routed_stream",
+    with_ctes(ENVELOPES)
+    + """, l AS (SELECT *, split_part(topic, '.', 3) AS t, CAST(json_extract(coalesce(after, before), '$.user_id') AS BIGINT) AS user_id FROM envelopes
+      WHERE topic LIKE 'dbz.%'),
+    k AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY t, user_id ORDER BY pos DESC) = 1)
+    SELECT t AS "table", user_id, json_extract_string(after, '$.event_type') AS event_type FROM k WHERE op <> 'd'
+    UNION ALL SELECT 'quarantine', count(*), NULL FROM envelopes WHERE topic NOT LIKE 'dbz.%'""",
+)
+def cdc_routed_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """One stream fans out to two tables; unroutable changes are counted from quarantine."""
+    landing = shared_dir(spark, "landing")
+    envelopes = ENVELOPES.df(spark, folder)
+    envelopes.write.json(landing)
+    columns = T.StructType.fromDDL("user_id bigint, event_type string")
+    tables = {name: ChangeTable(shared_dir(spark, name), ("user_id",)) for name in ("accounts", "page_hits")}
+    for table in tables.values():
+        table.create(spark.createDataFrame([], columns), -1)
+    router = ChangeRouter(tables, dict.fromkeys(tables, columns), shared_dir(spark, "quarantine"), "dbz")
+    stream = read_landed(spark, landing, envelopes.schema, fmt="json")
+    router.start(stream, shared_dir(spark, "offsets")).awaitTermination()
+    rejected = spark.read.parquet(router.quarantine).agg(F.count("*").alias("user_id"))
+    out = rejected.select(F.lit("quarantine").alias("table"), "user_id", F.lit(None).cast("string").alias("event_type"))
+    for name, table in tables.items():
+        out = out.unionByName(table.state(spark).select(F.lit(name).alias("table"), "user_id", "event_type"))
+    return out
+
+
 _ROUTES = """SELECT pos, topic, regexp_extract(topic, '^dbz\\.[^.]+\\.(.*)$', 1) AS r,
   regexp_extract(topic4, '^dbz\\.[^.]+\\.[^.]+\\.(.*)$', 1) AS table4 FROM topics"""
 

@@ -8,14 +8,14 @@ that arrives again loses against the higher position already applied.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinproof.operators.changes import latest_per_key, merge
+from twinproof.operators.changes import latest_per_key, merge, open_images, route
 
 
 def read_landed(
@@ -154,3 +154,38 @@ class ChangeTable:
         merge_schema = str(self.evolution == "basic").lower()
         batches = spark.read.option("mergeSchema", merge_schema).parquet(root.toString()).drop("batch")
         return batches.filter(F.col(self.pos) > high_water)
+
+
+@dataclass(frozen=True)
+class ChangeRouter:
+    """One stream of changes of many tables: by topic to its table, the rest to quarantine.
+
+    A change carries ``topic``, ``op``, ``pos`` and the JSON images ``before`` and ``after``.
+    ``schemas`` gives the columns to read from the images of each table.
+    """
+
+    tables: Mapping[str, ChangeTable]
+    schemas: Mapping[str, T.StructType]
+    quarantine: str
+    prefix: str
+    segments: int = 1
+
+    def write_batch(self, batch: DataFrame, batch_id: int) -> None:
+        """Sink for ``foreachBatch``. The batch is kept while each table takes its part of it."""
+        routed = route(batch, self.prefix, segments=self.segments, include=list(self.tables)).persist()
+        try:
+            rejected = routed.filter(~F.col("routed")).drop("table", "routed")
+            rejected.write.mode("overwrite").parquet(f"{self.quarantine}/batch={batch_id:012d}")
+            for name, table in self.tables.items():
+                mine = routed.filter(F.col("routed") & (F.col("table") == name))
+                table.write_batch(open_images(mine, self.schemas[name]), batch_id)
+        finally:
+            routed.unpersist()
+
+    def start(self, changes: DataFrame, checkpoint: str):
+        return (
+            changes.writeStream.foreachBatch(self.write_batch)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
