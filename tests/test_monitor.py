@@ -26,7 +26,7 @@ def series(spark, n=3000, hot=0.6):
     rng = random.Random(7)
     rows = []
     for i in range(n):
-        s = "hot" if rng.random() < hot else rng.choice(["a", "b", "c"])
+        s = "hot" if rng.random() < hot else rng.choice(["a", "b", None])
         chunk = i // 100
         if s == "a" and chunk % 3 == 1:
             continue

@@ -25,6 +25,14 @@ def position_chunk(order: str, width: int = CHUNK_WIDTH) -> Column:
     return F.floor(F.col(order) / width)
 
 
+_KEY = "_series"
+
+
+def _keyed(df: DataFrame, series: Sequence[str]) -> DataFrame:
+    """The series as one struct, which joins to itself even where a column in it is null."""
+    return df.withColumn(_KEY, F.struct(*[F.col(c) for c in series]))
+
+
 def with_previous(
     df: DataFrame, series: Sequence[str], chunk: str, order: str, columns: Sequence[str]
 ) -> DataFrame:
@@ -33,42 +41,42 @@ def with_previous(
     ``chunk`` must not decrease along ``order`` (see :func:`position_chunk`); ``order`` must be
     unique within a series.
     """
-    series = list(series)
-    inside = Window.partitionBy(*series, chunk).orderBy(order)
+    df = _keyed(df, series)
+    inside = Window.partitionBy(_KEY, chunk).orderBy(order)
+    across = Window.partitionBy(_KEY).orderBy(chunk)
     payload = F.struct(*[F.col(c) for c in columns])
-    across = Window.partitionBy(*series).orderBy(chunk)
     carried = (
-        df.groupBy(*series, chunk)
+        df.groupBy(_KEY, chunk)
         .agg(F.max_by(payload, F.col(order)).alias("_last"))
-        .select(*series, chunk, F.lag("_last").over(across).alias("_carry"))
+        .select(_KEY, chunk, F.lag("_last").over(across).alias("_carry"))
     )
-    out = df.withColumn("_in", F.lag(payload).over(inside)).join(carried, [*series, chunk])
+    out = df.withColumn("_in", F.lag(payload).over(inside)).join(carried, [_KEY, chunk])
     # A struct from the window is null only where the chunk starts.
     prev = F.coalesce(F.col("_in"), F.col("_carry"))
     out = out.withColumn("_prev", prev).withColumn("has_prev", F.col("_prev").isNotNull())
     for c in columns:
         out = out.withColumn(f"prev_{c}", F.col(f"_prev.{c}"))
-    return out.drop("_in", "_carry", "_prev")
+    return out.drop("_in", "_carry", "_prev", _KEY)
 
 
 def with_running_count(
     df: DataFrame, series: Sequence[str], chunk: str, order: str, condition: Column, name: str
 ) -> DataFrame:
     """Add the number of rows up to and including this one that satisfy ``condition``."""
-    series = list(series)
+    df = _keyed(df, series)
     flag = F.when(condition, 1).otherwise(0).cast("bigint")
     inside = (
-        Window.partitionBy(*series, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy(_KEY, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    before = Window.partitionBy(*series).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(_KEY).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(*series, chunk)
+        df.groupBy(_KEY, chunk)
         .agg(F.sum(flag).alias("_hits"))
-        .select(*series, chunk, F.coalesce(F.sum("_hits").over(before), F.lit(0)).alias("_offset"))
+        .select(_KEY, chunk, F.coalesce(F.sum("_hits").over(before), F.lit(0)).alias("_offset"))
     )
     return (
         df.withColumn("_inside", F.sum(flag).over(inside))
-        .join(offsets, [*series, chunk])
+        .join(offsets, [_KEY, chunk])
         .withColumn(name, F.col("_inside") + F.col("_offset"))
-        .drop("_inside", "_offset")
+        .drop("_inside", "_offset", _KEY)
     )
