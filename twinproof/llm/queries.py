@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinproof.llm import decontamination, packing, quality_classifier, quality_rules, sharding, token_counts, url_filter, warc
+from twinproof.llm import class_lm, decontamination, packing, quality_classifier, quality_rules, sharding, token_counts, url_filter, warc
 from twinproof.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-model score of every document."""
+    return class_lm.score_documents(table(spark, sf_dir, "documents"))
