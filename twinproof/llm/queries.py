@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinproof.llm import class_lm, decontamination, packing, quality_classifier, quality_rules, sharding, token_counts, url_filter, warc
+from twinproof.llm import class_lm, decontamination, jaccard_join, packing, quality_classifier, quality_rules, sharding, token_counts, url_filter, warc
 from twinproof.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class-model score of every document."""
     return class_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents that links of 0.9 similarity connect."""
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), 90)
