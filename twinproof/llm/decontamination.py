@@ -138,8 +138,9 @@ def _merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], reach[np.append(first[1:], len(spans)) - 1]], 1)
 
 
-def _scan(docs: DataFrame, index: Index, last: bool, keep: list[str]) -> DataFrame:
-    """Add one block's hits to the columns ``_spans`` (pairs of longs) and ``_items``; at the last block count words as well."""
+def _scan(docs: DataFrame, index: Index, last: bool, keep: list[str], passed: list[str]) -> DataFrame:
+    """Add one block's hits to the columns ``_spans`` (pairs of longs) and ``_items``; at the last block count words as well.
+    ``passed``: ``_text``, if a later step needs it."""
     shared = docs.sparkSession.sparkContext.broadcast(index)  # BLOCK_BYTES bounds it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,16 +163,12 @@ def _scan(docs: DataFrame, index: Index, last: bool, keep: list[str]) -> DataFra
                     old = np.frombuffer(spans[i + d] or b"", "<i8").reshape(-1, 2)
                     spans[i + d] = _merge(np.concatenate([old, new])).astype("<i8").tobytes()
                     items[i + d] = sorted({*(items[i + d] or []), *(x for w in set(window[a:b].tolist()) for x in own.items[w])})
-            kept = {c: batch.column(c) for c in keep}
-            if last:
-                out = kept | {"n_words": pa.array(counts, pa.int64())}
-            else:
-                out = kept | {"_text": batch.column("_text")}
+            out = {c: batch.column(c) for c in [*keep, *passed]} | ({"_n_words": pa.array(counts, pa.int64())} if last else {})
             out |= {"_spans": pa.array(spans, pa.binary()), "_items": pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    own = [f"`{c}` {kinds[c]}" for c in keep] + (["n_words long"] if last else ["_text string"])
+    own = [f"`{c}` {kinds[c]}" for c in [*keep, *passed]] + ["_n_words long"] * last
     return map_arrow(docs.select(*keep, "_text", "_spans", "_items"), run, ", ".join([*own, "_spans binary", "_items array<string>"]))
 
 
@@ -198,22 +195,30 @@ def _rarity(docs: DataFrame, index: Index) -> np.ndarray:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (doc_id), n_words, spans (hit words, begin and end), items (text of item_ids) of every document.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_too: bool = False) -> DataFrame:
+    """doc_id, ``_n_words``, ``_spans`` (hit words, begin and end) and ``_items`` (text of item_ids) of every document; with ``text_too`` all
+    its columns.
 
-    Null or empty texts have no words; an item without words has no window; repeated items count once, by id.
+    Null or empty texts have no words; an item without words or without id has no window; repeated items count once, by id.
     """
-    keep = keep or ["doc_id"]
+    others = [c for c in docs.columns if c != "text"] if text_too else ["doc_id"]
     size = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"), F.lit(None).cast("binary").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
+    rows = docs.select(*others, F.col("text").cast("string").alias("_text"), F.lit(None).cast("binary").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"))
     out = rows
     for k in range(blocks):
         items = benchmark.filter(block == k).select(F.col("item_id").cast("string"), F.col("text").cast("string")).collect()
         index = build([tuple(r) for r in items if r[0] is not None], window)
-        out = _scan(out, index.choose(_rarity(rows, index)), k == blocks - 1, keep)
-    return out.withColumnsRenamed({"_spans": "spans", "_items": "items"})
+        last = k == blocks - 1
+        out = _scan(out, index.choose(_rarity(rows, index)), last, others, ["_text"] if text_too or not last else [])
+    return out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """The rows without any benchmark window, with all their columns."""
+    clean = find_contamination(docs, benchmark, window, text_too=True).filter("_spans IS NULL")
+    return clean.withColumnRenamed("_text", "text").select(*docs.columns)
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -221,12 +226,12 @@ def summary(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [np.frombuffer(s or b"", "<i8").reshape(-1, 2) for s in batch.column("spans").to_pylist()]
-            items = [sorted(x or []) for x in batch.column("items").to_pylist()]
+            spans = [np.frombuffer(s or b"", "<i8").reshape(-1, 2) for s in batch.column("_spans").to_pylist()]
+            items = [sorted(x or []) for x in batch.column("_items").to_pylist()]
             hit = [int((s[:, 1] - s[:, 0]).sum()) for s in spans]
             columns = [
                 batch.column("doc_id"),
-                batch.column("n_words"),
+                batch.column("_n_words"),
                 pa.array(hit, pa.int64()),
                 pa.array([len(x) for x in items], pa.int64()),
                 pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
@@ -235,4 +240,4 @@ def summary(found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return map_arrow(found.select("doc_id", "n_words", "spans", "items"), run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return map_arrow(found.select("doc_id", "_n_words", "_spans", "_items"), run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

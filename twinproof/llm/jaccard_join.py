@@ -384,3 +384,10 @@ def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
     known = least.join(ids, "root").select("set_id", "component_id")
     out = rows.join(known, "set_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = 90) -> DataFrame:
+    """One row of each group, that with the smallest doc_id, with all its columns. Of repeated doc_ids one row stays; rows
+    without a doc_id can't be told apart and stay."""
+    first = jaccard_components(docs, percent).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)

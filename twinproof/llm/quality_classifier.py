@@ -139,21 +139,28 @@ def train(docs: DataFrame, labels: DataFrame, conf: Settings, folds: int = 5, he
     return fit([(np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<i4"), r[3]) for r in rows], counts.get(1, 0), counts.get(0, 0), conf)
 
 
-def score_documents(docs: DataFrame, model: Model, conf: Settings, keep: list[str] | None = None) -> DataFrame:
-    """Score of every row (0 to 1, higher: label 1 likelier) beside ``keep`` (doc_id). An empty or null text gets the prior."""
+def score_documents(docs: DataFrame, model: Model, conf: Settings, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """Score of every row (0 to 1, higher: label 1 likelier) beside the columns ``keep`` (doc_id). An empty or null text gets the
+    prior."""
     keep = keep or ["doc_id"]
     weights, bias = model.weights.astype(np.float32), model.bias
+    extra = [] if "text" in keep else [F.col("text").cast("string").alias("text")]
+    rows = docs.select(*keep, *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(weights, bias)
         for batch in batches:
-            scores = own.scores(utf8(batch.column("_text")), conf)
-            kept = batch.drop_columns(["_text"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(scores, pa.float64())], [*kept.schema.names, "score"])
+            scores = own.scores(utf8(batch.column("text").cast(pa.string())), conf)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores, pa.float64())], [*keep, name])
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
-    return map_arrow(rows, run, own + ", score double")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return map_arrow(rows, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{name}` double"]))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, conf: Settings = Settings(), threshold: float = 0.3) -> DataFrame:
+    """The rows that the classifier does not reject, with all their columns."""
+    scored = score_documents(docs, train(docs, labels, conf), conf, docs.columns, "_llm_score")
+    return scored.filter(F.col("_llm_score") >= threshold).drop("_llm_score")
 
 
 def classify(docs: DataFrame, labels: DataFrame, conf: Settings = Settings(), threshold: float = 0.3) -> DataFrame:

@@ -86,16 +86,22 @@ def stats(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def text_stats(docs: DataFrame) -> DataFrame:
-    """doc_id and STATS of every whole text; a null or empty one has zeros."""
-    names = ["doc_id", *(c.split()[0] for c in STATS.split(", "))]
+NAMES = [c.split()[0] for c in STATS.split(", ")]
+
+
+def text_stats(docs: DataFrame, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """The columns ``keep`` (doc_id) and STATS of every whole text; a null or empty one has zeros."""
+    keep = keep or ["doc_id"]
+    names = [*keep, *(prefix + c for c in NAMES)]
+    rows = docs.select(*keep, *([] if "text" in keep else [F.col("text").cast("string").alias("text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = stats(utf8(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in found.T)], names)
+            found = stats(utf8(batch.column("text").cast(pa.string())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(c) for c in found.T)], names)
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, f"doc_id long, {STATS}")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return map_arrow(rows, run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{prefix}{c}` long" for c in NAMES)]))
 
 
 def stratum(bands: tuple[int, ...] = BANDS) -> Column:
@@ -138,9 +144,12 @@ def choose(counts: dict[tuple[int, int], np.ndarray], rules: tuple[Rule, ...], s
 def find_cutoffs(found: DataFrame, labels: DataFrame, rules: tuple[Rule, ...], bands: tuple[int, ...], share: float, error: float, price: float) -> dict[tuple[int, int], float]:
     """Cutoffs from all labelled documents; rows with a null label are left out, repeated ones count each time."""
     marked = found.join(labels.filter("quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality")), "doc_id")
-    first = F.array(*[
-        F.size(F.filter(F.array(*map(F.lit, r.cutoffs)), lambda c, r=r: ~(F.lit(r.sign) * F.expr(r.measure) > c))) for r in rules
-    ])
+
+    def first_to_reject(rule: Rule) -> Column:
+        value = F.lit(rule.sign) * F.expr(rule.measure)
+        return F.size(F.filter(F.array(*map(F.lit, rule.cutoffs)), lambda c: ~(value > c)))
+
+    first = F.array(*map(first_to_reject, rules))
     rows = marked.select("quality", stratum(bands).alias("stratum"), F.posexplode(first).alias("rule", "first"))
     counts: dict[tuple[int, int], np.ndarray] = {}
     for q, s, r, f, n in rows.groupBy("quality", "stratum", "rule", "first").count().collect():  # at most strata x cutoffs x 2
@@ -158,15 +167,28 @@ def apply_rules(
     error: float = 0.05,
     price: float = 20.0,
 ) -> DataFrame:
-    """doc_id, STATS, base_failed, kept and rule (the first that rejects) of every row.
+    """doc_id, STATS, base_failed, rule (the first that rejects) and kept of every row.
 
     ``share``: good documents that a stratum may lose at most, with probability 1 - ``error`` over all strata. ``price``:
     bad documents that must go for each good one lost. Without labels nothing but the base rejects.
     """
     found = saved(text_stats(docs), "text-stats")
-    cutoffs = find_cutoffs(found, labels, rules, bands, share, error, price)
+    return verdict(found, find_cutoffs(found, labels, rules, bands, share, error, price), rules, bands)
+
+
+def verdict(found: DataFrame, cutoffs: dict[tuple[int, int], float], rules: tuple[Rule, ...] = RULES, bands: tuple[int, ...] = BANDS) -> DataFrame:
+    """Add base_failed, rule and kept to rows with STATS."""
     reason = F.lit(None).cast("string")
     for (s, r), cut in sorted(cutoffs.items(), reverse=True):
         reason = F.when((stratum(bands) == s) & (F.lit(rules[r].sign) * F.expr(rules[r].measure) > cut), rules[r].name).otherwise(reason)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return found.withColumns({"base_failed": failed, "rule": reason}).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, share: float = 0.05, error: float = 0.05, price: float = 20.0) -> DataFrame:
+    """The rows that no rule rejects, with all their columns. Columns whose names clash with measures are left as they are."""
+    measured = text_stats(docs, docs.columns, "_llm_")
+    found = saved(measured.select("doc_id", *(F.col(f"_llm_{c}").alias(c) for c in NAMES)), "text-stats")
+    cutoffs = find_cutoffs(found, labels, RULES, BANDS, share, error, price)
+    packed = measured.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_llm_row"), *(F.col(f"_llm_{c}").alias(c) for c in NAMES))
+    return verdict(packed, cutoffs).filter("kept").select("_llm_row.*")

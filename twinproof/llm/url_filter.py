@@ -19,12 +19,12 @@ Rule = tuple[str, str, str]
 BLOCKED = (
     "casino-win free-bets cheap-pills ads-track adult-cams xxx-video poker-room slots-bonus porn-tube viagra-shop pills-store "
     "betting-odds free-casino win-jackpot track-pixel ad-server click-ads popup-ads loan-fast payday-cash sex-chat hot-cams "
-    "crack-keygen warez-free torrent-crack replica-watch fake-id spam-mail malware-host phish-login"
+    "adult-video adult-site spam-links spam-host link-farm x-rated crack-keygen warez-free torrent-crack replica-watch fake-id spam-mail malware-host phish-login"
 ).split()
 ALLOWED = (
     "library museum journal theatre weather recipes gardens history science physics chemistry biology cooking travel letters "
     "poetry gazette herald tribune archive lecture college another nation station attention ocean earth northern southern "
-    "thesis notion shore heron throne tether anthem lantern rhythm orient notes docs wiki forum research hospital council "
+    "that there other than then weather hat thatch motion onset reason thread shell want range thesis notion shore heron throne tether anthem lantern rhythm orient notes docs wiki forum research hospital council "
     "parish railway harbour mountain river forest village kitchen workshop orchestra gallery observatory"
 ).split()
 SHAPES = (("", "/en/{n}"), ("www.", "/{n}.html"), ("m.", "/de/{n}/"), ("blog.", "/fr/{n}"))
@@ -62,17 +62,12 @@ def rule_verdict(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
 def buckets(host: Column, path: Column, sizes: tuple[int, ...], width: int) -> Column:
     """Hash buckets of the character n-grams of ``<host>`` and of the path; repeats stay."""
 
-    def grams(text: Column, salt: int) -> Column:
-        parts = [
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))),
-                lambda i, n=n: F.pmod(F.xxhash64(F.lit(salt), text.substr(i, F.lit(n))), F.lit(width)).cast("int"),
-            )
-            for n in sizes
-        ]
-        return F.concat(*parts)
+    def grams(text: Column, n: int, salt: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(salt), text.substr(i, F.lit(n))), F.lit(width)).cast("int"))
 
-    return F.concat(grams(F.concat(F.lit("<"), host, F.lit(">")), 0), grams(F.concat(path, F.lit(">")), 1))
+    marked = (F.concat(F.lit("<"), host, F.lit(">")), F.concat(path, F.lit(">")))
+    return F.concat(*[grams(text, n, salt) for salt, text in enumerate(marked) for n in sizes])
 
 
 def train(labelled: DataFrame, sizes: tuple[int, ...], width: int, steps: int, rate: float, decay: float) -> list[float]:
@@ -110,7 +105,7 @@ def logit(x: Column, weights: list[float]) -> Column:
     return total / F.sqrt(F.size(x).cast("double")) + F.lit(weights[-1])
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame, sizes: tuple[int, ...] = (3, 4), width: int = 8192, steps: int = 150, rate: float = 20.0, decay: float = 1e-4) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[Rule], labelled: DataFrame, sizes: tuple[int, ...] = (3, 4), width: int = 8192, steps: int = 300, rate: float = 20.0, decay: float = 1e-4) -> DataFrame:
     """page_id, host, path, rule and verdict of every row, by rule or else by the model (block at odds of one or more).
 
     An empty host is allowed unless a rule says otherwise.
