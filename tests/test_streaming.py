@@ -71,13 +71,59 @@ def test_a_batch_run_twice_counts_once(spark, table):
 
 
 def test_unfinished_generation_is_ignored(spark, table):
-    half = f"{table.path}/generations/gen-00000001-at-99"
-    spark.createDataFrame([(7, "half")], "k bigint, v string").write.option(
+    half = f"{table.path}/generations/gen-00000001"
+    spark.createDataFrame([('{"folders": {}, "batches": []}',)], "value string").write.option(
         "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false"
-    ).parquet(half)
+    ).text(half)
     assert state(table.state(spark)) == {(1, "a"), (2, "b"), (3, "c")}
 
 
+def test_late_change_of_another_key_survives_compaction(spark, table):
+    table.write_batch(spark.createDataFrame([(1, "u", 100, "a2")], DDL), 0)
+    table.compact(spark)
+    table.write_batch(spark.createDataFrame([(2, "u", 50, "b2"), (1, "u", 60, "stale"), (8, "c", 10, "in snapshot")], DDL), 1)
+    want = {(1, "a2"), (2, "b2"), (3, "c")}
+    assert state(table.state(spark)) == want
+    assert table.compact(spark) == 2 and state(table.state(spark)) == want
+    removed = table.retire(spark)
+    assert any(f.startswith("batches/") for f in removed) and any(f.startswith("data/gen-00000000/") for f in removed)
+    assert state(table.state(spark)) == want
+    # A batch that is delivered again after its folder is gone counts as applied.
+    table.write_batch(spark.createDataFrame([(1, "u", 100, "a2")], DDL), 0)
+    assert table.compact(spark) == 2 and state(table.state(spark)) == want
+
+
+def test_two_checkpoints_keep_their_batches_apart(spark, table, tmp_path):
+    schema = spark.createDataFrame([], DDL).schema
+    for i in (1, 2):
+        feed(spark, tmp_path / f"in{i}", [(i, "u", 20 + i, f"run{i}")])
+        table.start(read_landed(spark, str(tmp_path / f"in{i}"), schema), str(tmp_path / f"offsets{i}")).awaitTermination()
+    assert state(table.state(spark)) == {(1, "run1"), (2, "run2"), (3, "c")}
+
+
+def test_compaction_rewrites_touched_buckets_only(spark, tmp_path):
+    t = ChangeTable(str(tmp_path / "table"), ("k",), buckets=16)
+    t.create(spark.range(200).selectExpr("id AS k", "'v' AS v"), 0)
+    t.write_batch(spark.createDataFrame([(5, "u", 3, "new")], DDL), 0)
+    t.compact(spark)
+    assert len(list((tmp_path / "table/data/gen-00000001").glob("_bucket=*"))) == 1
+    assert t.state(spark).count() == 200 and (5, "new") in state(t.state(spark))
+
+
+def test_create_refuses_an_existing_table(spark, table):
+    with pytest.raises(ValueError, match="already"):
+        table.create(spark.createDataFrame([(1, "a")], "k bigint, v string"), 0)
+
+
+def test_deleted_key_stays_deleted_and_may_return(spark, table):
+    table.write_batch(spark.createDataFrame([(1, "d", 30, None)], DDL), 0)
+    table.compact(spark)
+    table.write_batch(spark.createDataFrame([(1, "u", 25, "stale")], DDL), 1)
+    assert state(table.state(spark)) == {(2, "b"), (3, "c")}
+    table.write_batch(spark.createDataFrame([(1, "c", 31, "back")], DDL), 2)
+    assert state(table.state(spark)) == {(1, "back"), (2, "b"), (3, "c")}
+
+
 def test_schema_evolution(spark, tmp_path):
     wide = spark.createDataFrame([(2, "b2", "new", "u", 11)], "k bigint, v string, extra string, op string, pos bigint")
     plain = spark.createDataFrame([(3, "c", "c", 12)], "k bigint, v string, op string, pos bigint")

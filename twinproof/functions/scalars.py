@@ -59,9 +59,13 @@ def lsn_position(lsn: Column) -> Column:
 
 
 def binlog_position(file_pos: Column) -> Column:
-    """``file:pos`` as a struct that orders by file name, then offset."""
+    """``file:pos`` as a struct that orders by the file's base name, its number, then the offset.
+
+    The number is compared as a number, so a file whose number has outgrown its padding still comes later.
+    """
     return F.struct(
-        F.regexp_extract(file_pos, "^(.*):([0-9]+)$", 1).alias("file"),
+        F.regexp_extract(file_pos, r"^(.*?)(?:\.([0-9]+))?:([0-9]+)$", 1).alias("base"),
+        F.regexp_extract(file_pos, r"^(.*?)(?:\.([0-9]+))?:([0-9]+)$", 2).try_cast("bigint").alias("number"),
         F.regexp_extract(file_pos, "^(.*):([0-9]+)$", 2).try_cast("bigint").alias("pos"),
     )
 

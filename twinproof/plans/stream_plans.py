@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from twinproof.functions.scalars import binlog_position
 from twinproof.operators import changes as C
 from twinproof.operators.loadgen import audit, churn
 from twinproof.plans.registry import Derived, query, with_ctes
@@ -135,6 +136,47 @@ def cdc_replay(spark: SparkSession, folder: str) -> DataFrame:
     return table.state(spark)
 
 
+@query("cdc_late_after_compact", _ALL_SQL)
+def cdc_late_after_compact(spark: SparkSession, folder: str) -> DataFrame:
+    """Every second position lands only after the others were folded into a generation."""
+    landing, offsets = shared_dir(spark, "landing"), shared_dir(spark, "offsets")
+    table = ChangeTable(shared_dir(spark, "table"), tuple(KEYS))
+    table.create(SNAPSHOT.df(spark, folder), -1)
+    schema = CHANGES.df(spark, folder).schema
+    for where in ("pos % 2 = 1", "pos % 2 = 0"):
+        _land(spark, folder, landing, where)
+        table.start(read_landed(spark, landing, schema), offsets).awaitTermination()
+        table.compact(spark)
+    table.retire(spark)
+    return table.state(spark)
+
+
+@query("cdc_two_checkpoints", _ALL_SQL)
+def cdc_two_checkpoints(spark: SparkSession, folder: str) -> DataFrame:
+    """Two streams with checkpoints of their own feed one table."""
+    table = ChangeTable(shared_dir(spark, "table"), tuple(KEYS))
+    table.create(SNAPSHOT.df(spark, folder), -1)
+    schema = CHANGES.df(spark, folder).schema
+    for where in ("pos % 3 = 0", "pos % 3 > 0"):
+        landing = shared_dir(spark, "landing")
+        _land(spark, folder, landing, where)
+        table.start(read_landed(spark, landing, schema), shared_dir(spark, "offsets")).awaitTermination()
+    return table.state(spark)
+
+
+@query("cdc_log_positions", _ALL_SQL)
+def cdc_log_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """The same changes under binlog positions: numbered files, whose numbers outgrow their padding, and offsets."""
+    table = ChangeTable(shared_dir(spark, "table"), tuple(KEYS))
+    text = F.concat(F.lit("bin."), (F.col("pos") / 100).cast("bigint") + 999_990, F.lit(":"), (F.col("pos") % 100).cast("string"))
+    changes = CHANGES.df(spark, folder).withColumn("pos", binlog_position(text))
+    table.create(SNAPSHOT.df(spark, folder), binlog_position(F.lit("bin.000000:0")))
+    for batch, where in enumerate(("user_id % 2 = 0", "user_id % 2 = 1")):
+        table.write_batch(changes.filter(where), batch)
+    table.compact(spark)
+    return table.state(spark)
+
+
 @query("cdc_stateful", _ALL_SQL)
 def cdc_stateful(spark: SparkSession, folder: str) -> DataFrame:
     """The latest change per key held as streaming state: a late re-delivery cannot replace it."""
@@ -186,7 +228,7 @@ def cdc_routed_stream(spark: SparkSession, folder: str) -> DataFrame:
     router = ChangeRouter(tables, dict.fromkeys(tables, columns), shared_dir(spark, "quarantine"), "dbz")
     stream = read_landed(spark, landing, envelopes.schema, fmt="json")
     router.start(stream, shared_dir(spark, "offsets")).awaitTermination()
-    rejected = spark.read.parquet(router.quarantine).agg(F.count("*").alias("user_id"))
+    rejected = router.rejected(spark, envelopes.schema).agg(F.count("*").alias("user_id"))
     out = rejected.select(F.lit("quarantine").alias("table"), "user_id", F.lit(None).cast("string").alias("event_type"))
     for name, table in tables.items():
         out = out.unionByName(table.state(spark).select(F.lit(name).alias("table"), "user_id", "event_type"))

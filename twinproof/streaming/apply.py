@@ -1,13 +1,16 @@
 """Change apply as a stream: landed change files in, an exact table state out.
 
-Each micro-batch is reduced to the latest change per key and written to its own folder, named
-by batch id, so a replayed batch replaces itself. The state is the newest complete generation
-plus the batches after it. Nothing rewrites a folder that is being read, and a stale change
-that arrives again loses against the higher position already applied.
+Each micro-batch is reduced to the latest change per key and written to its own folder, named by run (one per
+checkpoint) and batch id, so a replayed batch replaces itself and two runs never meet. A generation keeps rows in hash
+buckets of the key, each with the position that was applied last, also for deleted keys, and lists the batches it
+contains. So a change is judged against its own key's position, however late it lands, and a compaction rewrites only
+the buckets that pending changes touch. Nothing rewrites a folder that is being read.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -15,7 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from twinproof.operators.changes import latest_per_key, merge, open_images, route
+from twinproof.functions.canon import quoted
+from twinproof.operators.changes import DELETE, evolve, latest_per_key, open_images, route
+
+#: Columns of a stored row besides its own: bucket, applied position, and whether the key is deleted.
+_BUCKET, _POS, _GONE = "_bucket", "_pos", "_gone"
 
 
 def read_landed(
@@ -53,12 +60,22 @@ def latest_state(changes: DataFrame, keys: Sequence[str], pos: str = "pos") -> D
     return latest_per_key(changes, keys, pos)
 
 
+@dataclass(frozen=True)
+class _Generation:
+    """What a manifest says: which folder holds each bucket, which batches are contained."""
+
+    number: int
+    folders: dict[int, int]
+    batches: frozenset[str]
+
+
 @dataclass(frozen=True)
 class ChangeTable:
     """A keyed table kept as generations plus change batches under one folder.
 
-    ``evolution`` is ``none`` (a batch with unknown columns is rejected) or ``basic`` (columns
-    are added, never dropped or retyped).
+    ``evolution`` is ``none`` (a batch with unknown columns is rejected) or ``basic`` (columns are added, never dropped or
+    retyped). A change is a whole row: a column that its batch lacks becomes null. Positions may be of any type whose order is
+    that of the log: numbers, padded text, structs. ``buckets`` is fixed when the table is created.
     """
 
     path: str
@@ -66,30 +83,41 @@ class ChangeTable:
     op: str = "op"
     pos: str = "pos"
     evolution: str = "none"
+    buckets: int = 64
 
     # -- writing ---------------------------------------------------------------------------
 
-    def create(self, snapshot: DataFrame, high_water: int) -> None:
-        """Generation 0: the initial copy, taken at a recorded position."""
-        self._write_generation(snapshot, 0, high_water)
-
-    def write_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """Sink for ``foreachBatch``; running it twice for one id has no further effect."""
+    def create(self, snapshot: DataFrame, high_water) -> None:
+        """Generation 0: the initial copy. It contains every change up to ``high_water`` (a value, or a column of no rows'
+        content such as a literal struct)."""
+        spark = snapshot.sparkSession
+        if self._numbers(spark):
+            raise ValueError(f"{self.path} already holds a table")
+        mark = F.lit(high_water)
+        if isinstance(high_water, int):
+            mark = mark.cast("bigint")
+        spark.range(1).select(mark.alias(_POS)).write.mode("overwrite").parquet(f"{self.path}/mark")
+        rows = snapshot.withColumns({_POS: mark, _GONE: F.lit(False)})
+        self._write(rows, 0, {}, frozenset())
+
+    def write_batch(self, batch: DataFrame, batch_id: int, run: str = "direct") -> None:
+        """Write the changes of one batch; running it twice for one run and id has no further effect."""
         if self.evolution == "none":
-            known = {*self._generation(batch.sparkSession)[0].columns, self.op, self.pos}
+            known = {*self._rows(batch.sparkSession).columns, self.op, self.pos}
             unknown = sorted(set(batch.columns) - known)
             if unknown:
                 raise ValueError(f"batch {batch_id} has unknown columns: {', '.join(unknown)}")
         latest = latest_per_key(batch, self.keys, self.pos)
-        latest.write.mode("overwrite").parquet(f"{self.path}/batches/batch={batch_id:012d}")
+        latest.write.mode("overwrite").parquet(f"{self.path}/batches/run={run}/batch={batch_id:012d}")
 
     def start(self, changes: DataFrame, checkpoint: str, mode: str = "append"):
         """Apply everything that has landed, then stop; restarting resumes from the checkpoint.
 
         Use mode ``update`` for the output of :func:`latest_state`.
         """
+        run = run_name(checkpoint)
         return (
-            changes.writeStream.foreachBatch(self.write_batch)
+            changes.writeStream.foreachBatch(lambda batch, batch_id: self.write_batch(batch, batch_id, run))
             .outputMode(mode)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
@@ -97,71 +125,152 @@ class ChangeTable:
         )
 
     def compact(self, spark: SparkSession) -> int:
-        """Write the current state as a new generation and return its number."""
-        number, _, high_water = self._newest(spark)
-        pending = self._pending(spark, high_water)
-        if pending is None:
-            return number
-        top = pending.agg(F.max(self.pos)).first()[0]
-        if top is None:
-            return number
-        self._write_generation(self.state(spark), number + 1, top)
-        return number + 1
+        """Apply the pending batches to the buckets they touch, as a new generation; return its number."""
+        now = self._newest(spark)
+        names = self._waiting(spark, now)
+        latest = self._latest(spark, names)
+        if latest is None:
+            return now.number
+        # One number per bucket at most.
+        touched = [r[0] for r in latest.select(self._bucket().alias("b")).distinct().collect()]
+        batches = now.batches | frozenset(names)
+        if not touched:
+            return now.number
+        rows = self._merged(self._rows(spark, now, touched), latest)
+        self._write(rows, now.number + 1, {b: n for b, n in now.folders.items() if b not in touched}, batches)
+        return now.number + 1
+
+    def retire(self, spark: SparkSession) -> list[str]:
+        """Delete batches that the newest generation contains, and data that it does not use. Call it while nobody reads an
+        older state; returns the deleted folders."""
+        now = self._newest(spark)
+        gone = [f"batches/{name}" for name in sorted(now.batches)]
+        fs, root = self._fs(spark, "data")
+        for status in fs.listStatus(root):
+            number = int(status.getPath().getName().removeprefix("gen-"))
+            used = {b for b, n in now.folders.items() if n == number}
+            for part in fs.listStatus(status.getPath()):
+                name = part.getPath().getName()
+                if name.startswith(f"{_BUCKET}=") and int(name.split("=")[1]) not in used:
+                    gone.append(f"data/gen-{number:08d}/{name}")
+        out = []
+        for relative in gone:
+            fs, path = self._fs(spark, relative)
+            if fs.exists(path) and fs.delete(path, True):
+                out.append(relative)
+        return out
 
     # -- reading ---------------------------------------------------------------------------
 
     def state(self, spark: SparkSession) -> DataFrame:
-        """The table after every applied change."""
-        snapshot, high_water = self._generation(spark)
-        pending = self._pending(spark, high_water)
-        if pending is None:
-            return snapshot
-        latest = latest_per_key(pending, self.keys, self.pos)
-        return merge(snapshot, latest, self.keys, self.op, self.pos, add_columns=self.evolution == "basic")
+        """The table after every change that has been written."""
+        now = self._newest(spark)
+        rows = self._rows(spark, now)
+        latest = self._latest(spark, self._waiting(spark, now))
+        if latest is not None:
+            rows = self._merged(rows, latest)
+        return rows.filter(~F.col(_GONE)).drop(_POS, _GONE)
+
+    # -- rows ------------------------------------------------------------------------------
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*[quoted(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
+
+    def _merged(self, rows: DataFrame, latest: DataFrame) -> DataFrame:
+        """Rows with the changes whose position is beyond that of their key. The rows' payload meets no aggregation."""
+        keys = list(self.keys)
+        applied = rows.select(*[quoted(k) for k in keys], F.col(_POS).alias("_applied"))
+        new = latest.join(applied, keys, "left").filter(F.col("_applied").isNull() | (quoted(self.pos) > F.col("_applied"))).drop("_applied")
+        kept = rows.join(new.select(*[quoted(k) for k in keys]), keys, "left_anti")
+        new = new.withColumns({_POS: quoted(self.pos), _GONE: F.col(self.op) == DELETE})
+        if self.evolution == "basic":
+            return evolve(kept, new.drop(*[c for c in (self.op, self.pos) if c not in rows.columns]))
+        return kept.unionByName(new.select(*[quoted(c) for c in rows.columns]))
+
+    def _latest(self, spark: SparkSession, names: Sequence[str]) -> DataFrame | None:
+        """Latest waiting change per key, without those that the snapshot already contains."""
+        if not names:
+            return None
+        # Only tables that may gain columns pay for reading every footer.
+        reader = spark.read.option("mergeSchema", str(self.evolution == "basic").lower())
+        waiting = reader.parquet(*[f"{self.path}/batches/{n}" for n in names])
+        mark = spark.read.parquet(f"{self.path}/mark").select(_POS).scalar()
+        return latest_per_key(waiting.filter(quoted(self.pos) > mark), self.keys, self.pos)
 
     # -- folders ---------------------------------------------------------------------------
 
-    def _write_generation(self, rows: DataFrame, number: int, high_water: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/generations/gen-{number:08d}-at-{high_water}")
+    def _write(self, rows: DataFrame, number: int, others: dict[int, int], batches: frozenset[str]) -> None:
+        """Data first, then the manifest: a generation without a finished manifest does not exist."""
+        spark = rows.sparkSession
+        folder = f"{self.path}/data/gen-{number:08d}"
+        placed = rows.withColumn(_BUCKET, self._bucket())
+        # A few tasks per bucket: a full bucket is not one task's work.
+        spread = F.pmod(F.xxhash64(*[quoted(k) for k in self.keys], F.lit(1)), F.lit(4))
+        placed.repartition(_BUCKET, spread).write.mode("overwrite").partitionBy(_BUCKET).parquet(folder)
+        fs, root = self._fs(spark, f"data/gen-{number:08d}")
+        own = [p.getPath().getName() for p in fs.listStatus(root)]
+        folders = others | {int(n.split("=")[1]): number for n in own if n.startswith(f"{_BUCKET}=")}
+        manifest = json.dumps({"folders": folders, "batches": sorted(batches), "schema": rows.schema.json()})
+        spark.range(1).select(F.lit(manifest).alias("value")).write.mode("overwrite").text(f"{self.path}/generations/gen-{number:08d}")
 
     def _fs(self, spark: SparkSession, relative: str):
         hpath = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{relative}")
         return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
 
-    def _newest(self, spark: SparkSession) -> tuple[int, str, int]:
-        """Number, path and position of the newest generation whose write has finished."""
-        fs, root = self._fs(spark, "generations")
-        best = None
-        for status in fs.listStatus(root):
-            folder = status.getPath()
-            name = folder.getName()
-            if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
-                number, high_water = name.removeprefix("gen-").split("-at-")
-                best = max(best or (-1, "", 0), (int(number), folder.toString(), int(high_water)))
-        if best is None:
-            raise ValueError(f"no complete generation under {self.path}")
-        return best
+    def _complete(self, spark: SparkSession, relative: str) -> list[str]:
+        """Names of finished folders under one."""
+        fs, root = self._fs(spark, relative)
+        if not fs.exists(root):
+            return []
+        folders = [s.getPath() for s in fs.listStatus(root)]
+        return sorted(f.getName() for f in folders if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f, "_SUCCESS")))
+
+    def _numbers(self, spark: SparkSession) -> list[int]:
+        return [int(n.removeprefix("gen-")) for n in self._complete(spark, "generations")]
 
-    def _generation(self, spark: SparkSession) -> tuple[DataFrame, int]:
-        _, path, high_water = self._newest(spark)
-        return spark.read.parquet(path), high_water
+    def _manifest(self, spark: SparkSession, number: int) -> dict:
+        return json.loads(spark.read.text(f"{self.path}/generations/gen-{number:08d}", wholetext=False).first()[0])
 
-    def _pending(self, spark: SparkSession, high_water: int) -> DataFrame | None:
+    def _newest(self, spark: SparkSession) -> _Generation:
+        numbers = self._numbers(spark)
+        if not numbers:
+            raise ValueError(f"no complete generation under {self.path}")
+        manifest = self._manifest(spark, numbers[-1])
+        return _Generation(numbers[-1], {int(b): n for b, n in manifest["folders"].items()}, frozenset(manifest["batches"]))
+
+    def _rows(self, spark: SparkSession, now: _Generation | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+        """Stored rows of a generation, or of some of its buckets."""
+        now = now or self._newest(spark)
+        schema = T.StructType.fromJson(json.loads(self._manifest(spark, now.number)["schema"]))
+        chosen = {b: n for b, n in now.folders.items() if buckets is None or b in set(buckets)}
+        if not chosen:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(*[f"{self.path}/data/gen-{n:08d}/{_BUCKET}={b}" for b, n in sorted(chosen.items())])
+
+    def _waiting(self, spark: SparkSession, now: _Generation) -> list[str]:
+        """Finished batches that the generation does not contain."""
         fs, root = self._fs(spark, "batches")
         if not fs.exists(root):
-            return None
-        # Only tables that may gain columns pay for reading every footer.
-        merge_schema = str(self.evolution == "basic").lower()
-        batches = spark.read.option("mergeSchema", merge_schema).parquet(root.toString()).drop("batch")
-        return batches.filter(F.col(self.pos) > high_water)
+            return []
+        runs = [s.getPath().getName() for s in fs.listStatus(root)]
+        return [n for r in runs for b in self._complete(spark, f"batches/{r}") if (n := f"{r}/{b}") not in now.batches]
+
+
+def run_name(checkpoint: str) -> str:
+    """Name of the run that a checkpoint continues."""
+    return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
+def _with_part(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("part", T.StringType())])
 
 
 @dataclass(frozen=True)
 class ChangeRouter:
     """One stream of changes of many tables: by topic to its table, the rest to quarantine.
 
-    A change carries ``topic``, ``op``, ``pos`` and the JSON images ``before`` and ``after``.
-    ``schemas`` gives the columns to read from the images of each table.
+    A change carries ``topic``, ``op``, ``pos`` and the JSON images ``before`` and ``after``. ``schemas`` gives the columns to read
+    from the images of each table. A batch is split by one partitioned write; each table then reads its own part only.
     """
 
     tables: Mapping[str, ChangeTable]
@@ -170,21 +279,28 @@ class ChangeRouter:
     prefix: str
     segments: int = 1
 
-    def write_batch(self, batch: DataFrame, batch_id: int) -> None:
-        """Sink for ``foreachBatch``. The batch is kept while each table takes its part of it."""
-        routed = route(batch, self.prefix, segments=self.segments, include=list(self.tables)).persist()
-        try:
-            rejected = routed.filter(~F.col("routed")).drop("table", "routed")
-            rejected.write.mode("overwrite").parquet(f"{self.quarantine}/batch={batch_id:012d}")
-            for name, table in self.tables.items():
-                mine = routed.filter(F.col("routed") & (F.col("table") == name))
-                table.write_batch(open_images(mine, self.schemas[name]), batch_id)
-        finally:
-            routed.unpersist()
+    def write_batch(self, batch: DataFrame, batch_id: int, run: str = "direct") -> None:
+        spark = batch.sparkSession
+        routed = route(batch, self.prefix, segments=self.segments, include=list(self.tables))
+        part = F.when(F.col("routed"), F.col("table"))
+        folder = f"{self.quarantine}/run={run}/batch={batch_id:012d}"
+        routed.withColumn("part", part).drop("table", "routed").write.mode("overwrite").partitionBy("part").parquet(folder)
+        split = spark.read.schema(_with_part(batch.schema)).parquet(folder)
+        present = {r[0] for r in split.select("part").distinct().collect()}  # at most one row per table
+        for name, table in self.tables.items():
+            if name in present:
+                mine = split.filter(F.col("part") == name).drop("part")
+                table.write_batch(open_images(mine, self.schemas[name]), batch_id, run)
+
+    def rejected(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        """Changes that belong to no table; ``schema`` is that of the stream."""
+        parts = spark.read.schema(_with_part(schema)).parquet(self.quarantine)
+        return parts.filter("part IS NULL").select(*schema.names)
 
     def start(self, changes: DataFrame, checkpoint: str):
+        run = run_name(checkpoint)
         return (
-            changes.writeStream.foreachBatch(self.write_batch)
+            changes.writeStream.foreachBatch(lambda batch, batch_id: self.write_batch(batch, batch_id, run))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()
