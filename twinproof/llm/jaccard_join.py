@@ -1,12 +1,13 @@
 """Exact join of documents whose three-word shingle sets have a high Jaccard similarity.
 
 Equal sets are one record from the start. Records that can match share a shingle among the first few of a common order, rare
-shingles first (the prefix filter); such a shingle's records are a bucket. Two rounds of T-occurrence search follow:
+shingles first (the prefix filter); such a shingle's records are a bucket. Three rounds of T-occurrence search follow:
 
-1. Stars: each record against the hub of its buckets, the record with the fewest uncommon shingles. In a heap of near
+1. Stars: each record against the hub of its large buckets, the record with the fewest uncommon shingles. In a heap of near
    copies this finds most links without comparing the copies with each other.
-2. The rest: buckets that still hold records of different components are joined to cells; within a cell each record is searched among
-   those of other components. Large cells are split into pairs of blocks, by size class and salt, so tasks stay bounded.
+2. Pairs of small buckets, if the number of prefix shingles that they share does not rule them out.
+3. Large buckets that still hold records of different components are joined to cells; within a cell each record is searched
+   among those of other components. Large cells are split into pairs of blocks, by size class and salt, so tasks stay bounded.
 
 The search is DivideSkip: inverted lists of a query's shingles are divided by length; the short ones are merged in record order and
 give candidates with enough occurrences, which are then looked up in the long lists by binary search.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,10 @@ from twinproof.llm.components import components
 _U = np.uint64
 #: Shingles whose frequency every task knows; it decides the order only, so results don't depend on it.
 COMMON = 1 << 17
+#: The same for words; a shingle is taken to be as rare as its rarest word.
+COMMON_WORDS = 1 << 18
+#: Records of a bucket whose pairs are looked at one by one.
+SMALL = 32
 #: Records of a cell's block.
 BLOCK = 1024
 #: Weight of the long lists' length in DivideSkip's choice of how many lists are long.
@@ -39,20 +45,44 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; one for a text of fewer than three words, none for no words."""
+@dataclass
+class Common:
+    """Frequent hashes, sorted, and how often each was seen."""
+
+    hashes: np.ndarray
+    often: np.ndarray
+
+    def count(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64)
+        k = np.searchsorted(self.hashes, h)
+        k[k == len(self.hashes)] = 0
+        return np.where(self.hashes[k] == h, self.often[k], 0)
+
+
+def shingle_sets(texts: list[bytes], words: Common | None = None, seen: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct shingle hashes of each text, and the count of each one's rarest word; one shingle for a text of fewer than
+    three words, none for no words. ``seen`` takes the word hashes."""
     for i, j in slices(texts):
         data, at = flat(texts[i:j])
         h, s, _ = word_hashes(data, at, lower=True)
+        if seen is not None:
+            seen.append(h)
         cut = np.searchsorted(s, at)
         three = shingles3(h) if len(h) > 2 else h[:0]
+        if words is not None and len(h) > 2:
+            c = words.count(h)
+            rarest = np.minimum(np.minimum(c[:-2], c[1:-1]), c[2:])
+        else:
+            rarest = np.zeros(len(three), np.int64)
         for a, b in zip(cut, cut[1:]):
             if b - a >= 3:
-                yield np.unique(three[a : b - 2])
+                own, first = np.unique(three[a : b - 2], return_index=True) if words is not None else (np.unique(three[a : b - 2]), slice(0, 0))
+                yield own, rarest[a : b - 2][first]
             elif b > a:
-                yield mix(mix(h[a : a + 1] + _U(b - a)) + (h[b - 1 : b] if b - a == 2 else _U(0)))
+                yield mix(mix(h[a : a + 1] + _U(b - a)) + (h[b - 1 : b] if b - a == 2 else _U(0))), np.zeros(1, np.int64)
             else:
-                yield h[:0]
+                yield h[:0], np.zeros(0, np.int64)
 
 
 def set_id(s: np.ndarray) -> int:
@@ -195,21 +225,25 @@ def in_table(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _fingerprints(docs: DataFrame) -> DataFrame:
-    """Kind 0: doc_id, n, set_id of every row. Kind 1: shingles that several sets of a task have, with their number."""
+    """Kind 0: doc_id, n, set_id of every row. Kinds 1 and 2: shingles and words that a task has seen several times, with their
+    number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         held: list[np.ndarray] = []
         size = 0
 
-        def repeated() -> pa.RecordBatch:
-            s, n = np.unique(np.concatenate(held), return_counts=True)
-            s, n = s[n > 1], n[n > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(s), np.int32)), pa.array(s.view(np.int64)), pa.array(n), pa.nulls(len(s), pa.int64())], ["kind", "id", "n", "set_id"])
+        def repeated(parts: list[np.ndarray], kind: int, least: int) -> pa.RecordBatch:
+            s, n = np.unique(np.concatenate(parts), return_counts=True)
+            s, n = s[n >= least], n[n >= least]
+            parts.clear()
+            columns = [pa.array(np.full(len(s), kind, np.int32)), pa.array(s.view(np.int64)), pa.array(n), pa.nulls(len(s), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["kind", "id", "n", "set_id"])
 
+        words: list[np.ndarray] = []
         for batch in batches:
             sizes, ids = [], []
-            for s in shingle_sets(utf8(batch.column(1))):
+            for s, _ in shingle_sets(utf8(batch.column(1)), seen=words):
                 i = set_id(s) if len(s) else None
                 sizes.append(len(s))
                 ids.append(i)
@@ -218,24 +252,27 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
                     held.append(s)
                     size += len(s)
                     if size > 4_000_000:
-                        yield repeated()
-                        held.clear()
+                        yield repeated(held, 1, 2)
                         size = 0
+                if sum(map(len, words)) > 4_000_000:
+                    yield repeated(words, 2, 4)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], ["kind", "id", "n", "set_id"])
             if len(seen) > 500_000:
                 seen.clear()
         if held:
-            yield repeated()
+            yield repeated(held, 1, 2)
+        if words:
+            yield repeated(words, 2, 4)
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "kind int, id long, n long, set_id long")
 
 
-def _postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+def _postings(docs: DataFrame, common: Common, words: Common, percent: int) -> DataFrame:
     """token, set_id, n, uncommon: a row per prefix shingle of every set. Sets may repeat between tasks."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON shingles
+    shared = docs.sparkSession.sparkContext.broadcast((common, words))  # at most COMMON shingles and COMMON_WORDS words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, often = shared.value
+        shingles, frequent = shared.value
         seen: set[int] = set()
         for batch in batches:
             token, ids, sizes, uncommon, rows = [], [], [], [], 0
@@ -245,16 +282,12 @@ def _postings(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: i
                 columns = [np.concatenate(token).view(np.int64), *(np.repeat(np.array(x, np.int64), n) for x in (ids, sizes, uncommon))]
                 return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["token", "set_id", "n", "uncommon"])
 
-            for s in shingle_sets(utf8(batch.column(0))):
+            for s, rarest in shingle_sets(utf8(batch.column(0)), frequent):
                 if not len(s) or (i := set_id(s)) in seen:
                     continue
                 seen.add(i)
-                count = np.zeros(len(s), np.int64)
-                if len(known):
-                    k = np.searchsorted(known, s)
-                    k[k == len(known)] = 0
-                    count = np.where(known[k] == s, often[k], 0)
-                order = np.argsort(count, kind="stable")  # ties in hash order
+                count = shingles.count(s)
+                order = np.lexsort((rarest, count))  # ties in hash order
                 token.append(s[order[: len(s) - least_overlap(len(s), percent) + 1]])
                 ids.append(i)
                 sizes.append(len(s))
@@ -279,7 +312,7 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             ids, tokens, size = [], [], 0
-            for s in shingle_sets(utf8(batch.column(0))):
+            for s, _ in shingle_sets(utf8(batch.column(0))):
                 if not len(s) or (i := set_id(s)) in seen or not in_table(table.value, np.array([i], np.int64))[0]:
                     continue
                 seen.add(i)
@@ -314,10 +347,60 @@ def size_class(n: str, percent: int):
     return F.floor(F.log(F.col(n).cast("double")) / (-math.log(percent / 100) * 1.001)).cast("int")
 
 
-def _rest(postings: DataFrame, labels: DataFrame, sets_of, percent: int) -> DataFrame:
-    """Links between records of different components that share a bucket."""
-    marked = postings.join(labels.withColumnsRenamed({"node": "set_id", "root": "label"}), "set_id", "left")
-    marked = saved(marked.withColumn("label", F.coalesce("label", "set_id")), "marked")
+def least_shared(percent: int) -> str:
+    """SQL: prefix shingles that matches of sizes n and n_b share at least.
+
+    Of the two prefixes, all shingles of the one that ends first and that the other record has lie in the other's prefix. If c are shared,
+    the overlap is c plus the rest of that record at most.
+    """
+    need = f"CAST(ceil({percent} * (n + n_b) / {100 + percent}) AS BIGINT)"
+    own = f"CAST(ceil({percent} * greatest(n, n_b) / 100) AS BIGINT)"
+    return f"{need} - {own} + 1"
+
+
+def stars(pairs: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links (a, b) among pairs (hub, set_id), by a search for each hub among its partners, in salted parts."""
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
+    members = pairs.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("set_id"), F.col("salts")).cast("int").alias("salt"), "set_id", F.lit(False).alias("asks"))
+    hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("set_id"), F.lit(True).alias("asks"))
+    cells = members.unionAll(hubs).withColumn("grp", F.col("set_id"))
+    sets = sets_of(cells.select("set_id").distinct())
+    return search_cells(cells.join(sets, "set_id"), ["hub", "salt"], percent)
+
+
+def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, set_id) of small buckets that can match. ``rows``: token, set_id, n, large (its shingles in large buckets), label."""
+    record = F.struct("set_id", "n", "large", "label")
+    buckets = rows.groupBy("token").agg(F.collect_list(record).alias("r"), F.min("label").alias("lo"), F.max("label").alias("hi"))  # SMALL at most
+    buckets = buckets.filter("lo <> hi").select("r")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            cut = lists.offsets.to_numpy().astype(np.int64)
+            values = lists.values
+            i, n, large, label = (values.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            left, right = [], []
+            for size in np.unique(np.diff(cut)):
+                a, b = np.triu_indices(size, 1)
+                begin = cut[:-1][np.diff(cut) == size]
+                left.append((begin[:, None] + a).ravel())
+                right.append((begin[:, None] + b).ravel())
+            left, right = np.concatenate(left), np.concatenate(right)
+            swap = i[left] > i[right]
+            left, right = np.where(swap, right, left), np.where(swap, left, right)
+            ok = (label[left] != label[right]) & (100 * np.minimum(n[left], n[right]) >= percent * np.maximum(n[left], n[right]))
+            left, right = left[ok], right[ok]
+            columns = [i[left], i[right], n[left], n[right], np.minimum(large[left], large[right])]
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["hub", "set_id", "n", "n_b", "large"])
+
+    pairs = map_arrow(buckets, run, "hub long, set_id long, n long, n_b long, large long")
+    shared = pairs.groupBy("hub", "set_id").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("n_b").alias("n_b"), F.first("large").alias("large"))
+    return shared.filter(f"c + large >= {least_shared(percent)}").select("hub", "set_id")
+
+
+def _cells(marked: DataFrame, sets_of, percent: int) -> DataFrame:
+    """Links between records of different components that share a large bucket. ``marked``: token, set_id, n, label."""
     mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("set_id").alias("first")).filter("lo <> hi")
     edges = marked.join(mixed.select("token", "first"), "token").select("set_id", "first", "n", "label")
     edges = saved(edges.distinct(), "mixed")
@@ -353,30 +436,39 @@ def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
     """
     prints = saved(_fingerprints(docs), "prints")
     rows = prints.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "set_id")
-    often = prints.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).filter("n > 3").orderBy(F.desc("n"), "id").limit(COMMON)
-    top = sorted((np.int64(t).view(_U), n) for t, n in often.collect())
-    common = np.array([t for t, _ in top], _U), np.array([n for _, n in top], np.int64)
-    postings = saved(_postings(docs, common, percent), "postings")
+
+    def common(kind: int, least: int, most: int) -> Common:
+        often = prints.filter(F.col("kind") == kind).groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        top = often.orderBy(F.desc("n"), "id").limit(most).toPandas()  # most rows
+        h = top["id"].to_numpy(np.int64).view(_U)
+        order = np.argsort(h)
+        return Common(h[order], top["n"].to_numpy(np.int64)[order])
+
+    postings = saved(_postings(docs, common(1, 4, COMMON), common(2, 4, COMMON_WORDS), percent), "postings")
 
     hub = F.min(F.struct("uncommon", F.col("set_id").alias("hub"), F.col("n").alias("hub_n"))).alias("h")
-    shared = postings.groupBy("token").agg(hub, F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo <> hi")
-    shared = saved(shared.select("token", "h.hub", "h.hub_n"), "shared")
-    postings = _narrow(postings, "token", bit_table(shared, "token"))
-    postings = saved(postings.join(shared, "token"), "bucket-rows")
-    stars = postings.filter(f"set_id <> hub AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select("set_id", "hub").distinct()
-    stars = saved(stars, "stars")
+    shared = postings.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo <> hi")
+    shared = saved(shared.select("token"), "shared")
+    rows_of = _narrow(postings, "token", bit_table(shared, "token")).join(shared, "token").distinct()
+    rows_of = saved(rows_of, "bucket-rows")
+    buckets = rows_of.groupBy("token").agg(F.count("*").alias("records"), hub).select("token", "records", "h.hub", "h.hub_n")
+    placed = saved(rows_of.join(buckets, "token"), "buckets")
 
     def sets_of(needed: DataFrame) -> DataFrame:
-        return _sets(docs, needed)
-
-    sizes = stars.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
-    members = stars.join(sizes, "hub").select("hub", F.pmod(F.xxhash64("set_id"), F.col("salts")).cast("int").alias("salt"), "set_id", F.lit(False).alias("asks"))
-    hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("set_id"), F.lit(True).alias("asks"))
-    cells = members.unionAll(hubs).withColumn("grp", F.col("set_id"))
-    sets = sets_of(cells.select("set_id").distinct())
-    links = saved(search_cells(cells.join(sets, "set_id"), ["hub", "salt"], percent), "star-links")
-    more = saved(_rest(postings.select("token", "set_id", "n"), components(links, "a", "b"), sets_of, percent), "more-links")
-    roots = components(links.unionAll(more), "a", "b").withColumnsRenamed({"node": "set_id"})
+        return saved(_sets(docs, needed), "sets")
+
+    large = placed.filter(f"records > {SMALL}")
+    to_hub = large.filter(f"set_id <> hub AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select("set_id", "hub").distinct()
+    links = saved(stars(to_hub, sets_of, percent), "star-links")
+
+    labels = components(links, "a", "b").withColumnsRenamed({"node": "set_id", "root": "label"})
+    counted = large.groupBy("set_id").agg(F.count("*").alias("large"))
+    marked = placed.select("token", "records", "set_id", "n").join(labels, "set_id", "left").join(counted, "set_id", "left")
+    marked = saved(marked.withColumns({"label": F.coalesce("label", "set_id"), "large": F.coalesce("large", F.lit(0).cast("long"))}), "marked")
+    pairs = saved(_small_pairs(marked.filter(f"records <= {SMALL}"), percent), "pairs")
+    more = saved(stars(pairs, sets_of, percent), "pair-links")
+    rest = saved(_cells(marked.filter(f"records > {SMALL}"), sets_of, percent), "cell-links")
+    roots = components(links.unionAll(more).unionAll(rest), "a", "b").withColumnsRenamed({"node": "set_id"})
 
     least = rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     least = saved(least.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "set-roots")
