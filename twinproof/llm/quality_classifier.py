@@ -26,7 +26,7 @@ class Settings:
     width: int = 8
     epochs: int = 2
     rate: float = 30.0
-    per_class: int = 2000  # labelled rows of each class that training takes at most
+    per_class: int = 1000  # labelled rows of each class that training takes at most
     seed: int = 7
 
 
@@ -136,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, conf: Settings, folds: int = 5, he
     chosen = text.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality")
     rows = map_arrow(chosen, run, "doc_id long, buckets binary, counts binary, quality int").collect()
     rows.sort(key=lambda r: (r[0], bytes(r[1])))
-    return fit([(np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<i4"), r[3]) for r in rows], counts.get(1, 0), counts.get(0, 0), conf)
+    rows = [(np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<i4"), r[3]) for r in rows]
+    return fit(rows, counts.get(1, 0), counts.get(0, 0), conf)
 
 
 def score_documents(docs: DataFrame, model: Model, conf: Settings, keep: list[str] | None = None, name: str = "score") -> DataFrame:
