@@ -68,7 +68,7 @@ def fold(column: Column, parts: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % parts
 
 
-def gapless(df: DataFrame, keys: list[str], order: list[str], name: str, rows: int, chunk: int = 100_000) -> DataFrame:
+def gapless(df: DataFrame, keys: list[str], order: list[str], name: str, rows: int, chunk: int = 10_000) -> DataFrame:
     """Number the rows of each key from 0 without gaps, a hot key's rows in many tasks.
 
     Rows are dealt into salted chunks of about ``chunk`` rows; each is numbered alone, then moved
@@ -84,6 +84,26 @@ def gapless(df: DataFrame, keys: list[str], order: list[str], name: str, rows: i
     return numbered.join(sizes, [*keys, "_salt"]).withColumn(name, (F.col("_before") + F.col("_row")).cast("long")).drop("_salt", "_row", "_before")
 
 
+class Remembered(dict):
+    """Results of a function by argument, in two generations of about ``limit`` entries: what is in use stays."""
+
+    def __init__(self, function: Callable, limit: int):
+        super().__init__()
+        self.function, self.limit, self.older = function, limit, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.function(key)
+        self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+
+
 # -- Arrow helpers ---------------------------------------------------------------------------------
 
 

@@ -20,13 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import gapless, map_arrow, saved, utf8
+from twinproof.llm.common import Remembered, gapless, map_arrow, saved, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds:
-    """Token ids of white-space-separated words, kept as little-endian bytes; two generations of bounded size.
+    """Token ids of white-space-separated words, kept as little-endian bytes.
 
     For a byte-level BPE with word ends that lower-cases, composes (NFC) and drops white space, as ``PATTERN`` splits it. Its
     normalizer costs more than its merges, so words of characters that need no composing go to the model directly;
@@ -36,12 +36,13 @@ class WordIds:
     # The word pattern of the vocabulary file.
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model.tokenize
-        self.limit, self.new, self.old, self.parts = limit, {}, {}, {}
+        self.limit, self.parts = limit, {}
+        self.words = Remembered(self.word, limit)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {chr(b): chr(b) for b in shown} | {chr(b): chr(256 + i) for i, b in enumerate(hidden)}
@@ -61,14 +62,9 @@ class WordIds:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text."""
-        split = [t.split() for t in texts]
-        new, old = self.new, self.old
-        for w in set().union(*split).difference(new):
-            new[w] = old[w] if w in old else self.word(w)
-        get = new.__getitem__
-        out = [b"".join(map(get, words)) for words in split]
-        if len(new) > self.limit:
-            self.old, self.new = new, {}
+        get = self.words.__getitem__
+        out = [b"".join(map(get, t.split())) for t in texts]
+        self.words.trim()
         if len(self.parts) > self.limit:
             self.parts.clear()
         return out
