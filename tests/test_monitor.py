@@ -22,21 +22,21 @@ def one(spark, column, **values):
 
 
 def series(spark, n=3000, hot=0.6):
-    """A series that holds most samples, one with gaps between its chunks, and small ones."""
+    """A series that holds most samples, one with gaps, and small ones."""
     rng = random.Random(7)
     rows = []
     for i in range(n):
         s = "hot" if rng.random() < hot else rng.choice(["a", "b", None])
-        chunk = i // 100
-        if s == "a" and chunk % 3 == 1:
+        if s == "a" and i // 100 % 3 == 1:
             continue
-        rows.append((s, chunk, i, rng.choice([None, 1, 2, 3]), rng.random() < 0.4))
-    return spark.createDataFrame(rows, "s string, chunk int, ord int, v int, ok boolean").repartition(6)
+        rows.append((s, i * i, rng.choice([None, 1, 2, 3]), rng.random() < 0.4))
+    return spark.createDataFrame(rows, "s string, ord int, v int, ok boolean").repartition(6)
 
 
-def test_previous_equals_the_plain_window(spark):
+@pytest.mark.parametrize("cuts", [1, 2, 3, 64])
+def test_previous_equals_the_plain_window(spark, cuts):
     df = series(spark)
-    got = with_previous(df, ["s"], "chunk", "ord", ["v", "ok"])
+    got = with_previous(df, ["s"], "ord", ["v", "ok"], cuts)
     w = Window.partitionBy("s").orderBy("ord")
     want = df.withColumn("prev_v", F.lag("v").over(w)).withColumn("prev_ok", F.lag("ok").over(w)).withColumn(
         "has_prev", F.lag("ord").over(w).isNotNull()
@@ -45,9 +45,10 @@ def test_previous_equals_the_plain_window(spark):
     assert {tuple(r) for r in got.select(cols).collect()} == {tuple(r) for r in want.select(cols).collect()}
 
 
-def test_running_count_equals_the_plain_window(spark):
+@pytest.mark.parametrize("cuts", [1, 2, 3, 64])
+def test_running_count_equals_the_plain_window(spark, cuts):
     df = series(spark)
-    got = with_running_count(df, ["s"], "chunk", "ord", F.col("ok"), "c")
+    got = with_running_count(df, ["s"], "ord", F.col("ok"), "c", cuts)
     w = Window.partitionBy("s").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     want = df.withColumn("c", F.sum(F.col("ok").cast("int")).over(w))
     assert {tuple(r) for r in got.select("s", "ord", "c").collect()} == {tuple(r) for r in want.select("s", "ord", "c").collect()}
@@ -134,21 +135,21 @@ def test_copy_progress_without_expectation(spark):
 
 def test_first_sample_never_rises(spark):
     df = spark.createDataFrame([("s", 0, 1, 9), ("s", 0, 2, 9), ("s", 1, 3, 10), ("s", 1, 4, 2)], "s string, c int, o int, n int")
-    got = [r["rising"] for r in M.rising(df, ["n"], "s", "c", "o").orderBy("o").collect()]
+    got = [r["rising"] for r in M.rising(df, ["n"], "s", "o").orderBy("o").collect()]
     assert got == [False, False, True, False]
 
 
 def test_streaks(spark):
     oks = [0, 0, 1, 0, 0, 0, 0, 0, 1, 0]
     df = spark.createDataFrame([("s", i // 3, i, bool(v)) for i, v in enumerate(oks)], "s string, c int, o int, ok boolean")
-    got = {(r["first"], r["last"], r["failures"], r["aborts"]) for r in M.failure_streaks(df, "s", "c", "o").collect()}
+    got = {(r["first"], r["last"], r["failures"], r["aborts"]) for r in M.failure_streaks(df, "s", "o").collect()}
     assert got == {(0, 1, 2, False), (3, 7, 5, True), (9, 9, 1, False)}
 
 
 def test_collapse_repeats_keeps_nulls_and_returns(spark):
     lines = ["a", "a", None, None, "a", "b"]
     df = spark.createDataFrame([("s", i // 2, i, v) for i, v in enumerate(lines)], "s string, c int, o int, line string")
-    assert [r["o"] for r in M.collapse_repeats(df, "line", "s", "c", "o").orderBy("o").collect()] == [0, 2, 4, 5]
+    assert [r["o"] for r in M.collapse_repeats(df, "line", "s", "o").orderBy("o").collect()] == [0, 2, 4, 5]
 
 
 def test_write_stop(spark):
@@ -169,7 +170,7 @@ def test_sync_watch(spark):
     rows = [("done", 0, 1, 2, 0, 0), ("done", 0, 2, 2, 2, 1)]
     rows += [("empty", o // 2, o, 0, 0, 1) for o in range(1, 7)]
     rows += [("late", 0, 1, 1, 0, 1), ("late", 9, 50, 1, 0, 0)]
-    got = {r["s"]: (r["outcome"], r["no_worker"], r["no_tables"]) for r in M.sync_watch(spark.createDataFrame(rows, ddl), "s", "c", "o", F.lit(20)).collect()}
+    got = {r["s"]: (r["outcome"], r["no_worker"], r["no_tables"]) for r in M.sync_watch(spark.createDataFrame(rows, ddl), "s", "o", F.lit(20)).collect()}
     assert got == {"done": ("done", 0, 0), "empty": ("waiting", 0, 2), "late": ("timeout", 1, 0)}
 
 
@@ -178,16 +179,16 @@ def test_health_watch(spark):
     rows = [("fine", 0, 1, up), ("fine", 0, 2, None), ("fine", 1, 3, up)]
     rows += [("gone", i // 2, i, None) for i in range(5)] + [("bad", 0, 1, "<html>")]
     df = spark.createDataFrame(rows, "s string, c int, o int, body string")
-    got = {r["s"]: (r["verdict"], r["longest_outage"]) for r in M.health_watch(df, "s", "c", "o").collect()}
+    got = {r["s"]: (r["verdict"], r["longest_outage"]) for r in M.health_watch(df, "s", "o").collect()}
     assert got == {"fine": ("ok", 1), "gone": ("unreachable", 5), "bad": ("connector down", 0)}
 
 
 def test_cutover_gate_needs_everything(spark):
-    names = ["all", "unsigned", "moving", "counts", "position", "absent"]
+    names = ["all", "unsigned", "moving", "counts", "position", "absent", "unknown"]
     signed = spark.createDataFrame([(n, n != "unsigned") for n in names], "src string, signed_off boolean")
     stops = spark.createDataFrame([(n, n != "moving") for n in names if n != "absent"], "src string, stopped boolean")
     counts = spark.createDataFrame(
-        [(n, 5, 4 if n == "counts" else 5, 10, 9 if n == "position" else 10) for n in names],
+        [(n, 5, 4 if n == "counts" else 5, 10, 9 if n == "position" else 10) for n in names] + [("unknown", 5, None, 10, 10)],
         "src string, source_rows int, target_rows int, source_pos int, applied_pos int",
     )
     got = {r["src"]: r["pass"] for r in M.cutover_gate(signed, stops, counts, "src").collect()}
@@ -205,10 +206,11 @@ def test_phase_summary(spark):
     rows = [("good", p, True, 10) for p in M.PHASES]
     rows += [("broke", "preflight", True, 1), ("broke", "replicate", False, 2), ("broke", "watch", True, 4)]
     rows += [("denied", p, True, 10) for p in M.PHASES]
+    rows += [("silent", p, None if p == "replicate" else True, 10) for p in M.PHASES]
     df = spark.createDataFrame(rows, "run string, phase string, ok boolean, ms bigint")
     out = M.phase_summary(df, "run", confirmed=F.col("run") != "denied")
     got = {r["run"]: (r["phases_ok"], r["failed_phase"], r["total_ms"], r["ok"]) for r in out.collect()}
-    assert got == {"good": (5, None, 50, True), "broke": (1, "replicate", 3, False), "denied": (0, "unconfirmed", 0, False)}
+    assert got == {"good": (5, None, 50, True), "broke": (1, "replicate", 3, False), "denied": (0, "unconfirmed", 0, False), "silent": (1, "replicate", 20, False)}
     early = {r["run"]: r["ok"] for r in M.phase_summary(df, "run", "preflight").collect()}
-    assert early == {"good": True, "broke": True, "denied": True}
+    assert early == {"good": True, "broke": True, "denied": True, "silent": True}
     assert M.stop_at_failure(df, "run").filter("run = 'broke'").count() == 2

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from twinproof.functions.ordered import position_chunk
+from twinproof.functions.ordered import _pieces, with_previous
 from twinproof.operators import changes as C
 from twinproof.operators import monitor as M
 from twinproof.operators import reconcile as R
@@ -70,17 +71,34 @@ def test_examples_prune_before_the_shuffle(spark, hot):
     assert "WindowGroupLimit" in plan(out) and out.count() == 40
 
 
-def test_long_series_span_many_chunks(hot):
-    ordered = hot.withColumn("chunk", position_chunk("pos")).withColumn("ok", F.col("v") > 0)
-    assert ordered.select("chunk").distinct().count() == -(-N // 8192)
-    streaks = M.failure_streaks(ordered, "user", "chunk", "pos", limit=2)
+def test_long_series_span_many_pieces(hot):
+    ordered = hot.withColumn("ok", F.col("v") > 0)
+    pieces = _pieces(ordered, ["user"], "pos", 64).groupBy("user", "_piece").count().collect()
+    # The hot user is cut into even pieces, the others stay whole.
+    assert {r["user"] for r in pieces if r["_piece"] is not None} == {7}
+    assert max(r["count"] for r in pieces if r["user"] == 7) < 4 * (N // 3) / 64
+    streaks = M.failure_streaks(ordered, "user", "pos", limit=2)
     assert streaks.agg(F.sum("failures")).first()[0] == hot.filter("v = 0").count()
-    rising = M.rising(ordered, ["v"], "user", "chunk", "pos")
+    rising = M.rising(ordered, ["v"], "user", "pos")
     assert rising.count() == N and rising.filter("NOT has_prev").count() == 1000
     # User 7 sees every third position, so v moves by 3 modulo 13 and falls 3 times in 13.
     assert abs(rising.filter("user = 7 AND rising").count() / rising.filter("user = 7").count() - 10 / 13) < 0.01
 
 
+def test_one_hot_and_many_sparse_series_with_times(spark):
+    """Positions are timestamps; a third of the rows is one series, the rest 10^5 series of two rows."""
+    i = F.col("id")
+    rows = spark.range(300_000).select(
+        F.when(i % 3 == 0, F.lit(-1)).otherwise(i % 100_000).alias("s"), F.timestamp_seconds(i * i % 1_000_000_007).alias("at"), (i % 7).alias("v")
+    )
+    out = with_previous(rows, ["s"], "at", ["v"])
+    w = Window.partitionBy("s").orderBy("at")
+    want = rows.select("s", "at", "v", F.lag("v").over(w).alias("prev_v"))
+    assert out.select("s", "at", "v", "prev_v").exceptAll(want).count() == 0 and out.count() == 300_000
+    # The samples meet one shuffle; everything else that is exchanged is small.
+    assert "SortMergeJoin" not in plan(out)
+
+
 def test_kafka_needs_its_package(spark):
     with pytest.raises(Exception, match="(?i)kafka"):
         read_kafka(spark, "host:9092", ["a", "b"])

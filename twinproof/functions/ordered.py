@@ -1,11 +1,10 @@
 """Look-back and running counts over ordered samples without one task per series.
 
-A plain window puts a whole series on one task. Here a series is cut into chunks of a bounded
-number of rows; windows run inside (series, chunk), and one small row per chunk carries what
-the next chunk needs to know. Results equal those of the plain window.
-
-A third of 10^11 samples in one series makes four million chunks of 8192: the chunk rows of
-that series still sort in one task, the samples never do.
+A plain window puts a whole series on one task. Here a series that holds more than its share of all rows, one in ``cuts``, is cut
+at sampled positions; windows run inside (series, piece), and one small row per piece carries what the next piece needs
+to know. There are at most ``cuts`` such series with at most ``cuts`` pieces each, so boundaries and carried rows are broadcast
+and the samples are shuffled once, whatever the number of series and however their positions lie. Results equal those of
+the plain window.
 """
 
 from __future__ import annotations
@@ -15,68 +14,65 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Positions per chunk. Positions are unique in a series, so this also bounds the rows.
-CHUNK_WIDTH = 8192
-
-
-def position_chunk(order: str, width: int = CHUNK_WIDTH) -> Column:
-    """Chunk number of an integer position; choose the width by how densely positions lie."""
-    return F.floor(F.col(order) / width)
-
-
-_KEY = "_series"
-
-
-def _keyed(df: DataFrame, series: Sequence[str]) -> DataFrame:
-    """The series as one struct, which joins to itself even where a column in it is null."""
-    return df.withColumn(_KEY, F.struct(*[F.col(c) for c in series]))
-
-
-def with_previous(
-    df: DataFrame, series: Sequence[str], chunk: str, order: str, columns: Sequence[str]
-) -> DataFrame:
-    """Add ``prev_<c>`` for each column, and ``has_prev``.
-
-    ``chunk`` must not decrease along ``order`` (see :func:`position_chunk`); ``order`` must be
-    unique within a series.
-    """
-    df = _keyed(df, series)
-    inside = Window.partitionBy(_KEY, chunk).orderBy(order)
-    across = Window.partitionBy(_KEY).orderBy(chunk)
+#: Choose it near the number of tasks.
+CUTS = 64
+#: Sampled positions per boundary.
+_SAMPLES = 32
+_KEY, _PIECE = "_series", "_piece"
+
+
+def _pieces(df: DataFrame, series: Sequence[str], order: str, cuts: int) -> DataFrame:
+    """Add the series as one struct (which joins to itself even where a column in it is null) and the piece, null where the series
+    is not cut. The sample is chosen by hash, so every evaluation cuts alike."""
+    df = df.withColumn(_KEY, F.struct(*[F.col(c) for c in series]))
+    sizes = df.groupBy(_KEY).agg(F.count("*").alias("_n"))
+    total = sizes.agg(F.sum("_n")).scalar()
+    long = sizes.filter(F.col("_n") * cuts > total)  # fewer than ``cuts`` rows
+    every = F.greatest(F.floor(F.col("_n") / (cuts * _SAMPLES)), F.lit(1))
+    sample = df.select(_KEY, order).join(F.broadcast(long), _KEY).filter(F.pmod(F.xxhash64(_KEY, order), every) == 0)
+    sample = sample.groupBy(_KEY).agg(F.sort_array(F.collect_list(order)).alias("_s"))  # about cuts * _SAMPLES values each
+    at = F.transform(F.sequence(F.lit(1), F.lit(cuts - 1)), lambda i: F.element_at("_s", (F.size("_s") * i / cuts).cast("int") + 1))
+    bounds = sample.select(_KEY, F.array_distinct(at).alias("_bounds"))
+    piece = F.when(F.col("_bounds").isNotNull(), F.size(F.filter("_bounds", lambda b: b <= F.col(order))))
+    return df.join(F.broadcast(bounds), _KEY, "left").withColumn(_PIECE, piece).drop("_bounds")
+
+
+def with_previous(df: DataFrame, series: Sequence[str], order: str, columns: Sequence[str], cuts: int = CUTS) -> DataFrame:
+    """Add ``prev_<c>`` for each column, and ``has_prev``. ``order`` must be unique within a series."""
+    df = _pieces(df, series, order, cuts)
+    inside = Window.partitionBy(_KEY, _PIECE).orderBy(order)
+    across = Window.partitionBy(_KEY).orderBy(_PIECE)
     payload = F.struct(*[F.col(c) for c in columns])
     carried = (
-        df.groupBy(_KEY, chunk)
+        df.filter(F.col(_PIECE).isNotNull())
+        .groupBy(_KEY, _PIECE)
         .agg(F.max_by(payload, F.col(order)).alias("_last"))
-        .select(_KEY, chunk, F.lag("_last").over(across).alias("_carry"))
+        .select(_KEY, _PIECE, F.lag("_last").over(across).alias("_carry"))
     )
-    out = df.withColumn("_in", F.lag(payload).over(inside)).join(carried, [_KEY, chunk])
-    # A struct from the window is null only where the chunk starts.
+    out = df.withColumn("_in", F.lag(payload).over(inside)).join(F.broadcast(carried), [_KEY, _PIECE], "left")
+    # A struct from the window is null only where the piece starts.
     prev = F.coalesce(F.col("_in"), F.col("_carry"))
     out = out.withColumn("_prev", prev).withColumn("has_prev", F.col("_prev").isNotNull())
     for c in columns:
         out = out.withColumn(f"prev_{c}", F.col(f"_prev.{c}"))
-    return out.drop("_in", "_carry", "_prev", _KEY)
+    return out.drop("_in", "_carry", "_prev", _KEY, _PIECE)
 
 
-def with_running_count(
-    df: DataFrame, series: Sequence[str], chunk: str, order: str, condition: Column, name: str
-) -> DataFrame:
+def with_running_count(df: DataFrame, series: Sequence[str], order: str, condition: Column, name: str, cuts: int = CUTS) -> DataFrame:
     """Add the number of rows up to and including this one that satisfy ``condition``."""
-    df = _keyed(df, series)
+    df = _pieces(df, series, order, cuts)
     flag = F.when(condition, 1).otherwise(0).cast("bigint")
-    inside = (
-        Window.partitionBy(_KEY, chunk).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    before = Window.partitionBy(_KEY).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(_KEY, _PIECE).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(_KEY).orderBy(_PIECE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(_KEY, chunk)
+        df.filter(F.col(_PIECE).isNotNull())
+        .groupBy(_KEY, _PIECE)
         .agg(F.sum(flag).alias("_hits"))
-        .select(_KEY, chunk, F.coalesce(F.sum("_hits").over(before), F.lit(0)).alias("_offset"))
+        .select(_KEY, _PIECE, F.coalesce(F.sum("_hits").over(before), F.lit(0)).alias("_offset"))
     )
     return (
         df.withColumn("_inside", F.sum(flag).over(inside))
-        .join(offsets, [_KEY, chunk])
-        .withColumn(name, F.col("_inside") + F.col("_offset"))
-        .drop("_inside", "_offset", _KEY)
+        .join(F.broadcast(offsets), [_KEY, _PIECE], "left")
+        .withColumn(name, F.col("_inside") + F.coalesce("_offset", F.lit(0).cast("bigint")))
+        .drop("_inside", "_offset", _KEY, _PIECE)
     )

@@ -1,6 +1,6 @@
 """Replication monitoring over metric samples: roll-ups, watchdogs, streaks and gates.
 
-Series are cut into chunks (see ``functions.ordered``), so a subscription that holds most of
+Long series are cut into pieces (see ``functions.ordered``), so a subscription that holds most of
 the samples still spreads over many tasks. Gates fail closed: no sample means not passed.
 """
 
@@ -77,30 +77,30 @@ def copy_progress(expected: DataFrame, copied: DataFrame) -> DataFrame:
     return out.withColumn("percent", percent)
 
 
-def rising(samples: DataFrame, counters: Sequence[str], series: str, chunk: str, order: str) -> DataFrame:
+def rising(samples: DataFrame, counters: Sequence[str], series: str, order: str) -> DataFrame:
     """Samples on which any counter grew since the previous sample; the first never counts."""
-    prev = with_previous(samples, [series], chunk, order, counters)
+    prev = with_previous(samples, [series], order, counters)
     grew = F.lit(False)
     for c in counters:
         grew = grew | F.coalesce(F.col(c) > F.col(f"prev_{c}"), F.lit(False))
     return prev.withColumn("rising", F.col("has_prev") & grew)
 
 
-def collapse_repeats(log: DataFrame, line: str, series: str, chunk: str, order: str) -> DataFrame:
+def collapse_repeats(log: DataFrame, line: str, series: str, order: str) -> DataFrame:
     """Drop a line equal to the one directly before it in the same series."""
-    prev = with_previous(log, [series], chunk, order, [line])
+    prev = with_previous(log, [series], order, [line])
     same = F.col("has_prev") & F.col(line).eqNullSafe(F.col(f"prev_{line}"))
     return prev.filter(~same).drop("has_prev", f"prev_{line}")
 
 
 def failure_streaks(
-    polls: DataFrame, series: str, chunk: str, order: str, ok: str = "ok", limit: int = MAX_FAILURES
+    polls: DataFrame, series: str, order: str, ok: str = "ok", limit: int = MAX_FAILURES
 ) -> DataFrame:
     """Runs of failed polls: length, first and last position, and whether the run aborts.
 
     Failures between the same two clean polls share the running count of clean polls.
     """
-    islands = with_running_count(polls, [series], chunk, order, F.col(ok), "_island")
+    islands = with_running_count(polls, [series], order, F.col(ok), "_island")
     return (
         islands.filter(~F.col(ok))
         .groupBy(series, "_island")
@@ -154,14 +154,14 @@ def retention_watchdog(samples: DataFrame, warn_fraction: float = 0.8) -> DataFr
 
 
 def sync_watch(
-    samples: DataFrame, series: str, chunk: str, order: str, deadline: Column, quiet_polls: int = 3
+    samples: DataFrame, series: str, order: str, deadline: Column, quiet_polls: int = 3
 ) -> DataFrame:
     """Outcome of watching one subscription's samples (tables, ready, workers per sample).
 
     ``no_worker`` skips the first poll; ``no_tables`` needs more than ``quiet_polls`` earlier
     ones. Done is the first all-ready sample; otherwise a sample past the deadline times out.
     """
-    numbered = with_running_count(samples, [series], chunk, order, F.lit(True), "poll")
+    numbered = with_running_count(samples, [series], order, F.lit(True), "poll")
     ready = (F.col("tables") > 0) & (F.col("ready") == F.col("tables"))
     out = numbered.groupBy(series).agg(
         F.count("*").alias("polls"),
@@ -179,13 +179,13 @@ def sync_watch(
 
 
 def health_watch(
-    probes: DataFrame, series: str, chunk: str, order: str, body: str = "body", limit: int = MAX_FAILURES
+    probes: DataFrame, series: str, order: str, body: str = "body", limit: int = MAX_FAILURES
 ) -> DataFrame:
     """Connector verdict: a reachable DOWN aborts, as does a run of unreachable probes."""
     _, named = health_is_up(F.col(body))
     tagged = probes.withColumn("_reached", F.col(body).isNotNull()).withColumn("_down", F.col(body).isNotNull() & ~named)
     # Unreachable probes between two answers share the running count of answers.
-    islands = with_running_count(tagged, [series], chunk, order, F.col("_reached"), "_island")
+    islands = with_running_count(tagged, [series], order, F.col("_reached"), "_island")
     return (
         islands.groupBy(series, "_island")
         .agg(F.count("*").alias("n"), F.count_if("_down").alias("d"), F.count_if(~F.col("_reached")).alias("o"))
@@ -208,7 +208,8 @@ def cutover_gate(signed: DataFrame, stops: DataFrame, counts: DataFrame, source:
     stopped = stops.select(source, "stopped")
     converged = counts.groupBy(source).agg(
         F.bool_and(
-            (F.col("source_rows") == F.col("target_rows")) & (F.col("applied_pos") >= F.col("source_pos"))
+            # A table with an unknown count or position has not converged; the aggregate alone would skip it.
+            F.coalesce((F.col("source_rows") == F.col("target_rows")) & (F.col("applied_pos") >= F.col("source_pos")), F.lit(False))
         ).alias("converged")
     )
     no = F.lit(False)
@@ -244,7 +245,7 @@ def phase_summary(
         results.withColumn("_i", order)
         .filter(F.col("_i") < len(plan))
         .groupBy(run, "_i")
-        .agg(F.bool_and("ok").alias("ok"), F.sum("ms").alias("ms"))
+        .agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("ok"), F.sum("ms").alias("ms"))
     )
     # At most one row per phase and run is left to collect.
     out = (

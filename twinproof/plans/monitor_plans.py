@@ -1,6 +1,6 @@
 """Monitoring queries: the event table read as metric samples, orders as sync states.
 
-A sample's series is its user, its order the event id, its chunk a range of event ids.
+A sample's series is its user, its order the event id.
 """
 
 from __future__ import annotations
@@ -8,16 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinproof.functions.ordered import CHUNK_WIDTH
-from twinproof.functions.scalars import is_write_statement
+from twinproof.functions.scalars import binary_position, is_write_statement
 from twinproof.operators import monitor as M
 from twinproof.plans.registry import Derived, pick, query, with_ctes
 from twinproof.session import shared_dir
 from twinproof.sources.reports import read_report, write_report
 from twinproof.streaming.watch import watch_slots
 
-SERIES, CHUNK, ORDER = "user_id", "chunk", "event_id"
-_BASE = {"event_id": "event_id", "user_id": "user_id", "chunk": f"event_id DIV {CHUNK_WIDTH}"}
+SERIES, ORDER = "user_id", "event_id"
+_BASE = {"event_id": "event_id", "user_id": "user_id"}
 
 POLLS = Derived(
     "polls",
@@ -41,7 +40,7 @@ _ORDERED = "OVER (PARTITION BY user_id ORDER BY event_id)"
       coalesce(apply_errors > pa OR sync_errors > ps, false) AS rising FROM l""",
 )
 def rising_errors(spark: SparkSession, folder: str) -> DataFrame:
-    out = M.rising(POLLS.df(spark, folder), ["apply_errors", "sync_errors"], SERIES, CHUNK, ORDER)
+    out = M.rising(POLLS.df(spark, folder), ["apply_errors", "sync_errors"], SERIES, ORDER)
     return out.select("event_id", "user_id", F.col("prev_apply_errors").alias("prev_apply"), "apply_errors", "rising")
 
 
@@ -52,7 +51,7 @@ def rising_errors(spark: SparkSession, folder: str) -> DataFrame:
     SELECT event_id, user_id, line FROM l WHERE p IS DISTINCT FROM line""",
 )
 def collapse_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    return M.collapse_repeats(POLLS.df(spark, folder), "line", SERIES, CHUNK, ORDER).select("event_id", "user_id", "line")
+    return M.collapse_repeats(POLLS.df(spark, folder), "line", SERIES, ORDER).select("event_id", "user_id", "line")
 
 
 @query(
@@ -63,7 +62,7 @@ def collapse_repeats(spark: SparkSession, folder: str) -> DataFrame:
     FROM i WHERE NOT ok GROUP BY user_id, island""",
 )
 def failure_streaks(spark: SparkSession, folder: str) -> DataFrame:
-    return M.failure_streaks(POLLS.df(spark, folder), SERIES, CHUNK, ORDER)
+    return M.failure_streaks(POLLS.df(spark, folder), SERIES, ORDER)
 
 
 # Log positions per sample in hexadecimal X/Y form.
@@ -245,7 +244,7 @@ SYNC = Derived(
     FROM a""",
 )
 def sync_watch(spark: SparkSession, folder: str) -> DataFrame:
-    return M.sync_watch(SYNC.df(spark, folder), SERIES, CHUNK, ORDER, F.col("user_id") + 900)
+    return M.sync_watch(SYNC.df(spark, folder), SERIES, ORDER, F.col("user_id") + 900)
 
 
 HEALTH = Derived(
@@ -274,7 +273,16 @@ HEALTH = Derived(
     FROM a LEFT JOIN s USING (user_id)""",
 )
 def health_watch(spark: SparkSession, folder: str) -> DataFrame:
-    return M.health_watch(HEALTH.df(spark, folder), SERIES, CHUNK, ORDER)
+    return M.health_watch(HEALTH.df(spark, folder), SERIES, ORDER)
+
+
+MARKS = Derived("marks", "events", {"event_id": "event_id", "value": "CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_type END"})
+
+
+@query("binary_positions", with_ctes(MARKS) + "SELECT event_id, coalesce(lower(hex(value)), 'NULL') AS position FROM marks")
+def binary_positions(spark: SparkSession, folder: str) -> DataFrame:
+    """Binary positions as text that orders and compares like them."""
+    return MARKS.df(spark, folder).select("event_id", binary_position(F.col("value").cast("binary")).alias("position"))
 
 
 SIGNED = Derived(
@@ -286,9 +294,9 @@ COUNTS = Derived(
     {
         "user_id": "o_custkey",
         "source_rows": "o_orderkey",
-        "target_rows": "CASE WHEN o_orderkey % 40 = 0 THEN o_orderkey - 1 ELSE o_orderkey END",
+        "target_rows": "CASE WHEN o_orderkey % 40 = 0 THEN o_orderkey - 1 WHEN o_orderkey % 41 = 0 THEN NULL ELSE o_orderkey END",
         "source_pos": "o_orderkey",
-        "applied_pos": "CASE WHEN o_custkey % 9 = 0 THEN o_orderkey - 1 ELSE o_orderkey END",
+        "applied_pos": "CASE WHEN o_custkey % 9 = 0 THEN o_orderkey - 1 WHEN o_custkey % 11 = 0 THEN NULL ELSE o_orderkey END",
     },
 )
 
@@ -297,7 +305,7 @@ COUNTS = Derived(
     "cutover_gate",
     with_ctes(SIGNED, STOPS, COUNTS)
     + f""", {_STOP_SQL}, w AS (SELECT user_id, samples > 1 AND first_position = last_position AS stopped FROM stop),
-    c AS (SELECT user_id, bool_and(source_rows = target_rows AND applied_pos >= source_pos) AS converged FROM counts GROUP BY 1),
+    c AS (SELECT user_id, bool_and(coalesce(source_rows = target_rows AND applied_pos >= source_pos, false)) AS converged FROM counts GROUP BY 1),
     g AS (SELECT user_id, coalesce(signed_off, false) AS signed_off, coalesce(stopped, false) AS stopped,
       coalesce(converged, false) AS converged FROM signed LEFT JOIN w USING (user_id) LEFT JOIN c USING (user_id))
     SELECT *, signed_off AND stopped AND converged AS pass FROM g""",
