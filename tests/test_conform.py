@@ -88,10 +88,27 @@ def test_create_table(spark):
 
 
 def test_sign_off_resets_when_the_draft_changes(spark):
-    drafts = spark.createDataFrame([("a", 2), ("b", 3), ("c", 0)], "db string, decisions bigint").withColumn("signed_off", F.lit(False))
-    approvals = spark.createDataFrame([("a", 2), ("b", 2)], "db string, decisions bigint")
-    got = {r["db"]: r["signed_off"] for r in T.sign_off(drafts, approvals, ["db"]).collect()}
-    assert got == {"a": True, "b": False, "c": False}
+    ddl = "db string, table_name string, column_name string, target_type string, review string"
+    first = spark.createDataFrame([("a", "t", "x", "text", "n"), ("b", "t", "x", "text", "n"), ("c", "t", "x", "text", None), ("d", "t", "x", "text", "n")], ddl)
+    # As many decisions as before, but another type or another note.
+    again = spark.createDataFrame([("a", "t", "x", "text", "n"), ("b", "t", "x", "bytea", "n"), ("c", "t", "x", "text", None), ("d", "t", "x", "text", "m")], ddl)
+    approvals = T.manifest(first.filter("db <> 'c'"), ["db"])
+    got = {r["db"]: r["signed_off"] for r in T.sign_off(T.manifest(again, ["db"]), approvals, ["db"]).collect()}
+    assert got == {"a": True, "b": False, "c": False, "d": False}
+
+
+def test_guarded_casts_equal_try_cast(spark):
+    values = ["1", " 2 ", "+3", "-4.5", "1e3", "x", "", None, "32767", "32768", "-32769", "9e99", "NaN", "Infinity", ".5", "5.", "1,2", "0x1F"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for to in ("smallint", "bigint", "decimal(5,2)", "double"):
+        got = T.conform_rows(df, [T.Cast("v", "cast", to)]).collect()
+        assert [str(r.v) for r in got] == [str(r.v) for r in df.select(F.col("v").try_cast(to).alias("v")).collect()], to
+    numbers = [0.0, -0.5, 127.9, 128.0, -128.9, -129.0, 32767.5, 32768.0, 2.0**64, -(2.0**63), 1e300, float("nan"), None]
+    for kind in ("double", "bigint", "decimal(38,1)"):
+        rows = df.sparkSession.createDataFrame([(v,) for v in numbers], "v double").select(F.col("v").try_cast(kind).alias("v"))
+        for to in ("tinyint", "smallint", "int", "bigint"):
+            got = T.conform_rows(rows, [T.Cast("v", "cast", to)]).collect()
+            assert got == rows.select(F.col("v").try_cast(to).alias("v")).collect(), (kind, to)
 
 
 def test_conform(spark):

@@ -11,8 +11,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from twinproof.functions.canon import quoted
+from twinproof.functions.canon import exact_sum, quoted
 from twinproof.functions.scalars import cut_fraction, sql_identifier
 
 # Source types that map to one target type without further conditions.
@@ -239,10 +240,14 @@ def decisions(translated: DataFrame) -> DataFrame:
 
 
 def manifest(translated: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Unsigned draft per group: tables, columns and open decisions. A new draft resets it."""
+    """Unsigned draft per group: tables, columns, open decisions, and an order-free checksum of what a reviewer sees."""
+    seen = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("table_name", "column_name", "target_type", "review")]
+    line = F.conv(F.substring(F.md5(F.concat_ws("|", *seen)), 1, 12), 16, 10).cast("bigint")
     return (
-        translated.groupBy(*by)
+        translated.withColumn("_line", line)
+        .groupBy(*by)
         .agg(
+            exact_sum(F.col("_line")).cast("string").alias("draft"),
             F.count_distinct("table_name").alias("tables"),
             F.count("*").alias("columns"),
             F.count("review").alias("decisions"),
@@ -252,12 +257,13 @@ def manifest(translated: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def sign_off(drafts: DataFrame, approvals: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Mark drafts as approved where the approval covers the same number of decisions."""
-    a = approvals.select(*by, F.col("decisions").alias("_seen"))
+    """Mark drafts as approved where an approval names this very draft; any change of the draft needs a new approval."""
+    a = approvals.select(*by, F.col("draft")).distinct().withColumn("_seen", F.lit(True))
     return (
-        drafts.join(a, list(by), "left")
-        .withColumn("signed_off", F.coalesce(F.col("_seen") == F.col("decisions"), F.lit(False)))
+        drafts.join(a, [*by, "draft"], "left")
+        .withColumn("signed_off", F.coalesce("_seen", F.lit(False)))
         .drop("_seen")
+        .select(*drafts.columns)
     )
 
 
@@ -270,11 +276,32 @@ class Cast:
     to: str = ""
 
 
-def conform_expr(cast: Cast) -> Column:
-    """Cast that yields null for a value the target type cannot hold."""
+_RANGES = {"tinyint": 7, "smallint": 15, "int": 31, "integer": 31, "bigint": 63}
+_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def _guarded(col: Column, dtype: T.DataType | None, to: str) -> Column:
+    """``try_cast`` behind a test that most unfit values fail: each one that reaches the cast costs an exception."""
+    bits = _RANGES.get(to.lower())
+    if bits and isinstance(dtype, T.NumericType):
+        if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            return F.when(col.between(F.lit(-(1 << bits)).cast("bigint"), F.lit((1 << bits) - 1).cast("bigint")), col.try_cast(to))
+        # Fractions are cut off, so the open interval reaches one further down; doubles have no such number below -2^63.
+        kind = "decimal(20,0)" if isinstance(dtype, T.DecimalType) else "double"
+        low = F.lit(str(-(1 << bits) - 1)).cast(kind)
+        above = col >= low if kind == "double" and bits == 63 else col > low
+        return F.when(above & (col < F.lit(str(1 << bits)).cast(kind)), col.try_cast(to))
+    if isinstance(dtype, T.StringType) and (bits or to.lower().startswith(("decimal", "numeric", "double", "float"))):
+        special = F.lower(F.trim(col)).rlike("^[+-]?(nan|inf|infinity)$") if to.lower().startswith(("double", "float")) else F.lit(False)
+        return F.when(col.rlike(_NUMBER) | special, col.try_cast(to))
+    return col.try_cast(to)
+
+
+def conform_expr(cast: Cast, dtype: T.DataType | None = None) -> Column:
+    """Cast that yields null for a value the target type cannot hold; ``dtype`` is the type it comes from."""
     col = quoted(cast.column)
     if cast.kind == "cast":
-        return col.try_cast(cast.to)
+        return _guarded(col, dtype, cast.to)
     if cast.kind == "bool":
         return F.when(col.isNotNull(), col != 0)
     if cast.kind == "zero_date":
@@ -290,7 +317,7 @@ def conform_rows(df: DataFrame, casts: Sequence[Cast]) -> DataFrame:
     """Apply the casts; other columns pass through."""
     by_name = {c.column: c for c in casts}
     return df.select(
-        *[conform_expr(by_name[c]).alias(c) if c in by_name else quoted(c) for c in df.columns]
+        *[conform_expr(by_name[c], df.schema[c].dataType).alias(c) if c in by_name else quoted(c) for c in df.columns]
     )
 
 
@@ -298,7 +325,7 @@ def conform_report(df: DataFrame, casts: Sequence[Cast]) -> DataFrame:
     """Values per column that became null through the cast."""
     aggs, cells = [F.count("*").alias("_rows")], []
     for i, cast in enumerate(casts):
-        lost = quoted(cast.column).isNotNull() & conform_expr(cast).isNull()
+        lost = quoted(cast.column).isNotNull() & conform_expr(cast, df.schema[cast.column].dataType).isNull()
         aggs += [F.count(quoted(cast.column)).alias(f"_v{i}"), F.count_if(lost).alias(f"_l{i}")]
         cells.append(
             F.struct(
