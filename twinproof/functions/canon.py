@@ -25,6 +25,42 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def _has_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _has_map(dtype.elementType)
+    if isinstance(dtype, T.StructType):
+        return any(_has_map(f.dataType) for f in dtype.fields)
+    return isinstance(dtype, T.MapType)
+
+
+def _sorted_maps(col: Column, dtype: T.DataType) -> Column:
+    """The value with every map in it, at any depth, as an array of entries in key order."""
+    if not _has_map(dtype):
+        return col
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(col, lambda x: _sorted_maps(x, dtype.elementType))
+    if isinstance(dtype, T.StructType):
+        fields = [_sorted_maps(col.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(col.isNotNull(), F.struct(*fields))
+    entries = F.map_entries(col)
+    if _has_map(dtype.valueType):
+        entries = F.transform(entries, lambda e: F.struct(e["key"].alias("key"), _sorted_maps(e["value"], dtype.valueType).alias("value")))
+    return F.array_sort(entries)
+
+
+def _common_number(a: T.DataType, b: T.DataType) -> T.DecimalType | None:
+    """The decimal type that holds both of two exact numeric types, if there is one."""
+    digits, scale = 0, 0
+    for t in (a, b):
+        if isinstance(t, _INTEGRAL):
+            digits = max(digits, 19)
+        elif isinstance(t, T.DecimalType):
+            digits, scale = max(digits, t.precision - t.scale), max(scale, t.scale)
+        else:
+            return None
+    return T.DecimalType(digits + scale, scale) if digits + scale <= 38 else None
+
+
 def canonical_text(col: Column, dtype: T.DataType) -> Column:
     """One text per value, independent of session formatting; null stays null."""
     if isinstance(dtype, _TEXT):
@@ -33,10 +69,8 @@ def canonical_text(col: Column, dtype: T.DataType) -> Column:
         return F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     if isinstance(dtype, T.BinaryType):
         return F.lower(F.hex(col))
-    if isinstance(dtype, T.MapType):
-        return F.to_json(F.array_sort(F.map_entries(col)), {"ignoreNullFields": "false"})
     if isinstance(dtype, _NESTED):
-        return F.to_json(col, {"ignoreNullFields": "false"})
+        return F.to_json(_sorted_maps(col, dtype), {"ignoreNullFields": "false"})
     if isinstance(dtype, T.VariantType):
         return F.to_json(col)
     return col.cast("string")
@@ -58,13 +92,16 @@ def _typed(name: str, dtype: T.DataType, other: T.DataType) -> tuple[Column, Col
         return col.cast("bigint"), None
     if isinstance(dtype, _TEXT) and isinstance(other, _TEXT):
         return col.cast("string"), None
+    if isinstance(dtype, T.DecimalType) or isinstance(other, T.DecimalType):
+        if common := _common_number(dtype, other):
+            return col.cast(common), None
+        if isinstance(dtype, (T.DecimalType, *_INTEGRAL)) and isinstance(other, (T.DecimalType, *_INTEGRAL)):
+            text = col.cast("string")
+            return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text), None
     if type(dtype) is type(other):
         if isinstance(dtype, (T.FloatType, T.DoubleType)):
             # xxhash64 folds -0.0 into 0.0 although their texts differ.
             return col, (col == F.lit(0.0)) & (col.cast("string") == "-0.0")
-        if isinstance(dtype, T.DecimalType) and dtype.scale == other.scale:
-            wide = T.DecimalType(max(dtype.precision, other.precision), dtype.scale)
-            return col.cast(wide), None
         if isinstance(dtype, (T.DateType, T.BooleanType, T.BinaryType)):
             return col, None
         if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):

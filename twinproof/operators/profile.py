@@ -29,6 +29,8 @@ CAVEAT = "counts and per-column aggregates only; a text edit of equal length is
 _SCALED = T.DecimalType(38, 6)
 #: Doubles below this magnitude keep six decimals exactly inside a signed long.
 _LONG_SAFE = 9.0e12
+#: Up to here 10^12 doubles sum exactly as decimals of six digits behind the point; they have no more.
+_SUM_SAFE = 1.0e20
 
 
 def category(dtype: T.DataType) -> str:
@@ -66,12 +68,14 @@ def category_of_name(type_name: Column) -> Column:
 def _helpers(i: int, col: Column, dtype: T.DataType, trim_blanks: bool) -> dict[str, Column]:
     """Per-row values that several metrics of a column share, computed once below the aggregate."""
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        # Most values fit a scaled long, which is several times cheaper than a wide decimal.
-        small = F.abs(col) < F.lit(_LONG_SAFE)
+        # Values of six decimals or fewer are summed as scaled longs, large ones as decimals; of all others the bits are.
+        value = col.cast("double")
+        plain, large = _six_decimals(value), F.abs(value).between(F.lit(_LONG_SAFE), F.lit(_SUM_SAFE))
         return {
-            f"v{i}": col,
-            f"m{i}": F.when(small, F.rint(col * F.lit(1e6)).cast("bigint")),
-            f"w{i}": F.when(~small, col.try_cast(_SCALED)),
+            f"v{i}": value,
+            f"m{i}": F.when(plain, F.rint(value * F.lit(1e6)).cast("bigint")),
+            f"w{i}": F.when(large, value.cast(_SCALED)),
+            f"r{i}": F.when(~plain & ~large, F.xxhash64(value)),
         }
     if category(dtype) == TEXT:
         return {f"v{i}": F.length(F.rtrim(col) if trim_blanks else col)}
@@ -80,6 +84,16 @@ def _helpers(i: int, col: Column, dtype: T.DataType, trim_blanks: bool) -> dict[
     return {f"v{i}": col}
 
 
+def _six_decimals(value: Column) -> Column:
+    """Is this double the closest one to a number of six decimals that fits a scaled long? Not so for NaN."""
+    return (F.abs(value) < F.lit(_LONG_SAFE)) & (F.rint(value * F.lit(1e6)) / F.lit(1e6) == value)
+
+
+def _short(text: Column) -> Column:
+    """A decimal's text without trailing zeros, so that its scale does not matter."""
+    return F.when(F.contains(text, F.lit(".")), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+
+
 def _metric(i: int, name: str, dtype: T.DataType) -> Column:
     """One metric over the helper columns, as text."""
     v = F.col(f"v{i}")
@@ -87,18 +101,26 @@ def _metric(i: int, name: str, dtype: T.DataType) -> Column:
         return (F.count_if(v) if category(dtype) in (TEMPORAL, BOOLEAN, OTHER) else F.count(v)).cast("string")
     if name == "char_len_sum":
         return F.sum(v).cast("string")
-    fractional = isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType))
+    if name == "rest":
+        bits = F.coalesce(exact_sum(F.col(f"r{i}")), F.lit(0).cast("decimal(38,0)"))
+        return F.concat(F.count(f"r{i}").cast("string"), F.lit(":"), bits.cast("string"))
+    floating = isinstance(dtype, (T.FloatType, T.DoubleType))
     if name in ("min", "max"):
         bound = F.min(v) if name == "min" else F.max(v)
-        return (bound.try_cast(_SCALED) if fractional else bound).cast("string")
+        if floating:
+            return F.when(_six_decimals(bound), bound.try_cast(_SCALED).cast("string")).otherwise(bound.cast("string"))
+        return _short(bound.cast("string")) if isinstance(dtype, T.DecimalType) else bound.cast("string")
     if isinstance(dtype, T.DecimalType):
-        return F.sum(v).cast(_SCALED).cast("string")
-    if not fractional:
+        # Beyond 38 digits the sum of the values' hashes stands for theirs.
+        beyond = F.concat(F.lit("hash:"), exact_sum(F.xxhash64(v)).cast("string"))
+        return F.when(F.count(v) > 0, F.coalesce(_short(F.try_sum(v).cast("string")), beyond))
+    if not floating:
         return exact_sum(v.cast("bigint")).cast("string")
     millionth = F.expr("cast(0.000001 as decimal(7,6))")
+    zero = F.lit(0).cast(_SCALED)
     scaled = (exact_sum(F.col(f"m{i}")).cast("decimal(31,0)") * millionth).cast(_SCALED)
-    large = F.sum(f"w{i}")
-    return F.coalesce(scaled + large, scaled, large).cast(_SCALED).cast("string")
+    total = F.coalesce(scaled, zero) + F.coalesce(F.sum(f"w{i}"), zero)
+    return F.when(F.count(v) > 0, total.cast(_SCALED).cast("string"))
 
 
 def table_profile(
@@ -107,7 +129,9 @@ def table_profile(
     """Long-form profile (column, metric, value) from one aggregation over one scan.
 
     ``trim_blanks`` measures text length without trailing blanks, as one source dialect does.
-    The row count is reported as metric ``row_count`` with a null column.
+    The row count is reported as metric ``row_count`` with a null column. Floating columns have one metric more, ``rest``: how many
+    values are neither numbers of six decimals nor between 9e12 and 1e20 (NaN and infinities count here), and an exact checksum of their bits; ``sum`` holds the
+    others. So any two different sets of values differ in a metric, whatever their size.
     """
     names = list(columns) if columns is not None else df.columns
     helpers: dict[str, Column] = {}
@@ -122,7 +146,8 @@ def table_profile(
     for i, name in enumerate(names):
         dtype = df.schema[name].dataType
         helpers |= _helpers(i, quoted(name), dtype, trim_blanks)
-        for metric in METRICS[category(dtype)]:
+        floating = isinstance(dtype, (T.FloatType, T.DoubleType))
+        for metric in (*METRICS[category(dtype)], *(("rest",) if floating else ())):
             aggs.append(_metric(i, metric, dtype).alias(f"c{i}_{metric}"))
             cells.append(cell(name, metric, f"c{i}_{metric}"))
     projected = df.select(*[c.alias(a) for a, c in helpers.items()])

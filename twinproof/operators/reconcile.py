@@ -8,7 +8,9 @@ a heap of equal rows is merged before the shuffle instead of meeting in a join.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,10 +21,8 @@ from twinproof.sources.tables import TablePair
 
 BUCKETS = 256
 MAX_EXAMPLES = 20
-#: Drill rows per refined bucket that a second checksum pass aims for.
-_REFINED_ROWS = 10_000
-#: Upper bound of refined bucket numbers, which are broadcast (about 16 MB as longs).
-_REFINED_LIMIT = 1 << 20
+#: Sub-buckets that the second checksum pass makes of each bad bucket.
+FANOUT = 64
 
 MISSING, EXTRA, DIFFERENT = "missing_on_target", "extra_on_target", "hash_diff"
 
@@ -39,8 +39,8 @@ def fingerprints(
     ``only`` (column ``b``, at most one row per bucket) and ``suspects`` (column ``kh``, any
     size) restrict the rows before the row hash and the key text are built.
     """
-    if not 0 < buckets <= _REFINED_LIMIT:
-        raise ValueError(f"bad bucket numbers are broadcast, so at most {_REFINED_LIMIT} buckets")
+    if buckets < 1:
+        raise ValueError("at least one bucket is needed")
     source, target = pair.sides()
 
     def side(df: DataFrame, other: DataFrame, on_source: bool) -> DataFrame:
@@ -48,7 +48,7 @@ def fingerprints(
         kh = row_hash(schema, pair.key_columns, other=other.schema, portable=portable)
         keyed = df.withColumn("_kh", kh).withColumn("_b", bucket(F.col("_kh"), buckets))
         if only is not None:
-            keyed = keyed.join(F.broadcast(only.select(F.col("b").alias("_b"))), "_b", "left_semi")
+            keyed = keyed.join(only.select(F.col("b").alias("_b")), "_b", "left_semi")
         if suspects is not None:
             keyed = keyed.join(suspects.select(F.col("kh").alias("_kh")), "_kh", "left_semi")
         h = F.col("_kh") if pair.keyless else row_hash(schema, pair.hash_columns, other=other.schema, portable=portable)
@@ -153,8 +153,8 @@ def classify(prints: DataFrame, keyless: bool = False) -> DataFrame:
 
 
 def drill_prints(prints: DataFrame, bad: DataFrame) -> DataFrame:
-    """Rows of mismatched buckets. ``bad`` has at most one row per bucket, hence the hint."""
-    return prints.join(F.broadcast(bad.filter(~F.col("match")).select("b")), "b", "left_semi")
+    """Rows of mismatched buckets. ``bad`` has at most one row per bucket, so Spark broadcasts it while that is small."""
+    return prints.join(bad.filter(~F.col("match")).select("b"), "b", "left_semi")
 
 
 def drill(pair: TablePair, buckets: int = BUCKETS, portable: bool = False) -> DataFrame:
@@ -170,12 +170,9 @@ def refine(prints: DataFrame, bad: DataFrame, fanout: int, buckets: int) -> Data
     With billions of rows per bucket a single wrong row would otherwise shuffle its whole
     bucket. The refined number is the key hash modulo ``buckets * fanout``.
     """
-    fine_buckets = buckets * fanout
-    if fine_buckets > _REFINED_LIMIT:
-        raise ValueError(f"at most {_REFINED_LIMIT} refined buckets can be broadcast")
-    fine = drill_prints(prints, bad).withColumn("fine", bucket(F.col("kh"), fine_buckets))
+    fine = drill_prints(prints, bad).withColumn("fine", bucket(F.col("kh"), buckets * fanout))
     wrong = bucket_sums(fine, ["fine"]).filter(~F.col("match")).select("fine")
-    return fine.join(F.broadcast(wrong), "fine", "left_semi").drop("fine")
+    return fine.join(wrong, "fine", "left_semi").drop("fine")
 
 
 def multiset_diff(pair: TablePair) -> DataFrame:
@@ -275,43 +272,50 @@ def count_convergence(pairs: Iterable[TablePair]) -> DataFrame:
     )
 
 
+class Reconciliation(NamedTuple):
+    """``report``: a row per table; ``rows``: every differing row; ``examples``: the first of them per table."""
+
+    report: DataFrame
+    rows: DataFrame
+    examples: DataFrame
+    ok: bool
+
+
 def reconcile(
     spark: SparkSession,
     pairs: Iterable[TablePair],
     *,
     ledger: DataFrame | None = None,
     buckets: int = BUCKETS,
+    fanout: int = FANOUT,
     max_examples: int = MAX_EXAMPLES,
-) -> tuple[DataFrame, DataFrame, bool]:
-    """The whole job: per-table report, differing rows and the overall verdict.
+    at_once: int = 4,
+) -> Reconciliation:
+    """The whole job: per-table report, all differing rows, examples, and the overall verdict.
 
-    Fingerprints are written once and narrow. The drill compares them inside bad buckets, with a
-    refining pass where those hold many rows, and then reads only the suspect keys from the
-    tables again. Only bucket rows (at most ``buckets`` per table) come back to the driver.
+    Fingerprints are written once and narrow, a few tables at a time. The drill compares sub-buckets of the bad buckets and then
+    reads only the suspect keys from the tables again. Only the verdict comes to the driver.
     """
+    pairs = list(pairs)
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        prints = list(pool.map(lambda pair: persist_fingerprints(spark, pair, buckets), pairs))
     reports, found = [], []
-    all_match = ledger is None or ledger.isEmpty()
-    for pair in pairs:
-        prints = persist_fingerprints(spark, pair, buckets)
-        sums = bucket_sums(prints).collect()
-        wrong = [r for r in sums if not r["match"]]
-        n_source = sum(r["source_rows"] for r in sums)
-        n_target = sum(r["target_rows"] for r in sums)
-        reports.append((pair.name, buckets, n_source, n_target, sorted(r["b"] for r in wrong), not wrong))
-        all_match = all_match and not wrong
-        if not wrong:
-            continue
-        bad = spark.createDataFrame([(r["b"], False) for r in wrong], "b bigint, match boolean")
-        heavy = max(r["source_rows"] + r["target_rows"] for r in wrong)
-        fanout = min(_REFINED_LIMIT // buckets, heavy // _REFINED_ROWS)
-        rows = refine(prints, bad, fanout, buckets) if fanout > 1 else drill_prints(prints, bad)
+    for pair, p in zip(pairs, prints):
+        sums = bucket_sums(p)
+        wrong = ~F.col("match")
+        reports.append(
+            sums.agg(
+                F.coalesce(F.sum("source_rows"), F.lit(0)).alias("source_rows"),
+                F.coalesce(F.sum("target_rows"), F.lit(0)).alias("target_rows"),
+                # At most one number per bucket.
+                F.sort_array(F.collect_list(F.when(wrong, F.col("b")))).alias("mismatched_buckets"),
+                (F.count_if(wrong) == 0).alias("match"),
+            ).select(F.lit(pair.name).alias("table"), F.lit(buckets).alias("buckets"), "source_rows", "target_rows", "mismatched_buckets", "match")
+        )
+        rows = refine(p, sums, fanout, buckets)
         exact = classify(fingerprints(pair, buckets, suspects=suspect_keys(rows)), pair.keyless)
         found.append(exact.select(F.lit(pair.name).alias("table"), F.col("b").alias("bucket"), "pk", "kind"))
-    report = spark.createDataFrame(
-        reports,
-        "table string, buckets int, source_rows bigint, target_rows bigint, "
-        "mismatched_buckets array<bigint>, match boolean",
-    )
-    rows_ddl = "table string, bucket bigint, pk string, kind string"
-    rows = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], rows_ddl)
-    return report, examples(rows, max_examples), all_match
+    report = reduce(DataFrame.unionByName, reports)
+    rows = reduce(DataFrame.unionByName, found)
+    matched = report.agg(F.coalesce(F.bool_and("match"), F.lit(True))).first()[0]
+    return Reconciliation(report, rows, examples(rows, max_examples), matched and (ledger is None or ledger.isEmpty()))

@@ -13,7 +13,7 @@ from twinproof.operators import reconcile as R
 from twinproof.operators.changes import orphan_rows
 from twinproof.operators.faults import skewed_copy
 from twinproof.operators.profile import diff_profiles, profile_report, table_profile, table_sizes
-from twinproof.plans.registry import query
+from twinproof.plans.registry import Derived, query
 from twinproof.session import shared_dir
 from twinproof.sources.ledger import append_ledger, parse_ledger, read_ledger
 from twinproof.sources.reports import read_report, write_report
@@ -41,8 +41,11 @@ def lineitem_pair(spark: SparkSession, folder: str) -> TablePair:
 
 
 def customer_pair(spark: SparkSession, folder: str) -> TablePair:
+    """Two copies that were written apart, in another order and number of files."""
     source = load(spark, folder, "customer")
-    return TablePair("customer", source, source, ["c_custkey"])
+    path = shared_dir(spark, "customer-copy")
+    source.repartitionByRange(4, "c_name").write.parquet(path)
+    return TablePair("customer", source, spark.read.parquet(path), ["c_custkey"])
 
 
 def turns_pair(spark: SparkSession, folder: str) -> TablePair:
@@ -63,6 +66,7 @@ _ORDERS_TARGET = f"""orders_t AS (
 
 _LK = "(l_partkey * 7 + l_linenumber)"
 _LCOLS = "l_orderkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus, l_shipdate"
+_LROWS = f"SELECT {_LCOLS}, l_partkey, l_returnflag FROM"
 _LINEITEM_TARGET = f"""lineitem_t AS (
   SELECT {_LCOLS}, l_partkey, l_returnflag || CASE WHEN {_LK} % {CORRUPT} = 0 THEN '_corrupted' ELSE '' END AS l_returnflag
   FROM lineitem WHERE {_LK} % {LOST} <> 0
@@ -162,11 +166,13 @@ _LEDGER_MISSING = f"""(SELECT count(*) FROM orders o WHERE o.o_orderkey % {LOST}
       SELECT 'orders' AS "table", CAST(sum(source_rows) AS BIGINT) AS source_rows,
         CAST(sum(target_rows) AS BIGINT) AS target_rows, bool_and({_MATCH}) AS match FROM buckets
       UNION ALL
-      SELECT 'lineitem', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM lineitem_t), false
+      SELECT 'lineitem', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM lineitem_t),
+        (SELECT count(*) FROM (({_LROWS} lineitem EXCEPT ALL {_LROWS} lineitem_t) UNION ALL ({_LROWS} lineitem_t EXCEPT ALL {_LROWS} lineitem))) = 0
       UNION ALL
-      SELECT 'customer', count(*), count(*), true FROM customer)
+      SELECT 'customer', count(*), count(*), (SELECT count(*) FROM (SELECT * FROM customer EXCEPT ALL SELECT * FROM customer)) = 0 FROM customer)
     SELECT "table", source_rows, target_rows, match, {_LEDGER_MISSING} = 0 AS ledger_ok,
-      (SELECT max(event_id) - max(event_id) FILTER (WHERE event_type <> 'error') FROM events) AS lag, false AS all_match FROM rep""",
+      (SELECT max(event_id) - max(event_id) FILTER (WHERE event_type <> 'error') FROM events) AS lag,
+      bool_and(match) OVER () AND {_LEDGER_MISSING} = 0 AS all_match FROM rep""",
 )
 def reconcile_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Flagship: bucketed parity of three tables, the ledger proof and the change lag."""
@@ -189,6 +195,56 @@ def reconcile_drill(spark: SparkSession, folder: str) -> DataFrame:
     return R.drill(orders_pair(spark, folder)).select("table", "pk", "kind")
 
 
+def _job(spark: SparkSession, folder: str) -> R.Reconciliation:
+    return R.reconcile(spark, [orders_pair(spark, folder), turns_pair(spark, folder)])
+
+
+_TURN_DIFF = """turn_diff AS (SELECT coalesce(s.conv_id, t.conv_id) || ',' || coalesce(s.turn, t.turn) AS pk,
+      CASE WHEN t.conv_id IS NULL THEN 'missing_on_target' WHEN s.conv_id IS NULL THEN 'extra_on_target' ELSE 'hash_diff' END AS kind
+      FROM conversations s FULL JOIN turns_t t ON s.conv_id = t.conv_id AND s.turn = t.turn
+      WHERE s.conv_id IS NULL OR t.conv_id IS NULL OR s.text <> t.text)"""
+
+
+@query(
+    "reconcile_job",
+    f"""WITH {_ORDERS_TARGET}, {_DIFF}, {_TURNS_TARGET}, {_TURN_DIFF}
+    SELECT 'orders' AS "table", CAST(key AS VARCHAR) AS pk, kind FROM diffs WHERE kind IS NOT NULL
+    UNION ALL SELECT 'conversations', pk, kind FROM turn_diff""",
+)
+def reconcile_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The one-call job over two tables: every differing row."""
+    return _job(spark, folder).rows.select("table", "pk", "kind")
+
+
+@query(
+    "reconcile_job_examples",
+    f"""WITH {_ORDERS_TARGET}, {_DIFF}, {_TURNS_TARGET}, {_TURN_DIFF},
+    a AS (SELECT 'orders' AS t, kind FROM diffs WHERE kind IS NOT NULL UNION ALL SELECT 'conversations', kind FROM turn_diff)
+    SELECT t AS "table", least(count(*), 20) AS examples, CAST((SELECT count(*) FROM a x WHERE x.t = a.t) AS BIGINT) AS differing FROM a GROUP BY t""",
+)
+def reconcile_job_examples(spark: SparkSession, folder: str) -> DataFrame:
+    """How many examples the job shows per table, beside all its differing rows."""
+    job = _job(spark, folder)
+    shown = job.examples.groupBy("table").agg(F.count("*").alias("examples"))
+    return shown.join(job.rows.groupBy("table").agg(F.count("*").alias("differing")), "table")
+
+
+@query(
+    "reconcile_widened",
+    """SELECT 'orders' AS "table", count(*) AS source_rows, count(*) AS target_rows,
+      count(*) = count(CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DECIMAL(20,4))) AND bool_and(CAST(CAST(o_orderkey AS DECIMAL(25,3)) AS BIGINT) = o_orderkey)
+      AND bool_and(CAST(CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DECIMAL(20,4)) AS DECIMAL(15,2)) = CAST(o_totalprice AS DECIMAL(15,2))) AS match FROM orders""",
+)
+def reconcile_widened(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders against a copy in wider types, with a map inside a struct built in another key order."""
+    price = F.col("o_totalprice").cast("decimal(15,2)")
+    base = load(spark, folder, "orders").select("o_orderkey", price.alias("price"), "o_orderstatus", "o_orderpriority")
+    a, b = F.create_map(F.lit("s"), "o_orderstatus", F.lit("p"), "o_orderpriority"), F.create_map(F.lit("p"), "o_orderpriority", F.lit("s"), "o_orderstatus")
+    source = base.select("o_orderkey", "price", F.struct(a.alias("m")).alias("nested"))
+    target = base.select(F.col("o_orderkey").cast("decimal(25,3)").alias("o_orderkey"), F.col("price").cast("decimal(20,4)").alias("price"), F.struct(b.alias("m")).alias("nested"))
+    return R.summary([TablePair("orders", source, target, ["o_orderkey"])]).select("table", "source_rows", "target_rows", "match")
+
+
 @query(
     "reconcile_refine",
     f"""WITH {_TURNS_TARGET} SELECT coalesce(s.conv_id, t.conv_id) || ',' || coalesce(s.turn, t.turn) AS pk,
@@ -253,7 +309,7 @@ def reconcile_multiset(spark: SparkSession, folder: str) -> DataFrame:
       SELECT 'orders' AS "table", (SELECT count(*) FROM orders) AS source_rows, (SELECT count(*) FROM orders_t) AS target_rows
       UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem), (SELECT count(*) FROM lineitem_t)
       UNION ALL SELECT 'customer', (SELECT count(*) FROM customer), (SELECT count(*) FROM customer))
-    SELECT *, source_rows = target_rows AS converged, false AS all_converged FROM c""",
+    SELECT *, source_rows = target_rows AS converged, bool_and(source_rows = target_rows) OVER () AS all_converged FROM c""",
 )
 def count_convergence(spark: SparkSession, folder: str) -> DataFrame:
     return R.count_convergence([f(spark, folder) for f in (orders_pair, lineitem_pair, customer_pair)])
@@ -306,6 +362,8 @@ def _profile_sql(name: str, relation: str, ints, doubles, texts, others) -> str:
         cell(c, "sum", f"CAST(sum(CAST({c} AS DECIMAL(38,6))) AS VARCHAR)")
         for m in ("min", "max"):
             cell(c, m, _D6.format(f"{m}({c})"))
+        plain = f"((abs({c}) < 9e12 AND round({c} * 1e6) / 1e6 = {c}) OR abs({c}) BETWEEN 9e12 AND 1e20)"
+        cell(c, "rest", f"CASE WHEN count({c}) FILTER (WHERE NOT {plain}) = 0 THEN '0:0' END")
     for c in texts:
         cell(c, "char_len_sum", f"CAST(sum(length({c})) AS VARCHAR)")
     return " UNION ALL ".join(rows)
@@ -335,6 +393,38 @@ def profile(spark: SparkSession, folder: str) -> DataFrame:
 _OC = (["o_orderkey", "o_custkey"], ["o_totalprice"], ["o_orderstatus", "o_orderpriority"], ["o_orderdate"])
 
 
+_EXTREMES = Derived(
+    "extremes",
+    "orders",
+    {
+        "o_orderkey": "o_orderkey",
+        "tiny": "o_orderkey * CAST(1e-9 AS DOUBLE)",
+        "huge": "CAST(o_orderkey AS DOUBLE) * CAST(1e31 AS DOUBLE)",
+        "odd": "CASE o_orderkey % 4 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) WHEN 2 THEN CAST('-Infinity' AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END",
+        "fine": "CAST(CAST(o_orderkey AS DECIMAL(11,0)) / 100000000 AS DECIMAL(20,8))",
+        "wide": "CAST(o_orderkey AS DECIMAL(38,0)) * CAST(10000000000000000000000000 AS DECIMAL(26,0))",
+    },
+)
+
+
+@query(
+    "profile_extremes",
+    """WITH c(name, changes) AS (VALUES ('tiny', 1), ('huge', 1), ('odd', 1), ('fine', 1), ('wide', 1), ('o_orderkey', 0))
+    SELECT name AS "column", changes > 0 AND (SELECT count(*) FROM orders) > 0 AS differs FROM c""",
+)
+def profile_extremes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row's value changes in each column, far below, above or outside what six decimals hold."""
+    rows = _EXTREMES.df(spark, folder)
+    first = load(spark, folder, "orders").agg(F.min("o_orderkey").alias("k")).scalar()
+    hit = F.col("o_orderkey") == first
+    swapped = {"tiny": F.col("tiny") + 1e-9, "huge": F.col("huge") + 1e31, "odd": F.when(F.col("odd") == 0.5, F.lit(0.25)).otherwise(F.lit(0.5))}
+    swapped |= {"fine": F.col("fine") + F.expr("CAST(0.00000001 AS DECIMAL(9,8))"), "wide": F.col("wide") + 1}
+    target = rows.withColumns({c: F.when(hit, v).otherwise(F.col(c)).cast(rows.schema[c].dataType) for c, v in swapped.items()})
+    found = diff_profiles(table_profile(rows), table_profile(target)).select("column").distinct().withColumn("d", F.lit(True))
+    names = table_profile(rows).filter("column IS NOT NULL").select("column").distinct()
+    return names.join(found, "column", "left").select("column", F.coalesce("d", F.lit(False)).alias("differs"))
+
+
 @query(
     "profile_diff",
     f"""WITH {_ORDERS_TARGET}, s AS ({_profile_sql("orders", "orders", *_OC)}), t AS ({_profile_sql("orders", "orders_t", *_OC)})
