@@ -32,7 +32,6 @@ HEADLINE = [
     "settings_diff",
     "schema_draft",
     "conform_rows",
-    "load_changes",
     "fault_matrix",
 ]
 

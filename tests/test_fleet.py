@@ -236,6 +236,14 @@ def test_lint_gating(spark, fail_on, gating):
     assert (r["total"], r["errors"], r["warns"], r["infos"], r["gating"], r["ok"]) == (4, 2, 1, 1, gating, False)
 
 
+def test_unknown_levels_gate(spark):
+    odd = spark.createDataFrame([(1, 1, "x", None, "e", "ERROR"), (1, 0, "x", None, "e", None), (2, 1, "y", None, "e", "FATAL"), (3, 1, "z", None, "e", "INFO")], LINT)
+    got = {r["server"]: (r["gating"], r["ok"]) for r in Q.lint_summary([odd], "server").collect()}
+    assert got == {1: (1, False), 2: (1, False), 3: (0, True)}
+    checks = spark.createDataFrame([("a", "pass"), ("a", None), ("b", "broken")], "s string, level string")
+    assert {r["verdict"] for r in Q.readiness(checks, "s").collect()} == {"NOT READY"}
+
+
 def test_failed_feeds(spark):
     failed = spark.createDataFrame([(1, 0, None, None, None, None)], LINT)
     good = spark.createDataFrame([(1, 0, "nit", None, None, "INFO")], LINT)
@@ -325,3 +333,16 @@ def test_live_catalog(spark, data):
 def test_interval_is_temporal(spark):
     df = spark.createDataFrame([("interval", "temporal"), ("int4", "numeric"), ("uuid", "text"), ("bytea", "other"), ("bool", "boolean")], "t string, want string")
     assert df.filter(category_of_name(F.col("t")) != F.col("want")).count() == 0
+
+
+def test_reports_come_in_a_total_order(spark, data):
+    from twinproof.plans import catalogue
+
+    ages = [r["age_days"] for r in catalogue.QUERIES["staleness"](spark, data).collect()]
+    known = [a for a in ages if a is not None]
+    assert known == sorted(known, reverse=True) and ages[: len(known)] == known
+    rank = {"ERROR": 2, "WARN": 1, "INFO": 0}
+    lints = [(r["server"], -rank[r["level"]]) for r in catalogue.QUERIES["lint_dedupe"](spark, data).collect()]
+    assert lints == sorted(lints)
+    schemas = [r["schema"] for r in catalogue.QUERIES["external_schemas"](spark, data).collect()]
+    assert schemas == sorted(schemas)

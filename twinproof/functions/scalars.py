@@ -31,6 +31,7 @@ TRANSIENT_MESSAGE = (
     "(?i)econnreset|epipe|etimedout|enetunreach|ehostunreach"
     "|connection.*(clos|end|terminat|reset|timeout)"
     "|write connection|read connection|connect_timeout"
+    "|connection_(closed|ended|destroyed|connect_timeout)"
 )
 TRANSIENT_STATE = r"^(08\d\d\d|57P0[123])$"
 

@@ -102,13 +102,13 @@ def high_waters(applied: DataFrame, pos: str = "pos") -> DataFrame:
     return applied.groupBy("table").agg(F.max(pos).alias("high_water"))
 
 
-def after_high_water(changes: DataFrame, marks: Mapping[str, int], pos: str = "pos") -> DataFrame:
+def after_high_water(changes: DataFrame, marks: Mapping[str, int | Column], pos: str = "pos") -> DataFrame:
     """Changes after their own table's mark; a table added later brings its own snapshot mark.
 
     ``marks`` has one number per replicated table, like the table list itself. Tables without
     a mark have no snapshot yet and yield nothing.
     """
-    entries = F.create_map(*[F.lit(x) for kv in marks.items() for x in kv])
+    entries = F.create_map(*[F.lit(x).cast("bigint") if i else F.lit(x) for kv in marks.items() for i, x in enumerate(kv)])
     return changes.filter(quoted(pos) > F.try_element_at(entries, F.col("table")))
 
 

@@ -170,7 +170,8 @@ def readiness(checks: DataFrame, by: str, level: str = "level") -> DataFrame:
     out = checks.groupBy(by).agg(
         F.count_if(F.col(level) == "pass").alias("passes"),
         F.count_if(F.col(level) == "warn").alias("warns"),
-        F.count_if(F.col(level) == "fail").alias("fails"),
+        # Whatever is neither a pass nor a warning fails.
+        F.count_if(F.coalesce(~F.col(level).isin("pass", "warn"), F.lit(True))).alias("fails"),
     )
     return out.withColumn(
         "verdict",
@@ -179,7 +180,8 @@ def readiness(checks: DataFrame, by: str, level: str = "level") -> DataFrame:
 
 
 def severity_rank(level: Column) -> Column:
-    return F.coalesce(*[F.when(level == k, F.lit(v)) for k, v in SEVERITY.items()])
+    """Rank of a level; an unknown or missing one ranks with the highest, so that it gates."""
+    return F.coalesce(*[F.when(level == k, F.lit(v)) for k, v in SEVERITY.items()], F.lit(max(SEVERITY.values())))
 
 
 def dedupe_lints(lints: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -13,6 +13,7 @@ from twinproof.functions import scalars as S
 from twinproof.operators import inventory as I
 from twinproof.operators import rules as Q
 from twinproof.operators import settings as C
+from twinproof.sources.reports import ordered
 from twinproof.plans.registry import Derived, pick, query, with_ctes
 from twinproof.sources.tables import load
 
@@ -210,7 +211,11 @@ ERRORS = Derived(
         "event_type": "event_type",
         "message": pick(
             "event_id + user_id",
-            ["read ECONNRESET", "Connection unexpectedly closed", "duplicate key", "connection is fine", "CONNECT_TIMEOUT host", None],
+            [
+                "read ECONNRESET", "EPIPE", "connect ETIMEDOUT", "ENETUNREACH", "EHOSTUNREACH", "Connection unexpectedly closed", "connection ended", "connection terminated",
+                "connection reset", "connection timeout", "write CONNECTION lost", "read CONNECTION lost", "CONNECT_TIMEOUT host", "CONNECTION_CLOSED", "CONNECTION_ENDED",
+                "CONNECTION_DESTROYED", "CONNECTION_CONNECT_TIMEOUT", "duplicate key", "connection is fine", "CONNECTION_REFUSED", None,
+            ],
         ),
         "state": pick("event_id DIV 3", ["23505", "08006", "57P01", "57P04", "0800", None]),
     },
@@ -221,7 +226,7 @@ ERRORS = Derived(
     "transient_errors",
     with_ctes(ERRORS)
     + r"""SELECT event_type, message, state, coalesce(regexp_matches(message,
-      'econnreset|epipe|etimedout|enetunreach|ehostunreach|connection.*(clos|end|terminat|reset|timeout)|write connection|read connection|connect_timeout', 'i'), false)
+      'econnreset|epipe|etimedout|enetunreach|ehostunreach|connection.*(clos|end|terminat|reset|timeout)|write connection|read connection|connect_timeout|connection_(closed|ended|destroyed|connect_timeout)', 'i'), false)
       OR coalesce(regexp_matches(state, '^(08\d\d\d|57P0[123])$'), false) AS transient, count(*) AS errors FROM errors GROUP BY ALL""",
 )
 def transient_errors(spark: SparkSession, folder: str) -> DataFrame:
@@ -279,7 +284,7 @@ ITEMS_T = ITEMS.but(
       AND NOT EXISTS (SELECT 1 FROM items_t t WHERE t.server = s.server AND t.item = s.item)""",
 )
 def missing_items(spark: SparkSession, folder: str) -> DataFrame:
-    return I.missing_items(ITEMS.df(spark, folder), ITEMS_T.df(spark, folder), ["server", "item"], "item")
+    return ordered(I.missing_items(ITEMS.df(spark, folder), ITEMS_T.df(spark, folder), ["server", "item"], "item"), "server")
 
 
 _RISK = "CASE item " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in I.UPGRADE_RISK.items()) + " END"
@@ -292,7 +297,7 @@ _RISK = "CASE item " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in I.UPGRADE_R
       FROM items s JOIN items_t t ON s.server = t.server AND s.item = t.item WHERE s.version <> t.version""",
 )
 def version_mismatch(spark: SparkSession, folder: str) -> DataFrame:
-    return I.version_mismatch(ITEMS.df(spark, folder), ITEMS_T.df(spark, folder), ["server", "item"], "item")
+    return ordered(I.version_mismatch(ITEMS.df(spark, folder), ITEMS_T.df(spark, folder), ["server", "item"], "item"), "server")
 
 
 ENTRIES = Derived(
@@ -401,7 +406,7 @@ REPLICATED = Derived("replicated", "orders", {"table": "'public.o' || o_orderkey
     WHERE "table" IN (SELECT "table" FROM replicated) AND "references" NOT IN (SELECT "table" FROM replicated)""",
 )
 def external_deps(spark: SparkSession, folder: str) -> DataFrame:
-    return I.external_deps(EDGES.df(spark, folder), REPLICATED.df(spark, folder))
+    return ordered(I.external_deps(EDGES.df(spark, folder), REPLICATED.df(spark, folder)))
 
 
 @query(
@@ -412,7 +417,7 @@ def external_deps(spark: SparkSession, folder: str) -> DataFrame:
 )
 def external_schemas(spark: SparkSession, folder: str) -> DataFrame:
     """Schemas to load before the initial copy."""
-    return external_deps(spark, folder).select("schema").distinct()
+    return ordered(external_deps(spark, folder).select("schema").distinct())
 
 
 PUBLISHED = Derived("published", "orders", {"server": "o_custkey", "table": "'public.o' || o_orderkey"})
@@ -442,7 +447,7 @@ CONSUMERS = Derived(
     with_ctes(CONSUMERS) + "SELECT * FROM consumers WHERE slot_type = 'logical' AND slot_name <> 'mover'",
 )
 def foreign_consumers(spark: SparkSession, folder: str) -> DataFrame:
-    return I.foreign_consumers(CONSUMERS.df(spark, folder), F.lit("mover"))
+    return ordered(I.foreign_consumers(CONSUMERS.df(spark, folder), F.lit("mover")))
 
 
 _ID_TABLES = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey", "events": "event_id"}
@@ -672,7 +677,7 @@ _DEDUPED = f"""a AS (SELECT * FROM lints UNION ALL SELECT * FROM lints_perf),
 @query("lint_dedupe", with_ctes(LINTS, LINTS_PERF) + f", {_DEDUPED} SELECT * FROM d")
 def lint_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     both = LINTS.df(spark, folder).unionByName(LINTS_PERF.df(spark, folder)).filter("name IS NOT NULL")
-    return Q.dedupe_lints(both, ["server"])
+    return ordered(Q.dedupe_lints(both, ["server"]), "server", F.desc(Q.severity_rank(F.col("level"))))
 
 
 @query(
@@ -704,7 +709,7 @@ _AGE = f"CAST(date_diff('day', last_synced, DATE '{_NOW}') AS BIGINT)"
 def staleness(spark: SparkSession, folder: str) -> DataFrame:
     """Two catalogs of the same shape as one list."""
     items = ASSETS.df(spark, folder).unionByName(GUIDES.df(spark, folder))
-    return Q.staleness(items, F.lit(_NOW).cast("date"))
+    return ordered(Q.staleness(items, F.lit(_NOW).cast("date")), F.col("age_days").desc_nulls_last())
 
 
 STEPS = Derived(
@@ -727,7 +732,7 @@ def playbook_rollup(spark: SparkSession, folder: str) -> DataFrame:
 @query("first_seen", with_ctes(STEPS) + "SELECT engine, min(ordinal) AS first_ordinal FROM steps GROUP BY 1")
 def first_seen(spark: SparkSession, folder: str) -> DataFrame:
     """Engines present in a catalog, in order of appearance."""
-    return I.first_seen(STEPS.df(spark, folder), "engine", "ordinal")
+    return ordered(I.first_seen(STEPS.df(spark, folder), "engine", "ordinal"), "first_ordinal")
 
 
 PREVIEWS = Derived(

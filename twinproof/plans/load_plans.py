@@ -43,15 +43,6 @@ def load_identity(spark: SparkSession, folder: str) -> DataFrame:
     return L.identity_rows(_ids(spark, folder), "o_orderkey")
 
 
-@query("load_seed_size")
-def load_seed_size(spark: SparkSession, folder: str) -> DataFrame:
-    """Seed until as many bytes lie on disk as the documents hold characters."""
-    wanted = load(spark, folder, "documents").agg(F.sum("n_chars")).first()[0]
-    path = shared_dir(spark, "seed")
-    L.seed_to_size(spark, path, int(wanted), 1_000, probe_rows=200)
-    return spark.read.parquet(path).agg(F.count("*").alias("rows"), F.sum(F.length("content")).alias("payload_chars"))
-
-
 @query(
     "load_adversarial",
     """SELECT c_custkey AS n, 'user' || c_custkey || '@example.com' AS email,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,9 +60,15 @@ _STATE_SQL = with_ctes(CHANGES, SNAPSHOT) + ", " + _LATEST.format(where=_AFTER_M
 _ALL_SQL = with_ctes(CHANGES, SNAPSHOT) + ", " + _LATEST.format(where="") + _MERGED
 
 
-def _mark(spark: SparkSession, folder: str, share: int = 4) -> int:
-    """Position recorded with the snapshot; one number."""
-    return load(spark, folder, "events").agg(F.max("event_id")).first()[0] // share
+def _mark(spark: SparkSession, folder: str, share: int = 4) -> Column:
+    """Position recorded with the snapshot, as a scalar subquery."""
+    last = load(spark, folder, "events").agg(F.max("event_id")).scalar()
+    return F.call_function("div", last, F.lit(share))
+
+
+def _half(spark: SparkSession, folder: str) -> int:
+    """Where a landing is split in two."""
+    return load(spark, folder, "events").agg(F.max("event_id")).first()[0] // 2
 
 
 @query("cdc_apply", _STATE_SQL)
@@ -113,7 +119,7 @@ def cdc_resume(spark: SparkSession, folder: str) -> DataFrame:
     landing, offsets = shared_dir(spark, "landing"), shared_dir(spark, "offsets")
     table = ChangeTable(shared_dir(spark, "table"), tuple(KEYS))
     table.create(SNAPSHOT.df(spark, folder), -1)
-    half = _mark(spark, folder, 2)
+    half = _half(spark, folder)
     schema = CHANGES.df(spark, folder).schema
     for where in (f"pos <= {half}", f"pos > {half}"):
         _land(spark, folder, landing, where)
@@ -127,7 +133,7 @@ def cdc_replay(spark: SparkSession, folder: str) -> DataFrame:
     landing, offsets = shared_dir(spark, "landing"), shared_dir(spark, "offsets")
     table = ChangeTable(shared_dir(spark, "table"), tuple(KEYS))
     table.create(SNAPSHOT.df(spark, folder), -1)
-    half = _mark(spark, folder, 2)
+    half = _half(spark, folder)
     schema = CHANGES.df(spark, folder).schema
     for where in ("true", f"pos <= {half}"):
         _land(spark, folder, landing, where)
@@ -183,7 +189,7 @@ def cdc_stateful(spark: SparkSession, folder: str) -> DataFrame:
     landing, offsets = shared_dir(spark, "landing"), shared_dir(spark, "offsets")
     table = ChangeTable(shared_dir(spark, "table"), tuple(KEYS))
     table.create(SNAPSHOT.df(spark, folder), -1)
-    half = _mark(spark, folder, 2)
+    half = _half(spark, folder)
     schema = CHANGES.df(spark, folder).schema
     for where in (f"pos > {half}", f"pos <= {half}"):
         _land(spark, folder, landing, where)

@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from twinproof.functions.canon import quoted
+
+
+def ordered(report: DataFrame, *first: str | Column) -> DataFrame:
+    """Rows by the given columns, then by all others in turn: an order without ties but for equal rows."""
+    named = {c for c in first if isinstance(c, str)}
+    rest = [quoted(f.name) for f in report.schema.fields if f.name not in named and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return report.orderBy(*[quoted(c) if isinstance(c, str) else c for c in first], *rest)
 
 
 def write_report(report: DataFrame, path: str) -> str:
