@@ -23,7 +23,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes of text that array code works on at a time, so that a task's memory does not grow with its input.
-SLICE = 2 << 20
+SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 

@@ -251,10 +251,10 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
                     seen.add(i)
                     held.append(s)
                     size += len(s)
-                    if size > 4_000_000:
+                    if size > 2_000_000:
                         yield repeated(held, 1, 2)
                         size = 0
-                if sum(map(len, words)) > 4_000_000:
+                if sum(map(len, words)) > 2_000_000:
                     yield repeated(words, 2, 4)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64())], ["kind", "id", "n", "set_id"])
             if len(seen) > 500_000:
