@@ -14,6 +14,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from twinproof.llm import class_lm, common, decontamination, jaccard_join, packing, quality_classifier, quality_rules, queries, token_counts
@@ -329,6 +330,63 @@ def test_class_model_is_a_distribution():
         assert total == pytest.approx((10 ** model.transition[before, present]).sum())
 
 
+def test_every_training_word_has_its_own_class(spark):
+    """Rare words with one ending that stand in different places get different classes; no word is left to its ending."""
+    rnd = random.Random(3)
+    texts = []
+    for i in range(400):
+        a, b = (f"a{rnd.randrange(150)}xyz" for _ in range(2)), (f"b{rnd.randrange(150)}xyz" for _ in range(2))
+        texts.append(" ".join(w for pair in zip(a, ["to"] * 2, b, ["of"] * 2) for w in pair))
+    conf = class_lm.Settings(head=40, tail=64, classes=6, sweeps=2, block_bytes=3_000)
+    docs = frame(spark, texts).select("doc_id", "text").withColumns({"training": F.lit(True), "block": F.col("doc_id").cast("int") % 3})
+    stored = common.saved(class_lm.block_words(docs, conf), "test-words")
+    listed, parts = stored.filter("id IS NOT NULL"), stored.filter("id IS NULL")
+    known = common.saved(listed.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("c")), "test-known")
+    classes, bigrams = class_lm.word_classes(docs, listed, parts, known, conf)
+    got = {r.word: r.cls for r in classes.collect()}
+    names = sorted({w for t in texts for w in t.split()})
+    hashes = class_lm.tokens([w.encode() for w in names], 64).hashes
+    of = dict(zip(names, (got[h] for h in hashes[hashes != class_lm.END].view(np.int64).tolist())))
+    first, second = ({c for w, c in of.items() if w[0] == x and w.endswith("xyz")} for x in "ab")
+    assert first and second and not first & second
+    assert len(got) == len(names) + 1 and got[int(class_lm.END.view(np.int64)[0])] == 0
+    # The table of class pairs is that of these classes.
+    want = np.zeros((6, 6))
+    for t in texts:
+        c = [0, *(of[w] for w in t.split()), 0]
+        np.add.at(want, (c[:-1], c[1:]), 1)
+    assert (bigrams == want).all()
+
+
+def test_a_word_moves_as_in_the_exchange():
+    rnd = np.random.default_rng(5)
+    k = 5
+    classes = np.append(0, rnd.integers(1, k, 30))
+    chain = rnd.integers(0, 31, 3000)
+    after, before = np.zeros((31, k)), np.zeros((31, k))
+    np.add.at(after, (chain[:-1], classes[chain[1:]]), 1)
+    np.add.at(before, (chain[1:], classes[chain[:-1]]), 1)
+    bigrams = np.zeros((k, k))
+    np.add.at(bigrams, classes, after)
+    got = class_lm.best_classes(after, before, classes, bigrams)
+    largest = int(np.argsort(-after.sum(1), kind="stable")[0]) or int(np.argsort(-after.sum(1), kind="stable")[1])
+    for u in {largest}:
+        assert class_lm.exchange(after, before, classes, k)[u] == got[u]
+
+
+def test_unknown_words_complete_the_distribution(spark):
+    """All known words of a class and its endings' unknown words sum to one."""
+    conf = class_lm.Settings(tail=16, classes=4)
+    rows = [(w, w % 16, 1 + w % 5, 1 + w % 3) for w in range(60)] + [(int(class_lm.END.view(np.int64)[0]), 0, 7, 0)]
+    known = spark.createDataFrame(rows, "word long, ending int, c long, cls int")
+    model = class_lm.train(np.ones((4, 4)), known, conf)
+    word, ending, c, cls = (np.array(x) for x in zip(*rows))
+    word, ending = np.append(word, np.full(16, -1)), np.append(ending, np.arange(16))
+    c, cls = np.append(c, np.zeros(16, int)), np.append(cls, np.zeros(16, int))
+    of, _, log = class_lm.word_scores(model, word, ending, c, cls)
+    assert np.bincount(of, 10**log, 4) == pytest.approx(np.ones(4))
+
+
 def test_exchange_finds_alternating_classes():
     """Two kinds of words that always alternate end up in two classes."""
     words = 10
