@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinproof.llm import class_lm, decontamination, jaccard_join, packing, quality_classifier, quality_rules, sharding, token_counts, url_filter, warc
+from twinproof.llm import class_lm, decontamination, divergence, id_store, jaccard_join, packing, quality_classifier, quality_rules, sharding, token_counts, url_filter, warc, whitening
 from twinproof.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,8 +102,55 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents that links of 0.9 similarity connect."""
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), 90)
 
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their 32 leading components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 32)
+
+
+@query
+def op12_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to a compressed store and read back."""
+    store = id_store.write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return id_store.id_facts(id_store.read_store(spark, id_store.open_store(spark, store.path)))
+
+
+@query
+def op13_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of sources and overused terms in all documents."""
+    return divergence.audit(table(spark, sf_dir, "documents"), 30, 50)
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+ORACLES["op13_source_divergence_audit"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS text FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS term FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+c AS (SELECT w.lang, w.source, w.term, CAST(count(*) AS HUGEINT) AS n FROM w JOIN k ON k.lang = w.lang AND k.term = w.term GROUP BY 1, 2, 3),
+l AS (SELECT lang, count(*) AS v, sum(total) AS lang_sum FROM k GROUP BY lang),
+o AS (SELECT lang, source, sum(n) AS own_sum FROM c GROUP BY lang, source),
+g AS (
+  SELECT s.lang, s.source, coalesce(l.v, 0) AS v, coalesce(l.lang_sum, 0) AS lang_sum, coalesce(o.own_sum, 0) AS own_sum
+  FROM (SELECT DISTINCT lang, source FROM d) s LEFT JOIN l ON l.lang = s.lang LEFT JOIN o ON o.lang = s.lang AND o.source = s.source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + CAST(1000000000 * (coalesce(c.n, 0) + 5) AS HUGEINT) // CAST(g.own_sum + 5 * g.v AS HUGEINT) AS p,
+         1 + CAST(1000000000 * (k.total + 5) AS HUGEINT) // CAST(g.lang_sum + 5 * g.v AS HUGEINT) AS q
+  FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY 1, 2, 3),
+x AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+y AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM x)
+SELECT lang, source, part, item, value, rank FROM y WHERE part = 'pair' OR rank <= 50
+"""
+
 ORACLES["op2_ngram_jaccard_join"] = f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS k FROM w WHERE len(ws) > 0),
