@@ -15,7 +15,8 @@ Files are written by Spark, so a lost executor leaves no half of one.
 from __future__ import annotations
 
 import hashlib
-import zlib
+import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twinproof.llm.common import Remembered, map_arrow, saved, utf8
-from twinproof.llm.token_counts import _ODD, _UNIT
+from twinproof.llm.common import map_arrow, saved, slices, utf8
+from twinproof.llm.token_counts import _ODD, _UNIT, _byte_letters
 from twinproof.session import shared_dir
 
 #: Frame bytes and documents of a block.
@@ -40,32 +41,94 @@ class UnitIds:
     """Ids of texts by the ``tokenizers`` library, which each unit passes once while it is in use.
 
     For byte-level vocabularies whose word pattern always cuts before a space that a visible character follows: units between
-    such places don't affect each other. A text that may hold a special string goes through the library whole.
+    such places don't affect each other. A word of Latin letters goes to the library's model, which spares it the pattern. All other units
+    of some texts that are not known yet pass the library as one text; there a token that begins with a space begins the next unit. A text that may hold a special string goes through the library whole, and so does
+    everything if the file has a normalizer or another pattern.
     """
 
     def __init__(self, path: str, limit: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use the cores
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        spec = json.loads(self.library.to_str())
+        before = spec["pre_tokenizer"] or {}
+        self.plain = spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        added = self.library.get_added_tokens_decoder().values()
-        self.specials = [t.content.encode() for t in added]
-        self.units = Remembered(self.encode, limit)
-
-    def encode(self, unit: bytes) -> bytes:
-        return np.asarray(self.library.encode(unit.decode(), add_special_tokens=False).ids, self.kind).tobytes()
-
-    def ids(self, text: bytes) -> bytes:
-        """Serialized ids of a text."""
-        if any(s in text for s in self.specials):
-            return self.encode(text)
-        parts = [p.encode() for p in _UNIT.split(text.decode())] if _ODD.search(text) else text.split(b" ")
-        out = [self.encode(parts[0])] if parts[0] else []
-        get = self.units.__getitem__
-        out += [get(b" " + p) for p in parts[1:]]
-        self.units.trim()
-        return b"".join(out)
+        self.specials = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.spaced = np.zeros(self.library.get_vocab_size(), bool)
+        self.letters = str.maketrans({chr(b): c for c, b in _byte_letters().items()})
+        self.space = " ".translate(self.letters)
+        self.spaced[[i for t, i in self.library.get_vocab().items() if t.startswith(self.space)]] = True
+        self.bytes = [i.to_bytes(self.width, "little") for i in range(self.library.get_vocab_size())]
+        self.model = self.library.model.tokenize
+        self.limit, self.units, self.older, self.tails = limit, {}, {}, {}
+
+    def array(self, text: str) -> np.ndarray:
+        [found] = self.library.encode_batch_fast([text], add_special_tokens=False)
+        return np.asarray(found.ids, self.kind)
+
+    def encode(self, text: bytes) -> bytes:
+        return self.array(text.decode()).tobytes()
+
+    def split(self, text: bytes) -> list[bytes] | None:
+        """Units of a text, those after the first one without their space; none if the text has to stay whole."""
+        if not self.plain or any(s in text for s in self.specials):
+            return None
+        return [p.encode() for p in _UNIT.split(text.decode())] if _ODD.search(text) else text.split(b" ")
+
+    def word(self, letters: bytes) -> bytes:
+        """Ids of letters after a space: one word of the pattern, which the library's model takes as it is."""
+        shown = letters.decode() if letters.isascii() else letters.decode("latin-1").translate(self.letters)
+        return b"".join([self.bytes[t.id] for t in self.model(self.space + shown)])
+
+    def tail(self, marks: bytes) -> bytes:
+        """Ids of the marks that end a word."""
+        if (known := self.tails.get(marks)) is None:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            known = self.tails[marks] = self.encode(marks)
+        return known
+
+    def learn(self, units: set[bytes]) -> None:
+        """Make sure that the ids of these units, each after a space, are known."""
+        if len(self.units) > self.limit:
+            self.units, self.older = {}, self.units
+        new = []
+        for u in units.difference(self.units):
+            known = self.older.get(u)
+            if known is not None:
+                self.units[u] = known
+            elif (letters := u.rstrip(b",.;:!?")).isalpha() or (text := letters.decode()).isalpha() and max(text) < "\u0250":
+                ids = self.units.get(letters) or self.older.get(letters) or self.word(letters)
+                self.units[u] = ids if len(letters) == len(u) else ids + self.tail(u[len(letters) :])
+            elif b" " in u:
+                self.units[u] = self.encode(b" " + u)
+            else:
+                new.append(u)
+        if new:
+            ids = self.array((b" " + b" ".join(new)).decode())
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) != len(new):
+                raise ValueError("units and their first tokens do not agree")
+            at, data = (np.append(first, len(ids)) * self.width).tolist(), ids.tobytes()
+            self.units.update(zip(new, map(data.__getitem__, map(slice, at, at[1:]))))
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Serialized ids of each text."""
+        out: list[bytes] = []
+        for i, j in slices(texts):
+            parts = [self.split(t) for t in texts[i:j]]
+            self.learn({p for some in parts if some for p in some[1:]})
+            get = self.units.__getitem__
+            for text, some in zip(texts[i:j], parts):
+                if some is None:
+                    out.append(self.encode(text))
+                else:
+                    first = self.encode(some[0]) if some[0] else b""
+                    out.append(first + b"".join(map(get, some[1:])))
+        return out
 
 
 _encoders: dict[str, UnitIds] = {}
@@ -107,7 +170,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, size: int, samples
     chosen = texts.join(F.broadcast(hashes), "hash").groupBy("hash").agg(F.first("text").alias("text")).orderBy("hash")
     encoder = _encoder(path)
     end = np.asarray([end_id], encoder.kind).tobytes()
-    arrays = [encoder.ids(r.text.encode()) + end for r in chosen.toLocalIterator()]
+    arrays = [ids + end for ids in encoder.ids([r.text.encode() for r in chosen.toLocalIterator()])]
     try:
         return zstandard.train_dictionary(size, arrays, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
@@ -134,7 +197,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 0, dictionary_size: in
         for batch in batches:
             ids, texts = batch.column(0), utf8(batch.column(1))
             for i in range(0, len(texts), 500):
-                arrays = [encoder.ids(t) + end for t in texts[i : i + 500]]
+                arrays = [x + end for x in encoder.ids(texts[i : i + 500])]
                 counts = pa.array([len(a) // width for a in arrays], pa.int64())
                 yield pa.RecordBatch.from_arrays([ids.slice(i, 500), counts, pa.array([squeeze.compress(a) for a in arrays], pa.binary())], ["doc_id", "n", "frame"])
 
