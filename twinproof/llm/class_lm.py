@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinproof.llm.common import LOWER, flat, fold, map_arrow, saved, ship, slices, utf8, word_hashes
+from twinproof.session import shared_dir
 
 _U = np.uint64
 #: The end token's hash, and its unit, which is always 0.
@@ -40,7 +41,7 @@ class Settings:
     classes: int = 32  # 64 at most
     sweeps: int = 3  # of the start
     refine: int = 2  # of all words
-    block_bytes: int = 24 << 20  # text of a block, about
+    block_bytes: int = 12 << 20  # text of a block, about
 
 
 @dataclass
@@ -100,6 +101,15 @@ def _counted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np
     return h[first], np.add.reduceat(c, first) if len(first) else c, e[first]
 
 
+def _added(keys: list[np.ndarray], numbers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum numbers by key."""
+    key, n = np.concatenate(keys), np.concatenate(numbers)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.add.reduceat(n, first) if len(first) else n
+
+
 def _packed(ids: np.ndarray) -> bytes:
     """Places as compressed byte planes."""
     return pa.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
@@ -109,45 +119,80 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n).T.copy().view("<u4").ravel().astype(np.int64)
 
 
-def block_words(docs: DataFrame, conf: Settings) -> DataFrame:
-    """A row per block and word: block, id (its place in the block's list), word, ending, n (training tokens, may be 0). And rows with some
-    texts of a block each: block, doc_ids, training, sizes, tokens (places of their words and end tokens)."""
+class _Block:
+    """What is kept of a block while its texts pass: each slice's words, counts and places. The texts themselves are not."""
+
+    def __init__(self, block: int, tail: int):
+        self.block, self.tail = block, tail
+        self.words, self.counts, self.endings, self.places = [], [], [], []
+        self.doc_ids, self.training, self.sizes = [], [], []
 
-    def run(rows: pa.Table) -> pa.Table:
-        block = rows.column("block")[0].as_py()
-        texts = utf8(rows.column("text").combine_chunks())
-        training = rows.column("training").to_numpy()
-        doc_ids = rows.column("doc_id").to_pylist()
-        words, places, counts, endings, cut = [], [], [], [], []
+    def add(self, rows: pa.RecordBatch) -> None:
+        texts, training = utf8(rows.column("text")), rows.column("training").to_numpy(zero_copy_only=False)
+        doc_ids = rows.column("doc_id")
         for i, j in slices(texts):
-            t = tokens(texts[i:j], conf.tail)
+            t = tokens(texts[i:j], self.tail)
             w, first, own = np.unique(t.hashes, return_index=True, return_inverse=True)
-            words.append(w)
-            endings.append(t.endings[first])
-            counts.append(np.bincount(own, np.repeat(training[i:j], np.diff(t.begin)), len(w)).astype(np.int64))
-            places.append(own.astype(np.int32))
-            cut.append((i, j, np.diff(t.begin)))
-        h, c, e = _counted(list(zip(words, counts, endings)))
+            size = np.diff(t.begin)
+            self.words.append(w)
+            self.endings.append(t.endings[first])
+            self.counts.append(np.bincount(own, np.repeat(training[i:j], size), len(w)).astype(np.int64))
+            self.places.append(_packed(own))
+            self.doc_ids.append(doc_ids.slice(i, j - i).to_pylist())
+            self.training.append(training[i:j].tolist())
+            self.sizes.append(size.tolist())
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        h, c, e = _counted(list(zip(self.words, self.counts, self.endings)))
         order = np.argsort(-c, kind="stable")  # frequent words have small places
         rank = np.empty(len(h), np.int64)
         rank[order] = np.arange(len(h))
-        blobs = [_packed(rank[np.searchsorted(h, w)][p]) for w, p in zip(words, places)]
-        n, m = len(h), len(blobs)
-        return pa.table({
-            "block": pa.array(np.full(n + m, block, np.int32)),
-            "id": pa.concat_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.nulls(m, pa.int32())]),
-            "word": pa.concat_arrays([pa.array(h[order].view(np.int64)), pa.nulls(m, pa.int64())]),
-            "ending": pa.concat_arrays([pa.array(e[order].astype(np.int32)), pa.nulls(m, pa.int32())]),
-            "n": pa.concat_arrays([pa.array(c[order]), pa.nulls(m, pa.int64())]),
-            "doc_ids": pa.array([None] * n + [doc_ids[i:j] for i, j, _ in cut], pa.list_(pa.int64())),
-            "training": pa.array([None] * n + [training[i:j].tolist() for i, j, _ in cut], pa.list_(pa.bool_())),
-            "sizes": pa.array([None] * n + [x.tolist() for *_, x in cut], pa.list_(pa.int32())),
-            "tokens": pa.array([None] * n + blobs, pa.binary()),
-        })
+        h, c, e = h[order], c[order], e[order].astype(np.int32)
+        for i in range(0, len(h), 20_000):
+            n = len(h[i : i + 20_000])
+            yield self._batch(n, id=np.arange(i, i + n, dtype=np.int32), word=h[i : i + n].view(np.int64), ending=e[i : i + n], n=c[i : i + n])
+        place = np.argsort(h, kind="stable")
+        for w, p, doc_ids, training, sizes in zip(self.words, self.places, self.doc_ids, self.training, self.sizes):
+            own = place[np.searchsorted(h, w, sorter=place)]  # the slice's words by their place in the block's list
+            yield self._batch(1, doc_ids=[doc_ids], training=[training], sizes=[sizes], tokens=[_packed(own[_unpacked(p, sum(sizes))])])
+
+    def _batch(self, size: int, /, **columns) -> pa.RecordBatch:
+        arrays = [pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in BLOCK_WORDS]
+        arrays[0] = pa.array(np.full(size, self.block, np.int32))
+        return pa.RecordBatch.from_arrays(arrays, BLOCK_WORDS.names)
+
+
+BLOCK_WORDS = pa.schema([
+    ("block", pa.int32()), ("id", pa.int32()), ("word", pa.int64()), ("ending", pa.int32()), ("n", pa.int64()),
+    ("doc_ids", pa.list_(pa.int64())), ("training", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("tokens", pa.binary()),
+])
+
+
+def block_words(docs: DataFrame, conf: Settings, blocks: int | None = None) -> DataFrame:
+    """A row per block and word: block, id (its place in the block's list), word, ending, n (training tokens, may be 0). And rows with some
+    texts of a block each: block, doc_ids, training, sizes, tokens (places of their words and end tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for batch in batches:
+            block = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            for i, j in zip(cuts, cuts[1:]):
+                if j > i:
+                    if now is None or now.block != block[i]:
+                        if now:
+                            yield from now.rows()
+                        now = _Block(int(block[i]), conf.tail)
+                    now.add(batch.slice(i, j - i))
+        if now:
+            yield from now.rows()
+        now = None
+        pa.default_memory_pool().release_unused()
 
-    ship(docs.sparkSession)
     schema = "block int, id int, word long, ending int, n long, doc_ids array<long>, training array<boolean>, sizes array<int>, tokens binary"
-    return docs.select("block", "doc_id", "text", "training").groupBy("block").applyInArrow(run, schema)
+    rows = docs.select("block", "doc_id", "text", "training")
+    rows = rows.repartition(blocks, "block") if blocks else rows.repartition("block")
+    return map_arrow(rows.sortWithinPartitions("block"), run, schema)
 
 
 def profiles(docs: DataFrame, units: Units, classes: np.ndarray, conf: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +288,9 @@ def neighbours(parts: DataFrame, classes: DataFrame, k: int, moving: bool) -> Da
                 key, n = np.unique(np.append(w[:-1] * (2 * k) + right[1:], w * (2 * k) + k + left), return_counts=True)
                 keys.append(key)
                 numbers.append(n)
-        key, n, _ = _counted([(x, y, y) for x, y in zip(keys, numbers)]) if keys else (np.zeros(0, np.int64),) * 3
+                if len(keys) > 4:  # what slices share is added up at once
+                    keys, numbers = ([x] for x in _added(keys, numbers))
+        key, n = _added(keys, numbers) if keys else (np.zeros(0, np.int64),) * 2
         times = 1 + (n - 1) // most  # numbers too large for an entry take several
         number = np.repeat(np.minimum(n, most), times)
         last = np.cumsum(times) - 1
@@ -402,15 +449,21 @@ def word_classes(docs: DataFrame, listed: DataFrame, parts: DataFrame, known: Da
     """word, cls of every training word, and the table of class pairs."""
     now = begin(listed, *start(docs, known, conf))
     best = None
+    spark = docs.sparkSession
     for sweep in range(conf.refine + 1):
-        counted = saved(neighbours(parts, now, conf.classes, sweep < conf.refine), "neighbours")
+        path = shared_dir(spark, "neighbours")
+        neighbours(parts, now, conf.classes, sweep < conf.refine).write.parquet(path)
+        counted = spark.read.parquet(path)
         bigrams = class_pairs(counted, conf.classes)
         if best and likelihood(bigrams) <= likelihood(best[1]):
             break
-        best = counted, bigrams
+        if best:  # nothing reads the earlier sweep any more
+            old = spark._jvm.org.apache.hadoop.fs.Path(best[2])
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        best = counted, bigrams, path
         if sweep < conf.refine:
             now = move(counted, bigrams)
-    counted, bigrams = best
+    counted, bigrams, _ = best
     return counted.filter("id >= 0").groupBy("word").agg(F.min("cls").alias("cls")), bigrams
 
 
@@ -457,16 +510,18 @@ def score_documents(docs: DataFrame, conf: Settings = Settings(), folds: int = 7
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     A null or empty text is its end token alone. A null doc_id is training text. With no training text at all the base is that of an
-    empty vocabulary.
+    empty vocabulary. Repeated rows are scored and counted each time. A very long text is tokenized in slices and takes a block
+    of its own size; a task keeps its words and packed places, 2 to 3 bytes a token, and no text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size, n = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     blocks = max(1, math.ceil((size or 0) / conf.block_bytes))
     rows = rows.withColumns({
         "training": F.coalesce(fold(F.col("doc_id"), folds) != held, F.lit(True)),
-        "block": F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int"),
+        # The row's place in the input keeps repeated rows apart.
+        "block": F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"),
     })
-    stored = saved(block_words(rows.repartition(blocks, "block"), conf), "block-words")
+    stored = saved(block_words(rows, conf, blocks), "block-words")
     listed, parts = stored.filter("id IS NOT NULL"), stored.filter("id IS NULL")
     words = saved(listed.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("c")).filter("c > 0"), "words")
     classes, bigrams = word_classes(rows, listed, parts, words, conf)
@@ -492,6 +547,7 @@ def score_documents(docs: DataFrame, conf: Settings = Settings(), folds: int = 7
             out["n_tokens"] += sizes
             for name, x in (("n_known", (c > 0).astype(np.int64)[w]), ("base_score", base[w]), ("score", mine)):
                 out[name] += np.add.reduceat(x, first).tolist()
+        pa.default_memory_pool().release_unused()
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         rows = {name: pa.array(x, kind) for (name, x), kind in zip(out.items(), kinds)}
         return pa.table(rows | {"train_tokens": pa.array(np.full(len(out["doc_id"]), m.total, np.int64))})
