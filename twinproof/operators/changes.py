@@ -47,6 +47,41 @@ def open_images(changes: DataFrame, schema: T.StructType) -> DataFrame:
     return changes.select("op", "pos", image.alias("_image")).select("op", "pos", "_image.*")
 
 
+#: Why a change cannot be applied.
+BAD_IMAGE, NO_IMAGE, NULL_KEY, BAD_OP = "malformed image", "no image", "null key", "unknown operation"
+_OPS = ("c", "u", "d", "r")
+
+
+def checked_images(changes: DataFrame, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
+    """``changes`` with ``_image``, the opened row image, and ``_reason``, null for a change that can be applied.
+
+    An image that is broken JSON or has a value of another type than its column is malformed: nothing of it is used. A change
+    without an image, with a null in its key or with an operation other than create, update, delete or read is none either.
+    """
+    raw = F.coalesce("after", "before")
+    wide = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    out = changes.withColumn("_image", F.from_json(raw, wide, {"columnNameOfCorruptRecord": "_corrupt"}))
+    no_key = F.lit(False)
+    for k in keys:
+        no_key = no_key | F.col("_image").getField(k).isNull()
+    reason = (
+        F.when(~F.coalesce(F.col("op").isin(*_OPS), F.lit(False)), BAD_OP)
+        .when(raw.isNull(), NO_IMAGE)
+        .when(F.col("_image").isNull() | F.col("_image._corrupt").isNotNull(), BAD_IMAGE)
+        .when(no_key, NULL_KEY)
+    )
+    return out.withColumn("_reason", reason).withColumn("_image", F.col("_image").dropFields("_corrupt"))
+
+
+def same_key(left: str, right: str, keys: Sequence[str]) -> Column:
+    """Equality of the keys of two aliased frames; nulls in a key equal each other."""
+    out = F.lit(True)
+    for i, k in enumerate(keys):
+        one = F.col(f"{left}.`{k}`").eqNullSafe(F.col(f"{right}.`{k}`"))
+        out = one if i == 0 else out & one
+    return out
+
+
 def latest_per_key(changes: DataFrame, keys: Sequence[str], pos: str = "pos") -> DataFrame:
     """The change with the highest position per key.
 
@@ -74,9 +109,9 @@ def merge(
 
     Untouched rows pass through an anti join, which Spark broadcasts while the changes are
     small; the snapshot's payload never enters an aggregation. With ``add_columns``, columns
-    that only the changes have are appended; otherwise they are left out.
+    that only the changes have are appended; otherwise they are left out. Nulls in a key equal each other.
     """
-    keep = snapshot.join(latest.select(*keys), list(keys), "left_anti")
+    keep = snapshot.alias("_s").join(latest.select(*[quoted(k) for k in keys]).alias("_l"), same_key("_s", "_l", keys), "left_anti")
     upserts = latest.filter(F.col(op) != DELETE)
     if add_columns:
         return evolve(keep, upserts.drop(op, pos))
@@ -105,11 +140,14 @@ def high_waters(applied: DataFrame, pos: str = "pos") -> DataFrame:
 def after_high_water(changes: DataFrame, marks: Mapping[str, int | Column], pos: str = "pos") -> DataFrame:
     """Changes after their own table's mark; a table added later brings its own snapshot mark.
 
-    ``marks`` has one number per replicated table, like the table list itself. Tables without
-    a mark have no snapshot yet and yield nothing.
+    ``marks`` has one position per replicated table, of the type of ``pos``: a number, padded text, a struct. Tables
+    without a mark have no snapshot yet and yield nothing.
     """
-    entries = F.create_map(*[F.lit(x).cast("bigint") if i else F.lit(x) for kv in marks.items() for i, x in enumerate(kv)])
-    return changes.filter(quoted(pos) > F.try_element_at(entries, F.col("table")))
+    kind = changes.schema[pos].dataType
+    own = F.lit(False)
+    for table, mark in marks.items():
+        own = F.when(F.col("table") == table, quoted(pos) > (mark if isinstance(mark, Column) else F.lit(mark)).cast(kind)).otherwise(own)
+    return changes.filter(own)
 
 
 def apply_multiset(

@@ -240,9 +240,15 @@ def decisions(translated: DataFrame) -> DataFrame:
 
 
 def manifest(translated: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Unsigned draft per group: tables, columns, open decisions, and an order-free checksum of what a reviewer sees."""
-    seen = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("table_name", "column_name", "target_type", "review")]
-    line = F.conv(F.substring(F.md5(F.concat_ws("|", *seen)), 1, 12), 16, 10).cast("bigint")
+    """Unsigned draft per group: tables, columns, open decisions, and an order-free checksum of all that the DDL and the decisions show.
+
+    Each part goes in with its length, so no two drafts read alike; an absent part has none.
+    """
+    shown = {c: F.col(c).cast("string") for c in ("table_name", "column_name", "target_type", "review", "ordinal", "key_position") if c in translated.columns}
+    if "is_nullable" in translated.columns:
+        shown["is_nullable"] = F.when(F.upper("is_nullable") == "YES", "null").otherwise("not null")
+    seen = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in shown.values()]
+    line = F.conv(F.substring(F.md5(F.concat(*seen)), 1, 12), 16, 10).cast("bigint")
     return (
         translated.withColumn("_line", line)
         .groupBy(*by)

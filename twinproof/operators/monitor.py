@@ -98,11 +98,12 @@ def failure_streaks(
 ) -> DataFrame:
     """Runs of failed polls: length, first and last position, and whether the run aborts.
 
-    Failures between the same two clean polls share the running count of clean polls.
+    Failures between the same two clean polls share the running count of clean polls. A poll whose result is unknown has failed.
     """
-    islands = with_running_count(polls, [series], order, F.col(ok), "_island")
+    clean = F.coalesce(F.col(ok), F.lit(False))
+    islands = with_running_count(polls, [series], order, clean, "_island")
     return (
-        islands.filter(~F.col(ok))
+        islands.filter(~clean)
         .groupBy(series, "_island")
         .agg(F.count("*").alias("failures"), F.min(order).alias("first"), F.max(order).alias("last"))
         .withColumn("aborts", F.col("failures") >= limit)
@@ -113,7 +114,7 @@ def failure_streaks(
 def write_stop_gate(samples: DataFrame, source: str, position: str, writers: Column | None = None) -> DataFrame:
     """Position unchanged over the samples of a window: writes look stopped.
 
-    At least two samples are needed. ``writers`` counts write-shaped sessions for the report.
+    At least two samples are needed, and every one must know its position. ``writers`` counts write-shaped sessions for the report.
     """
     n_writers = F.count_if(writers) if writers is not None else F.lit(0).cast("bigint")
     return (
@@ -123,8 +124,15 @@ def write_stop_gate(samples: DataFrame, source: str, position: str, writers: Col
             F.min(position).alias("first_position"),
             F.max(position).alias("last_position"),
             n_writers.alias("write_sessions"),
+            F.count(position).alias("_known"),
         )
-        .withColumn("stopped", (F.col("samples") > 1) & (F.col("first_position") == F.col("last_position")))
+        .withColumn(
+            "stopped",
+            F.coalesce(
+                (F.col("samples") > 1) & (F.col("_known") == F.col("samples")) & (F.col("first_position") == F.col("last_position")), F.lit(False)
+            ),
+        )
+        .drop("_known")
     )
 
 
@@ -277,10 +285,10 @@ def phase_summary(
 
 
 def stop_at_failure(results: DataFrame, run: str) -> DataFrame:
-    """Phase events of a run up to its first failure, as JSON-ready rows."""
+    """Phase events of a run up to its first failure, as JSON-ready rows. An unknown result is a failure."""
     order = F.coalesce(*[F.when(F.col("phase") == p, F.lit(i)) for i, p in enumerate(PHASES)])
     tagged = results.withColumn("seq", order)
-    first = tagged.filter(~F.col("ok")).groupBy(run).agg(F.min("seq").alias("_failed"))
+    first = tagged.filter(~F.coalesce("ok", F.lit(False))).groupBy(run).agg(F.min("seq").alias("_failed"))
     return (
         tagged.join(first, run, "left")
         .filter(F.col("_failed").isNull() | (F.col("seq") <= F.col("_failed")))

@@ -131,7 +131,7 @@ def table_profile(
     ``trim_blanks`` measures text length without trailing blanks, as one source dialect does.
     The row count is reported as metric ``row_count`` with a null column. Floating columns have one metric more, ``rest``: how many
     values are neither numbers of six decimals nor between 9e12 and 1e20 (NaN and infinities count here), and an exact checksum of their bits; ``sum`` holds the
-    others. So any two different sets of values differ in a metric, whatever their size.
+    others. Values of any size count, but the metrics are a summary: {1, 3, 3, 5} and {1, 2, 4, 5} have the same.
     """
     names = list(columns) if columns is not None else df.columns
     helpers: dict[str, Column] = {}

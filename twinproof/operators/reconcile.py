@@ -297,6 +297,8 @@ def reconcile(
     reads only the suspect keys from the tables again. Only the verdict comes to the driver.
     """
     pairs = list(pairs)
+    if not pairs:
+        raise ValueError("nothing to compare: no table pairs")
     with ThreadPoolExecutor(max(1, at_once)) as pool:
         prints = list(pool.map(lambda pair: persist_fingerprints(spark, pair, buckets), pairs))
     reports, found = [], []

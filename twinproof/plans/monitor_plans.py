@@ -25,7 +25,7 @@ POLLS = Derived(
         **_BASE,
         "apply_errors": "CAST(floor(value * 100) AS BIGINT)",
         "sync_errors": "CASE WHEN event_type = 'error' THEN 1 ELSE 0 END",
-        "ok": "event_type IN ('view', 'click')",
+        "ok": "CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_type IN ('view', 'click') END",
         "line": "event_type",
     },
 )
@@ -59,7 +59,7 @@ def collapse_repeats(spark: SparkSession, folder: str) -> DataFrame:
     with_ctes(POLLS)
     + f""", i AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) {_ORDERED} AS island FROM polls)
     SELECT user_id, count(*) AS failures, min(event_id) AS first, max(event_id) AS last, count(*) >= 5 AS aborts
-    FROM i WHERE NOT ok GROUP BY user_id, island""",
+    FROM i WHERE ok IS NOT TRUE GROUP BY user_id, island""",
 )
 def failure_streaks(spark: SparkSession, folder: str) -> DataFrame:
     return M.failure_streaks(POLLS.df(spark, folder), SERIES, ORDER)
@@ -173,19 +173,20 @@ STOPS = Derived(
     "events",
     {
         "user_id": "user_id",
-        "position": "CASE WHEN user_id % 3 = 0 THEN 500 ELSE event_id END",
+        "position": "CASE WHEN user_id % 6 = 0 AND event_type = 'error' THEN NULL WHEN user_id % 3 = 0 THEN 500 ELSE event_id END",
         "query": "CASE event_type WHEN 'view' THEN 'SELECT 1' WHEN 'click' THEN '  show x' WHEN 'signup' THEN 'INSERT INTO t' "
         "WHEN 'error' THEN 'update t set a = 1' ELSE 'Copy t to stdout' END",
     },
 )
 _READS = "regexp_matches(query, '^\\s*(select|copy|with|show|set|start_replication|fetch)', 'i')"
 _STOP_SQL = f"""stop AS (SELECT user_id, count(*) AS samples, min(position) AS first_position, max(position) AS last_position,
-  count(*) FILTER (WHERE NOT {_READS}) AS write_sessions FROM stops GROUP BY 1)"""
+  count(*) FILTER (WHERE NOT {_READS}) AS write_sessions, count(position) AS known FROM stops GROUP BY 1)"""
+_STOPPED = "coalesce(samples > 1 AND known = samples AND first_position = last_position, false) AS stopped"
 
 
 @query(
     "write_stop_gate",
-    with_ctes(STOPS) + f", {_STOP_SQL} SELECT *, samples > 1 AND first_position = last_position AS stopped FROM stop",
+    with_ctes(STOPS) + f", {_STOP_SQL} SELECT * EXCLUDE (known), {_STOPPED} FROM stop",
 )
 def write_stop_gate(spark: SparkSession, folder: str) -> DataFrame:
     return M.write_stop_gate(STOPS.df(spark, folder), "user_id", "position", is_write_statement(F.col("query")))
@@ -304,7 +305,7 @@ COUNTS = Derived(
 @query(
     "cutover_gate",
     with_ctes(SIGNED, STOPS, COUNTS)
-    + f""", {_STOP_SQL}, w AS (SELECT user_id, samples > 1 AND first_position = last_position AS stopped FROM stop),
+    + f""", {_STOP_SQL}, w AS (SELECT user_id, {_STOPPED} FROM stop),
     c AS (SELECT user_id, bool_and(coalesce(source_rows = target_rows AND applied_pos >= source_pos, false)) AS converged FROM counts GROUP BY 1),
     g AS (SELECT user_id, coalesce(signed_off, false) AS signed_off, coalesce(stopped, false) AS stopped,
       coalesce(converged, false) AS converged FROM signed LEFT JOIN w USING (user_id) LEFT JOIN c USING (user_id))
@@ -322,7 +323,7 @@ PHASE_EVENTS = Derived(
         "run": "l_orderkey",
         "phase": "CASE l_linenumber WHEN 1 THEN 'preflight' WHEN 2 THEN 'replicate' WHEN 3 THEN 'watch' "
         "WHEN 4 THEN 'reconcile' ELSE 'cutover' END",
-        "ok": "NOT (l_returnflag = 'R' AND l_linestatus = 'F')",
+        "ok": "CASE WHEN l_partkey % 23 = 0 THEN NULL ELSE NOT (l_returnflag = 'R' AND l_linestatus = 'F') END",
         "ms": "CAST(l_quantity AS BIGINT)",
     },
 )
@@ -332,7 +333,7 @@ _PH = "['preflight', 'replicate', 'watch', 'reconcile', 'cutover']"
 @query(
     "phase_summary",
     with_ctes(PHASE_EVENTS)
-    + f""", p AS (SELECT run, list_position({_PH}, phase) - 1 AS i, bool_and(ok) AS ok, sum(ms) AS ms FROM phase_events GROUP BY ALL),
+    + f""", p AS (SELECT run, list_position({_PH}, phase) - 1 AS i, bool_and(coalesce(ok, false)) AS ok, sum(ms) AS ms FROM phase_events GROUP BY ALL),
     f AS (SELECT run, min(i) FILTER (WHERE NOT ok) AS failed, count(*) FILTER (WHERE ok) AS oks FROM p GROUP BY 1),
     t AS (SELECT p.run, sum(ms) AS total FROM p JOIN f ON p.run = f.run AND p.i <= coalesce(failed, 5) GROUP BY 1),
     o AS (SELECT run, count(*) AS n FROM p JOIN f USING (run) WHERE ok AND i < coalesce(failed, 5) GROUP BY 1)
@@ -352,7 +353,7 @@ def phase_summary(spark: SparkSession, folder: str) -> DataFrame:
     "phase_events",
     with_ctes(PHASE_EVENTS)
     + f""", p AS (SELECT *, CAST(list_position({_PH}, phase) - 1 AS INTEGER) AS seq FROM phase_events),
-    f AS (SELECT run, min(seq) FILTER (WHERE NOT ok) AS failed FROM p GROUP BY 1)
+    f AS (SELECT run, min(seq) FILTER (WHERE ok IS NOT TRUE) AS failed FROM p GROUP BY 1)
     SELECT p.* FROM p JOIN f USING (run) WHERE failed IS NULL OR seq <= failed""",
 )
 def phase_events(spark: SparkSession, folder: str) -> DataFrame:

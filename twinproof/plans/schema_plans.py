@@ -156,19 +156,32 @@ def schema_decisions(spark: SparkSession, folder: str) -> DataFrame:
     return read_report(spark, write_report(found, shared_dir(spark, "decisions")), found.schema)
 
 
+def _line(kind: str, key: str, null: str) -> str:
+    """Checksum of a draft's line: its parts, each with its length."""
+    parts = ["table_name", "column_name", kind, "review", "CAST(ordinal AS VARCHAR)", f"CAST({key} AS VARCHAR)", null]
+    text = " || ".join(f"coalesce(length({p}) || ':' || {p}, '-')" for p in parts)
+    return f"CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT)"
+
+
 @query(
     "schema_sign_off",
     _MYSQL_SQL
-    + """, l AS (SELECT *, CASE WHEN id % 64 = 0 THEN 'text' ELSE target_type END AS was FROM tr),
-    s AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', table_name, column_name, target_type, coalesce(review, ''))), 1, 12) AS BIGINT) AS line,
-      CAST('0x' || substr(md5(concat_ws('|', table_name, column_name, was, coalesce(review, ''))), 1, 12) AS BIGINT) AS old_line FROM l)
+    + f""", l AS (SELECT *, CASE WHEN id % 64 = 0 THEN 'text' ELSE target_type END AS was,
+      CASE WHEN upper(is_nullable) = 'YES' THEN 'null' ELSE 'not null' END AS nn,
+      CASE WHEN id % 96 = 1 THEN 'null' WHEN upper(is_nullable) = 'YES' THEN 'null' ELSE 'not null' END AS nn_was,
+      CASE WHEN id % 80 = 2 THEN NULL ELSE key_position END AS key_was FROM tr),
+    s AS (SELECT *, {_line("target_type", "key_position", "nn")} AS line, {_line("was", "key_was", "nn_was")} AS old_line FROM l)
     SELECT "database", CAST(sum(line) AS VARCHAR) AS draft, count(DISTINCT table_name) AS tables, count(*) AS columns, count(review) AS decisions,
       sum(line) = sum(old_line) AS signed_off FROM s GROUP BY 1""",
 )
 def schema_sign_off(spark: SparkSession, folder: str) -> DataFrame:
-    """Draft manifests; the approvals were given for an older draft, in which some columns had another type."""
+    """Draft manifests; the approvals were given for an older draft, in which some columns had another type, key place or NOT NULL."""
     translated = T.translate_mysql(MYSQL.df(spark, folder))
-    older = translated.withColumn("target_type", F.when(F.col("id") % 64 == 0, "text").otherwise(F.col("target_type")))
+    older = translated.withColumns({
+        "target_type": F.when(F.col("id") % 64 == 0, "text").otherwise(F.col("target_type")),
+        "is_nullable": F.when(F.col("id") % 96 == 1, "YES").otherwise(F.col("is_nullable")),
+        "key_position": F.when(F.col("id") % 80 != 2, F.col("key_position")),
+    })
     return T.sign_off(T.manifest(translated, ["database"]), T.manifest(older, ["database"]), ["database"])
 
 

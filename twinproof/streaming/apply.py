@@ -1,7 +1,7 @@
 """Change apply as a stream: landed change files in, an exact table state out.
 
-Each micro-batch is reduced to the latest change per key and written to its own folder, named by run (one per
-checkpoint) and batch id, so a replayed batch replaces itself and two runs never meet. A generation keeps rows in hash
+Each micro-batch is reduced to the latest change per key and written to its own folder, named by run (the stream's
+own id) and batch id, so a replayed batch replaces itself and two runs never meet. A generation keeps rows in hash
 buckets of the key, each with the position that was applied last, also for deleted keys, and lists the batches it
 contains. So a change is judged against its own key's position, however late it lands, and a compaction rewrites only
 the buckets that pending changes touch. Nothing rewrites a folder that is being read.
@@ -9,7 +9,6 @@ the buckets that pending changes touch. Nothing rewrites a folder that is being
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinproof.functions.canon import quoted
-from twinproof.operators.changes import DELETE, evolve, latest_per_key, open_images, route
+from twinproof.operators.changes import DELETE, checked_images, evolve, latest_per_key, route, same_key
 
 #: Columns of a stored row besides its own: bucket, applied position, and whether the key is deleted.
 _BUCKET, _POS, _GONE = "_bucket", "_pos", "_gone"
@@ -75,7 +74,8 @@ class ChangeTable:
 
     ``evolution`` is ``none`` (a batch with unknown columns is rejected) or ``basic`` (columns are added, never dropped or
     retyped). A change is a whole row: a column that its batch lacks becomes null. Positions may be of any type whose order is
-    that of the log: numbers, padded text, structs. ``buckets`` is fixed when the table is created.
+    that of the log: numbers, padded text, structs. ``buckets`` is fixed when the table is created. Nulls in a key equal each other.
+    With ``history``, batches keep every change instead of the latest per key, so that :meth:`state` can answer for an earlier position.
     """
 
     path: str
@@ -84,6 +84,7 @@ class ChangeTable:
     pos: str = "pos"
     evolution: str = "none"
     buckets: int = 64
+    history: bool = False
 
     # -- writing ---------------------------------------------------------------------------
 
@@ -101,31 +102,37 @@ class ChangeTable:
         self._write(rows, 0, {}, frozenset())
 
     def write_batch(self, batch: DataFrame, batch_id: int, run: str = "direct") -> None:
-        """Write the changes of one batch; running it twice for one run and id has no further effect."""
+        """Write the changes of one batch; running it twice for one run and id has no further effect, also after a compaction."""
+        name = f"run={run}/batch={batch_id:012d}"
+        if name in self._newest(batch.sparkSession).batches:
+            return
         if self.evolution == "none":
             known = {*self._rows(batch.sparkSession).columns, self.op, self.pos}
             unknown = sorted(set(batch.columns) - known)
             if unknown:
                 raise ValueError(f"batch {batch_id} has unknown columns: {', '.join(unknown)}")
-        latest = latest_per_key(batch, self.keys, self.pos)
-        latest.write.mode("overwrite").parquet(f"{self.path}/batches/run={run}/batch={batch_id:012d}")
+        rows = batch if self.history else latest_per_key(batch, self.keys, self.pos)
+        rows.write.mode("overwrite").parquet(f"{self.path}/batches/{name}")
 
     def start(self, changes: DataFrame, checkpoint: str, mode: str = "append"):
         """Apply everything that has landed, then stop; restarting resumes from the checkpoint.
 
         Use mode ``update`` for the output of :func:`latest_state`.
         """
-        run = run_name(checkpoint)
         return (
-            changes.writeStream.foreachBatch(lambda batch, batch_id: self.write_batch(batch, batch_id, run))
+            changes.writeStream.foreachBatch(lambda batch, batch_id: self.write_batch(batch, batch_id, run_name(batch.sparkSession, checkpoint)))
             .outputMode(mode)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()
         )
 
-    def compact(self, spark: SparkSession) -> int:
-        """Apply the pending batches to the buckets they touch, as a new generation; return its number."""
+    def compact(self, spark: SparkSession, take_over: bool = False) -> int:
+        """Apply the pending batches to the buckets they touch, as a new generation; return its number.
+
+        Each generation is claimed before it is written, so two compactions never write the same one: the second fails. ``take_over``
+        repeats a compaction that claimed its generation and was lost.
+        """
         now = self._newest(spark)
         names = self._waiting(spark, now)
         latest = self._latest(spark, names)
@@ -136,6 +143,7 @@ class ChangeTable:
         batches = now.batches | frozenset(names)
         if not touched:
             return now.number
+        self._claim(spark, now.number + 1, take_over)
         rows = self._merged(self._rows(spark, now, touched), latest)
         self._write(rows, now.number + 1, {b: n for b, n in now.folders.items() if b not in touched}, batches)
         return now.number + 1
@@ -162,11 +170,14 @@ class ChangeTable:
 
     # -- reading ---------------------------------------------------------------------------
 
-    def state(self, spark: SparkSession) -> DataFrame:
-        """The table after every change that has been written."""
-        now = self._newest(spark)
+    def state(self, spark: SparkSession, as_of=None) -> DataFrame:
+        """The table after every change that has been written, or after those up to position ``as_of`` alone.
+
+        An earlier position needs ``history``, and the generations and batches since then: what :meth:`retire` has deleted is an error.
+        """
+        now = self._newest(spark) if as_of is None else self._before(spark, as_of)
         rows = self._rows(spark, now)
-        latest = self._latest(spark, self._waiting(spark, now))
+        latest = self._latest(spark, self._waiting(spark, now), as_of)
         if latest is not None:
             rows = self._merged(rows, latest)
         return rows.filter(~F.col(_GONE)).drop(_POS, _GONE)
@@ -178,25 +189,42 @@ class ChangeTable:
 
     def _merged(self, rows: DataFrame, latest: DataFrame) -> DataFrame:
         """Rows with the changes whose position is beyond that of their key. The rows' payload meets no aggregation."""
-        keys = list(self.keys)
-        applied = rows.select(*[quoted(k) for k in keys], F.col(_POS).alias("_applied"))
-        new = latest.join(applied, keys, "left").filter(F.col("_applied").isNull() | (quoted(self.pos) > F.col("_applied"))).drop("_applied")
-        kept = rows.join(new.select(*[quoted(k) for k in keys]), keys, "left_anti")
+        names = [quoted(k) for k in self.keys]
+        applied = rows.select(*names, F.col(_POS).alias("_applied")).alias("_a")
+        both = latest.alias("_n").join(applied, same_key("_n", "_a", self.keys), "left")
+        new = both.filter(F.col("_a._applied").isNull() | (F.col(f"_n.`{self.pos}`") > F.col("_a._applied"))).select("_n.*")
+        kept = rows.alias("_r").join(new.select(*names).alias("_k"), same_key("_r", "_k", self.keys), "left_anti")
         new = new.withColumns({_POS: quoted(self.pos), _GONE: F.col(self.op) == DELETE})
         if self.evolution == "basic":
             return evolve(kept, new.drop(*[c for c in (self.op, self.pos) if c not in rows.columns]))
         return kept.unionByName(new.select(*[quoted(c) for c in rows.columns]))
 
-    def _latest(self, spark: SparkSession, names: Sequence[str]) -> DataFrame | None:
-        """Latest waiting change per key, without those that the snapshot already contains."""
+    def _latest(self, spark: SparkSession, names: Sequence[str], as_of=None) -> DataFrame | None:
+        """Latest waiting change per key, without those that the snapshot already contains or that came after ``as_of``."""
         if not names:
             return None
         # Only tables that may gain columns pay for reading every footer.
         reader = spark.read.option("mergeSchema", str(self.evolution == "basic").lower())
         waiting = reader.parquet(*[f"{self.path}/batches/{n}" for n in names])
         mark = spark.read.parquet(f"{self.path}/mark").select(_POS).scalar()
+        if as_of is not None:
+            waiting = waiting.filter(quoted(self.pos) <= F.lit(as_of))
         return latest_per_key(waiting.filter(quoted(self.pos) > mark), self.keys, self.pos)
 
+    def _before(self, spark: SparkSession, as_of) -> _Generation:
+        """The newest generation without a change after ``as_of``."""
+        if not self.history:
+            raise ValueError("only a table with history knows earlier positions")
+        newest = self._newest(spark)
+        gone = [n for n in newest.batches if not self._exists(spark, f"batches/{n}")]
+        for number in reversed(self._numbers(spark)):
+            old = self._generation(spark, number)
+            folders = [f"data/gen-{n:08d}/{_BUCKET}={b}" for b, n in old.folders.items()]
+            if set(gone) <= old.batches and all(self._exists(spark, f) for f in folders):
+                if self._rows(spark, old).filter(F.col(_POS) > F.lit(as_of)).isEmpty():
+                    return old
+        raise ValueError(f"nothing is left to tell the state as of {as_of}")
+
     # -- folders ---------------------------------------------------------------------------
 
     def _write(self, rows: DataFrame, number: int, others: dict[int, int], batches: frozenset[str]) -> None:
@@ -204,15 +232,27 @@ class ChangeTable:
         spark = rows.sparkSession
         folder = f"{self.path}/data/gen-{number:08d}"
         placed = rows.withColumn(_BUCKET, self._bucket())
-        # A few tasks per bucket: a full bucket is not one task's work.
-        spread = F.pmod(F.xxhash64(*[quoted(k) for k in self.keys], F.lit(1)), F.lit(4))
-        placed.repartition(_BUCKET, spread).write.mode("overwrite").partitionBy(_BUCKET).parquet(folder)
+        # Small buckets share a task and large ones are split, by size.
+        placed.hint("rebalance", F.col(_BUCKET)).write.mode("overwrite").partitionBy(_BUCKET).parquet(folder)
         fs, root = self._fs(spark, f"data/gen-{number:08d}")
         own = [p.getPath().getName() for p in fs.listStatus(root)]
         folders = others | {int(n.split("=")[1]): number for n in own if n.startswith(f"{_BUCKET}=")}
         manifest = json.dumps({"folders": folders, "batches": sorted(batches), "schema": rows.schema.json()})
         spark.range(1).select(F.lit(manifest).alias("value")).write.mode("overwrite").text(f"{self.path}/generations/gen-{number:08d}")
 
+    def _claim(self, spark: SparkSession, number: int, take_over: bool) -> None:
+        fs, path = self._fs(spark, f"claims/gen-{number:08d}")
+        try:
+            fs.create(path, take_over).close()
+        except Exception as e:
+            if fs.exists(path):
+                raise RuntimeError(f"generation {number} of {self.path} is being written; take_over=True repeats a lost compaction") from e
+            raise
+
+    def _exists(self, spark: SparkSession, relative: str) -> bool:
+        fs, path = self._fs(spark, relative)
+        return fs.exists(path)
+
     def _fs(self, spark: SparkSession, relative: str):
         hpath = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{relative}")
         return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
@@ -235,8 +275,11 @@ class ChangeTable:
         numbers = self._numbers(spark)
         if not numbers:
             raise ValueError(f"no complete generation under {self.path}")
-        manifest = self._manifest(spark, numbers[-1])
-        return _Generation(numbers[-1], {int(b): n for b, n in manifest["folders"].items()}, frozenset(manifest["batches"]))
+        return self._generation(spark, numbers[-1])
+
+    def _generation(self, spark: SparkSession, number: int) -> _Generation:
+        manifest = self._manifest(spark, number)
+        return _Generation(number, {int(b): n for b, n in manifest["folders"].items()}, frozenset(manifest["batches"]))
 
     def _rows(self, spark: SparkSession, now: _Generation | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
         """Stored rows of a generation, or of some of its buckets."""
@@ -256,13 +299,13 @@ class ChangeTable:
         return [n for r in runs for b in self._complete(spark, f"batches/{r}") if (n := f"{r}/{b}") not in now.batches]
 
 
-def run_name(checkpoint: str) -> str:
-    """Name of the run that a checkpoint continues."""
-    return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+def run_name(spark: SparkSession, checkpoint: str) -> str:
+    """The stream's own id, which its checkpoint holds: a new checkpoint at an old path is another run."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
 
 
-def _with_part(schema: T.StructType) -> T.StructType:
-    return T.StructType([*schema.fields, T.StructField("part", T.StringType())])
+#: Folder name of changes that belong to no table.
+_NOWHERE = "_unrouted"
 
 
 @dataclass(frozen=True)
@@ -270,7 +313,8 @@ class ChangeRouter:
     """One stream of changes of many tables: by topic to its table, the rest to quarantine.
 
     A change carries ``topic``, ``op``, ``pos`` and the JSON images ``before`` and ``after``. ``schemas`` gives the columns to read
-    from the images of each table. A batch is split by one partitioned write; each table then reads its own part only.
+    from the images of each table. A batch is split by one partitioned write, which is deleted once every table has its part. Changes
+    that belong to no table or cannot be applied stay in quarantine with their reason, and only they.
     """
 
     tables: Mapping[str, ChangeTable]
@@ -281,26 +325,37 @@ class ChangeRouter:
 
     def write_batch(self, batch: DataFrame, batch_id: int, run: str = "direct") -> None:
         spark = batch.sparkSession
+        name = f"run={run}/batch={batch_id:012d}"
+        staged = f"{self.quarantine.rstrip('/')}-staging/{name}"
         routed = route(batch, self.prefix, segments=self.segments, include=list(self.tables))
-        part = F.when(F.col("routed"), F.col("table"))
-        folder = f"{self.quarantine}/run={run}/batch={batch_id:012d}"
-        routed.withColumn("part", part).drop("table", "routed").write.mode("overwrite").partitionBy("part").parquet(folder)
-        split = spark.read.schema(_with_part(batch.schema)).parquet(folder)
-        present = {r[0] for r in split.select("part").distinct().collect()}  # at most one row per table
-        for name, table in self.tables.items():
-            if name in present:
-                mine = split.filter(F.col("part") == name).drop("part")
-                table.write_batch(open_images(mine, self.schemas[name]), batch_id, run)
-
-    def rejected(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
-        """Changes that belong to no table; ``schema`` is that of the stream."""
-        parts = spark.read.schema(_with_part(schema)).parquet(self.quarantine)
-        return parts.filter("part IS NULL").select(*schema.names)
+        part = F.when(F.col("routed"), F.col("table")).otherwise(_NOWHERE)
+        routed.withColumn("_part", part).drop("table", "routed").write.mode("overwrite").partitionBy("_part").parquet(staged)
+        split = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("_part", T.StringType())])).parquet(staged)
+        present = {r[0] for r in split.select("_part").distinct().collect()}  # at most one row per table
+        for source in sorted(present):
+            mine = split.filter(F.col("_part") == source).drop("_part")
+            if source == _NOWHERE:
+                bad = mine.withColumn("_reason", F.lit("unrouted"))
+            else:
+                opened = checked_images(mine, self.schemas[source], self.tables[source].keys)
+                good = opened.filter("_reason IS NULL").select("op", "pos", "_image.*")
+                self.tables[source].write_batch(good, batch_id, run)
+                bad = opened.filter("_reason IS NOT NULL").drop("_image")
+            bad.write.mode("overwrite").parquet(f"{self.quarantine}/{name}/source={source}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def rejected(self, spark: SparkSession, schema: T.StructType, reasons: bool = False) -> DataFrame:
+        """Changes that were not applied; ``schema`` is that of the stream. ``reasons`` adds ``source`` (the table, null if none) and ``reason``."""
+        fields = [*schema.fields, T.StructField("_reason", T.StringType()), T.StructField("source", T.StringType())]
+        found = spark.read.schema(T.StructType(fields)).parquet(self.quarantine)
+        if not reasons:
+            return found.select(*schema.names)
+        return found.select(*schema.names, F.nullif(F.col("source"), F.lit(_NOWHERE)).alias("source"), F.col("_reason").alias("reason"))
 
     def start(self, changes: DataFrame, checkpoint: str):
-        run = run_name(checkpoint)
         return (
-            changes.writeStream.foreachBatch(lambda batch, batch_id: self.write_batch(batch, batch_id, run))
+            changes.writeStream.foreachBatch(lambda batch, batch_id: self.write_batch(batch, batch_id, run_name(batch.sparkSession, checkpoint)))
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()
