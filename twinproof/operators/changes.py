@@ -49,7 +49,7 @@ def open_images(changes: DataFrame, schema: T.StructType) -> DataFrame:
 
 #: Why a change cannot be applied.
 BAD_IMAGE, NO_IMAGE, NULL_KEY, BAD_OP = "malformed image", "no image", "null key", "unknown operation"
-_OPS = ("c", "u", "d", "r")
+OPS = ("c", "u", "d", "r")
 
 
 def checked_images(changes: DataFrame, schema: T.StructType, keys: Sequence[str]) -> DataFrame:
@@ -65,7 +65,7 @@ def checked_images(changes: DataFrame, schema: T.StructType, keys: Sequence[str]
     for k in keys:
         no_key = no_key | F.col("_image").getField(k).isNull()
     reason = (
-        F.when(~F.coalesce(F.col("op").isin(*_OPS), F.lit(False)), BAD_OP)
+        F.when(~F.coalesce(F.col("op").isin(*OPS), F.lit(False)), BAD_OP)
         .when(raw.isNull(), NO_IMAGE)
         .when(F.col("_image").isNull() | F.col("_image._corrupt").isNotNull(), BAD_IMAGE)
         .when(no_key, NULL_KEY)

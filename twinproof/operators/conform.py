@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from twinproof.functions.canon import exact_sum, quoted
 from twinproof.functions.scalars import cut_fraction, sql_identifier
+from twinproof.session import shared_dir
 
 # Source types that map to one target type without further conditions.
 MYSQL_DIRECT = {
@@ -344,6 +346,52 @@ def conform_report(df: DataFrame, casts: Sequence[Cast]) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
+class Conformed(NamedTuple):
+    """``rows``: conformed, null where a value did not fit; ``rejects``: (keys, column, text, reason) of each such value; ``counts``: as
+    :func:`conform_report`."""
+
+    rows: DataFrame
+    rejects: DataFrame
+    counts: DataFrame
+
+
+def _reason(cast: Cast, dtype: T.DataType) -> Column:
+    if cast.kind == "zero_date":
+        return F.lit("no such date")
+    if isinstance(dtype, T.NumericType):
+        return F.lit("out of range")
+    return F.when(quoted(cast.column).cast("string").rlike(_NUMBER), "out of range").otherwise("not of the type")
+
+
+def conform_split(df: DataFrame, casts: Sequence[Cast], keys: Sequence[str]) -> Conformed:
+    """Conform all rows in one pass that also sets unfit values aside with their text and takes the counts.
+
+    The rows are written once, each with what was rejected of it; both results read their own columns of that table, and the counts are
+    observed on the way, so the source is evaluated once. A value that is null in the source is no reject.
+    """
+    spark = df.sparkSession
+    own = [c.column for c in casts]
+    fits = {c.column: conform_expr(c, df.schema[c.column].dataType) for c in casts}
+    names = {c: f"_to{i}" for i, c in enumerate(own)}
+    wide = df.withColumns({names[c]: e for c, e in fits.items()})
+    aggs, found = [], []
+    for i, c in enumerate(casts):
+        lost = quoted(c.column).isNotNull() & F.col(names[c.column]).isNull()
+        aggs += [F.count(quoted(c.column)).alias(f"v{i}"), F.count_if(lost).alias(f"l{i}")]
+        value = F.struct(F.lit(c.column).alias("column"), quoted(c.column).cast("string").alias("text"), _reason(c, df.schema[c.column].dataType).alias("reason"))
+        found.append(F.when(lost, value))
+    seen, path = Observation(), shared_dir(spark, "conformed")
+    # The observation needs the source columns, so it stands before the projection.
+    columns = [F.col(names[c]).alias(c) if c in names else quoted(c) for c in df.columns]
+    out = wide.observe(seen, *aggs).select(*columns, F.array_compact(F.array(*found)).alias("_rejects"))
+    out.write.parquet(path)
+    stored = spark.read.schema(out.schema).parquet(path)
+    counts = seen.get
+    rows = [(c.column, c.kind, counts[f"v{i}"], counts[f"l{i}"]) for i, c in enumerate(casts)]
+    rejects = stored.filter(F.size("_rejects") > 0).select(*[quoted(k) for k in keys], F.explode("_rejects").alias("_r")).select(*[quoted(k) for k in keys], "_r.*")
+    return Conformed(stored.drop("_rejects"), rejects, spark.createDataFrame(rows, "column string, kind string, values long, new_nulls long"))
+
+
 def identifier_collisions(catalog: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     """Names that differ only in case and would fold into one."""
     return (

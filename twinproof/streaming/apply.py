@@ -83,14 +83,14 @@ class ChangeTable:
     op: str = "op"
     pos: str = "pos"
     evolution: str = "none"
-    buckets: int = 64
+    buckets: int = 32
     history: bool = False
 
     # -- writing ---------------------------------------------------------------------------
 
-    def create(self, snapshot: DataFrame, high_water) -> None:
+    def create(self, snapshot: DataFrame, high_water, positions: str | None = None) -> None:
         """Generation 0: the initial copy. It contains every change up to ``high_water`` (a value, or a column of no rows'
-        content such as a literal struct)."""
+        content such as a literal struct). ``positions`` names a column with each row's own position, not below that."""
         spark = snapshot.sparkSession
         if self._numbers(spark):
             raise ValueError(f"{self.path} already holds a table")
@@ -98,7 +98,10 @@ class ChangeTable:
         if isinstance(high_water, int):
             mark = mark.cast("bigint")
         spark.range(1).select(mark.alias(_POS)).write.mode("overwrite").parquet(f"{self.path}/mark")
-        rows = snapshot.withColumns({_POS: mark, _GONE: F.lit(False)})
+        own = quoted(positions) if positions else mark
+        rows = snapshot.withColumns({_POS: own, _GONE: F.lit(False)})
+        if positions:
+            rows = rows.drop(positions)
         self._write(rows, 0, {}, frozenset())
 
     def write_batch(self, batch: DataFrame, batch_id: int, run: str = "direct") -> None:
@@ -269,7 +272,14 @@ class ChangeTable:
         return [int(n.removeprefix("gen-")) for n in self._complete(spark, "generations")]
 
     def _manifest(self, spark: SparkSession, number: int) -> dict:
-        return json.loads(spark.read.text(f"{self.path}/generations/gen-{number:08d}", wholetext=False).first()[0])
+        """One small file, read without a job."""
+        fs, root = self._fs(spark, f"generations/gen-{number:08d}")
+        [part] = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("part-") and s.getLen() > 0]
+        stream = fs.open(part)
+        try:
+            return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _newest(self, spark: SparkSession) -> _Generation:
         numbers = self._numbers(spark)
