@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinproof.llm.common import LOWER, flat, fold, map_arrow, saved, ship, slices, utf8, word_hashes
@@ -41,7 +41,7 @@ class Settings:
     classes: int = 32  # 64 at most
     sweeps: int = 3  # of the start
     refine: int = 2  # of all words
-    block_bytes: int = 12 << 20  # text of a block, about
+    block_bytes: int = 20 << 20  # text of a block, about
 
 
 @dataclass
@@ -457,14 +457,20 @@ def word_classes(docs: DataFrame, listed: DataFrame, parts: DataFrame, known: Da
         bigrams = class_pairs(counted, conf.classes)
         if best and likelihood(bigrams) <= likelihood(best[1]):
             break
-        if best:  # nothing reads the earlier sweep any more
-            old = spark._jvm.org.apache.hadoop.fs.Path(best[2])
-            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        if best:
+            _delete(spark, best[2])  # nothing reads the earlier sweep any more
         best = counted, bigrams, path
         if sweep < conf.refine:
             now = move(counted, bigrams)
-    counted, bigrams, _ = best
-    return counted.filter("id >= 0").groupBy("word").agg(F.min("cls").alias("cls")), bigrams
+    counted, bigrams, path = best
+    classes = saved(counted.filter("id >= 0").groupBy("word").agg(F.min("cls").alias("cls")), "classes")
+    _delete(spark, path)
+    return classes, bigrams
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def train(bigrams: np.ndarray, known: DataFrame, conf: Settings) -> Model:
