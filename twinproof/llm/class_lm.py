@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import LOWER, flat, fold, map_arrow, saved, ship, slices, utf8, word_hashes
+from twinproof.llm.common import LOWER, flat, fold, map_arrow, release, saved, ship, slices, utf8, word_hashes
 from twinproof.session import shared_dir
 
 _U = np.uint64
@@ -41,7 +41,7 @@ class Settings:
     classes: int = 32  # 64 at most
     sweeps: int = 3  # of the start
     refine: int = 2  # of all words
-    block_bytes: int = 20 << 20  # text of a block, about
+    block_bytes: int = 16 << 20  # text of a block, about
 
 
 @dataclass
@@ -187,7 +187,7 @@ def block_words(docs: DataFrame, conf: Settings, blocks: int | None = None) -> D
         if now:
             yield from now.rows()
         now = None
-        pa.default_memory_pool().release_unused()
+        release()
 
     schema = "block int, id int, word long, ending int, n long, doc_ids array<long>, training array<boolean>, sizes array<int>, tokens binary"
     rows = docs.select("block", "doc_id", "text", "training")
@@ -300,6 +300,8 @@ def neighbours(parts: DataFrame, classes: DataFrame, k: int, moving: bool) -> Da
         at = 4 * np.append(np.searchsorted(key // (2 * k), ids), len(key)).astype(np.int32)
         counts = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(entry.tobytes())])
         block = (texts.column("of") if len(texts) else known.column("block"))[0].as_py()
+        key = n = number = keys = numbers = None
+        release()
         return pa.table({
             "block": pa.array(np.full(len(ids) + 1, block, np.int32)),
             "id": pa.array(np.append(ids, -1).astype(np.int32)),
@@ -391,6 +393,8 @@ def move(counted: DataFrame, bigrams: np.ndarray) -> DataFrame:
             held.append(batch.slice(first))
         if held:
             yield chosen(pa.Table.from_batches(held))
+        held = []
+        release()
 
     rows = counted.filter("id >= 0").repartition("word").sortWithinPartitions("word")
     return map_arrow(rows.select("block", "id", "word", "cls", "counts"), run, "block int, id int, word long, cls int")
@@ -553,7 +557,7 @@ def score_documents(docs: DataFrame, conf: Settings = Settings(), folds: int = 7
             out["n_tokens"] += sizes
             for name, x in (("n_known", (c > 0).astype(np.int64)[w]), ("base_score", base[w]), ("score", mine)):
                 out[name] += np.add.reduceat(x, first).tolist()
-        pa.default_memory_pool().release_unused()
+        release()
         kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         rows = {name: pa.array(x, kind) for (name, x), kind in zip(out.items(), kinds)}
         return pa.table(rows | {"train_tokens": pa.array(np.full(len(out["doc_id"]), m.total, np.int64))})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import tempfile
 import zipfile
@@ -104,6 +106,13 @@ class Remembered(dict):
             self.clear()
 
 
+def release() -> None:
+    """Give memory that a finished task has freed back to the system: workers live on, and the executor's share is limited."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # -- Arrow helpers ---------------------------------------------------------------------------------
 
 
