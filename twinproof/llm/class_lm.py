@@ -17,6 +17,7 @@ block by joins.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -475,6 +476,14 @@ def word_classes(docs: DataFrame, listed: DataFrame, parts: DataFrame, known: Da
 def _delete(spark: SparkSession, path: str) -> None:
     old = spark._jvm.org.apache.hadoop.fs.Path(path)
     old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    _forget(spark)
+
+
+def _forget(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of finished jobs once the driver's collector finds their plans unused; ask for that between
+    phases, since each phase's shuffle is as large as the texts' places."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def train(bigrams: np.ndarray, known: DataFrame, conf: Settings) -> Model:
@@ -532,6 +541,7 @@ def score_documents(docs: DataFrame, conf: Settings = Settings(), folds: int = 7
         "block": F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"),
     })
     stored = saved(block_words(rows, conf, blocks), "block-words")
+    _forget(docs.sparkSession)
     listed, parts = stored.filter("id IS NOT NULL"), stored.filter("id IS NULL")
     words = saved(listed.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("c")).filter("c > 0"), "words")
     classes, bigrams = word_classes(rows, listed, parts, words, conf)
