@@ -42,7 +42,7 @@ class Settings:
     classes: int = 32  # 64 at most
     sweeps: int = 3  # of the start
     refine: int = 2  # of all words
-    block_bytes: int = 16 << 20  # text of a block, about
+    block_bytes: int = 28 << 20  # text of a block, about
 
 
 @dataclass
@@ -457,7 +457,7 @@ def word_classes(docs: DataFrame, listed: DataFrame, parts: DataFrame, known: Da
     spark = docs.sparkSession
     for sweep in range(conf.refine + 1):
         path = shared_dir(spark, "neighbours")
-        neighbours(parts, now, conf.classes, sweep < conf.refine).write.parquet(path)
+        neighbours(parts, now, conf.classes, sweep < conf.refine).write.option("compression", "zstd").parquet(path)
         counted = spark.read.parquet(path)
         bigrams = class_pairs(counted, conf.classes)
         if best and likelihood(bigrams) <= likelihood(best[1]):
