@@ -168,7 +168,9 @@ def fault_corrupt_row(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "fault_derived",
-    "SELECT 'documents' AS \"table\", count(*) AS source_rows, count(*) AS target_rows, true AS match FROM documents",
+    """WITH s AS (SELECT doc_id, text, lang, lower(text) AS derived FROM documents), t AS (SELECT doc_id, text, lang, reverse(derived) AS derived FROM s),
+    d AS ((SELECT doc_id, text, lang FROM s EXCEPT ALL SELECT doc_id, text, lang FROM t) UNION ALL (SELECT doc_id, text, lang FROM t EXCEPT ALL SELECT doc_id, text, lang FROM s))
+    SELECT 'documents' AS "table", (SELECT count(*) FROM s) AS source_rows, (SELECT count(*) FROM t) AS target_rows, (SELECT count(*) FROM d) = 0 AS match""",
 )
 def fault_derived(spark: SparkSession, folder: str) -> DataFrame:
     """Parity passes although the derived column differs everywhere."""
@@ -228,9 +230,21 @@ def fault_identity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "fault_matrix",
-    """SELECT * FROM (VALUES ('none', false, false, true), ('lose-row', true, true, true), ('corrupt-row', true, true, true),
-      ('derived-drift', false, false, true), ('stall', true, true, true), ('desync', true, true, true),
-      ('drop-identity', true, true, true)) t(fault, expected, observed, caught)""",
+    with_ctes(SLOTS, CATALOG_TABLES)
+    + f""", lost AS (SELECT * FROM orders WHERE o_orderkey % {RATE} <> 0),
+    corrupt AS (SELECT * REPLACE (CASE WHEN o_orderkey % {RATE} = 0 THEN o_orderpriority || '_corrupted' ELSE o_orderpriority END AS o_orderpriority) FROM orders),
+    docs AS (SELECT doc_id, text, lang FROM (SELECT *, reverse(lower(text)) AS derived FROM documents)),
+    stalled AS (SELECT CAST('0x' || split_part(current_lsn, '/', 1) AS BIGINT) * 4294967296 + CAST('0x' || split_part(current_lsn, '/', 2) AS BIGINT) AS now FROM slots),
+    behind AS (SELECT max(o_orderkey) AS used, max(o_orderkey) + 1 - CASE WHEN o_custkey % 3 = 0 THEN 1 ELSE 0 END AS next_value FROM orders GROUP BY o_custkey),
+    o(fault, expected, observed) AS (
+      SELECT 'none', false, EXISTS (FROM orders EXCEPT ALL FROM orders)
+      UNION ALL SELECT 'lose-row', true, EXISTS (FROM orders EXCEPT ALL FROM lost) OR EXISTS (FROM lost EXCEPT ALL FROM orders)
+      UNION ALL SELECT 'corrupt-row', true, EXISTS (FROM orders EXCEPT ALL FROM corrupt) OR EXISTS (FROM corrupt EXCEPT ALL FROM orders)
+      UNION ALL SELECT 'derived-drift', false, EXISTS (SELECT doc_id, text, lang FROM documents EXCEPT ALL FROM docs)
+      UNION ALL SELECT 'stall', true, (SELECT bool_or((now - least(now, {_STALLED_AT})) / 1048576.0 > 2048) FROM stalled)
+      UNION ALL SELECT 'desync', true, (SELECT bool_or(next_value <= used) FROM behind)
+      UNION ALL SELECT 'drop-identity', true, (SELECT bool_or(NOT coalesce(relkind <> 'p' AND ((identity = 'd' AND has_key) OR identity IN ('f', 'i')), false)) FROM catalog_tables))
+    SELECT fault, expected, observed, observed = expected AS caught FROM o""",
 )
 def fault_matrix(spark: SparkSession, folder: str) -> DataFrame:
     """Inject each fault into the whole table and run the check that must notice it."""

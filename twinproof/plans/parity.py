@@ -13,7 +13,7 @@ from twinproof.operators import reconcile as R
 from twinproof.operators.changes import orphan_rows
 from twinproof.operators.faults import skewed_copy
 from twinproof.operators.profile import diff_profiles, profile_report, table_profile, table_sizes
-from twinproof.plans.registry import Derived, query
+from twinproof.plans.registry import Derived, query, with_ctes
 from twinproof.session import shared_dir
 from twinproof.sources.ledger import append_ledger, parse_ledger, read_ledger
 from twinproof.sources.reports import read_report, write_report
@@ -409,8 +409,13 @@ _EXTREMES = Derived(
 
 @query(
     "profile_extremes",
-    """WITH c(name, changes) AS (VALUES ('tiny', 1), ('huge', 1), ('odd', 1), ('fine', 1), ('wide', 1), ('o_orderkey', 0))
-    SELECT name AS "column", changes > 0 AND (SELECT count(*) FROM orders) > 0 AS differs FROM c""",
+    with_ctes(_EXTREMES)
+    + """, m AS (SELECT min(o_orderkey) AS k FROM orders),
+    t AS (SELECT o_orderkey, tiny + CAST(1e-9 AS DOUBLE) AS tiny, huge + CAST(1e31 AS DOUBLE) AS huge, CASE WHEN odd = 0.5 THEN 0.25 ELSE 0.5 END AS odd,
+      fine + CAST(0.00000001 AS DECIMAL(9,8)) AS fine, wide + 1 AS wide FROM extremes, m WHERE o_orderkey = k),
+    d AS (SELECT s.o_orderkey IS DISTINCT FROM t.o_orderkey AS o_orderkey, s.tiny IS DISTINCT FROM t.tiny AS tiny, s.huge IS DISTINCT FROM t.huge AS huge,
+      s.odd IS DISTINCT FROM t.odd AS odd, s.fine IS DISTINCT FROM t.fine AS fine, s.wide IS DISTINCT FROM t.wide AS wide FROM extremes s JOIN t USING (o_orderkey))
+    UNPIVOT d ON o_orderkey, tiny, huge, odd, fine, wide INTO NAME "column" VALUE differs""",
 )
 def profile_extremes(spark: SparkSession, folder: str) -> DataFrame:
     """One row's value changes in each column, far below, above or outside what six decimals hold."""
@@ -444,7 +449,7 @@ def profile_diff(spark: SparkSession, folder: str) -> DataFrame:
     "profile_report",
     f"""WITH {_ORDERS_TARGET}, s AS ({_profile_sql("orders", "orders", *_OC)}), t AS ({_profile_sql("orders", "orders_t", *_OC)})
     SELECT 'orders' AS "table", (SELECT value FROM s WHERE metric = 'row_count') AS source_rows,
-      (SELECT value FROM t WHERE metric = 'row_count') AS target_rows, count(*) AS mismatches, false AS match
+      (SELECT value FROM t WHERE metric = 'row_count') AS target_rows, count(*) AS mismatches, count(*) = 0 AS match
     FROM s JOIN t ON s.metric = t.metric AND s."column" IS NOT DISTINCT FROM t."column" WHERE s.value IS DISTINCT FROM t.value""",
 )
 def profile_summary(spark: SparkSession, folder: str) -> DataFrame:
