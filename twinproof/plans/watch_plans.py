@@ -59,7 +59,7 @@ PROGRESS = Derived(
 @query(
     "watch_deadlines",
     with_ctes(PROGRESS)
-    + f""", p AS (SELECT DISTINCT user_id, epoch_ms(ts) AS ms, max(coalesce(ready, false)) OVER (PARTITION BY user_id, epoch_ms(ts)) AS ready FROM progress),
+    + f""", p AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS ms, max(coalesce(ready, false)) OVER (PARTITION BY user_id, epoch_us(ts) // 1000) AS ready FROM progress),
     w AS (SELECT max(ms) - {_LATE} AS mark FROM p),
     a AS (SELECT user_id, min(ms) + {_ALLOWED} AS deadline, max(ms) AS last, min(ms) FILTER (WHERE ready) AS ready_at FROM p GROUP BY user_id),
     g AS (SELECT user_id, ms, lead(ms) OVER (PARTITION BY user_id ORDER BY ms) AS next FROM p)
