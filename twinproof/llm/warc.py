@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,20 +35,31 @@ class Archive:
     payloads: DataFrame
 
 
-def header_bytes(page_id: int | None, url: str | None, sha1: str, length: int, refers_to: int | None, revisit: bool) -> bytes:
-    """Header block of a record, with the blank line that ends it. A revisit carries no block."""
+#: Date of records whose pages name none; the standard asks for one in every record.
+NO_DATE = "1970-01-01T00:00:00Z"
+
+
+def record_id(page_id: int | None, place: str) -> str:
+    """Own to each record: repeated rows of a page differ in their place."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{place}>"
+
+
+def header_bytes(page_id: int | None, place: str, url: str | None, sha1: str, length: int, refers_to: str | None, date: str) -> bytes:
+    """Header block of a record, with the blank line that ends it. A record that refers to another is a revisit and carries no block."""
+    revisit = refers_to is not None
     uri = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {record_id(page_id, place)}",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {uri}",
         f"WARC-Payload-Digest: sha1:{sha1}",
     ]
     if revisit:
         lines += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-            f"WARC-Refers-To: <urn:page:{refers_to}>",
+            f"WARC-Refers-To: {refers_to}",
         ]
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if revisit else length}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
@@ -60,19 +72,22 @@ def parse_header(block: bytes) -> dict[str, str]:
     return dict(line.split(": ", 1) for line in lines[1:] if line)
 
 
-def write_archive(pages: DataFrame, min_revisit: int = 1000) -> Archive:
+def write_archive(pages: DataFrame, min_revisit: int = 1000, date: str | None = None) -> Archive:
     """Write one record per row of ``pages`` (page_id, url, html) to the shared folder.
 
     Of the records with one payload of at least ``min_revisit`` bytes, that with the largest page_id is the response
     and the others revisit it; a repeated row of the response is a response too. Smaller payloads are
     responses all. A null html is empty, a null url an empty target; other columns are left out.
+    ``date`` names a timestamp column with the time of capture; without one, or where it is null, the date is NO_DATE.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        task, nth = TaskContext.get().partitionId(), 0
         for batch in batches:
             rows = []
-            for page, url, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2))):
+            for page, url, body, day in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist()):
+                nth += 1
                 address = hashlib.sha256(body).digest() + len(body).to_bytes(8, "big")
                 stored = None
                 if address not in seen:
@@ -80,15 +95,17 @@ def write_archive(pages: DataFrame, min_revisit: int = 1000) -> Archive:
                         seen.clear()
                     seen.add(address)
                     stored = gzip.compress(body, 6, mtime=0)
-                rows.append((page, url, address, hashlib.sha1(body).hexdigest(), len(body), stored))
+                rows.append((page, f"{task}.{nth}", url, day, address, hashlib.sha1(body).hexdigest(), len(body), stored))
             if rows:
-                kinds = [pa.int64(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["page_id", "url", "address", "sha1", "length", "stored"])
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["page_id", "place", "url", "day", "address", "sha1", "length", "stored"])
 
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows = saved(map_arrow(rows, digest, "page_id long, url string, address binary, sha1 string, length long, stored binary"), "warc-rows")
+    day = F.lit(NO_DATE) if date is None else F.coalesce(F.date_format(F.col(date).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(NO_DATE))  # the session is pinned to UTC
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), day.alias("day"))
+    rows = saved(map_arrow(rows, digest, "page_id long, place string, url string, day string, address binary, sha1 string, length long, stored binary"), "warc-rows")
 
-    groups = rows.groupBy("address").agg(F.max("page_id").alias("response"), F.count("*").alias("records"))
+    groups = rows.groupBy("address").agg(F.max(F.struct("page_id", "place")).alias("last"), F.count("*").alias("records"))
+    groups = groups.select("address", "records", F.col("last.page_id").alias("response"), F.col("last.place").alias("response_place"))
     groups = groups.withColumn("parts", F.ceil(F.col("records") / SALT_ROWS).cast("int"))
     # One copy from each task at most; any of them is the payload.
     copies = rows.filter("stored IS NOT NULL").select("address", "stored").dropDuplicates(["address"])
@@ -96,13 +113,14 @@ def write_archive(pages: DataFrame, min_revisit: int = 1000) -> Archive:
 
     def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [header_bytes(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "sha1", "length", "response", "revisit")))]
+            out = [header_bytes(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("page_id", "place", "url", "sha1", "length", "refers_to", "day")))]
             kept = [batch.column(c) for c in ("page_id", "address", "salt", "length")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary())], ["page_id", "address", "salt", "length", "header"])
 
     revisit = (F.col("length") >= min_revisit) & F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     salt = F.pmod(F.xxhash64("page_id"), F.col("parts")).cast("int")
-    joined = rows.drop("stored").join(groups, "address").withColumns({"revisit": revisit, "salt": salt})
+    joined = rows.drop("stored").join(groups, "address").withColumn("salt", salt)
+    joined = joined.withColumn("refers_to", F.when(revisit, F.format_string("<urn:page:%d:%s>", "response", "response_place")))
     return Archive(saved(map_arrow(joined, headers, "page_id long, address binary, salt int, length long, header binary"), "warc-headers"), payloads)
 
 
@@ -138,7 +156,7 @@ def record_facts(records: DataFrame) -> DataFrame:
     def field(name: str):
         return F.regexp_extract(header, rf"\r\n{name}: ([^\r]*)", 1)
 
-    refers = F.regexp_extract(header, r"\r\nWARC-Refers-To: <urn:page:(-?\d+)>", 1)
+    refers = F.regexp_extract(header, r"\r\nWARC-Refers-To: <urn:page:(-?\d+):", 1)
     return records.select(
         "page_id",
         F.length("payload").cast("long").alias("payload_bytes"),
