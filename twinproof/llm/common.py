@@ -65,6 +65,13 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """The frame with every column but doc_id and text renamed to its number, so that no name clashes with an operator's own, and the columns that give
+    the old names back."""
+    names = [c if c in ("doc_id", "text") else f"_own_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
+
+
 def fold(column: Column, parts: int) -> Column:
     """crc32 of a number's decimal text, modulo ``parts``."""
     return F.crc32(column.cast("string").cast("binary")) % parts

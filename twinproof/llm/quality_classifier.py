@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import SPACE, flat, fold, map_arrow, slices, utf8, word_hashes
+from twinproof.llm.common import SPACE, flat, fold, map_arrow, numbered, slices, utf8, word_hashes
 
 
 @dataclass(frozen=True)
@@ -114,16 +114,17 @@ def train(docs: DataFrame, labels: DataFrame, conf: Settings, folds: int = 5, he
     """Fit on labelled documents outside the held-out fold.
 
     At most ``per_class`` rows of each label are taken, in the order of a hash of doc_id; rows with a null or other label count as
-    unlabelled. Only hashed counts of the sampled texts reach the driver, at most 2^(bits+1) numbers each.
+    unlabelled, and so does an id with both labels. Of rows that share a labelled id one is read, chosen by a hash of its text. Only hashed counts of the sampled texts reach the driver, at most 2^(bits+1) numbers each.
     """
     known = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").filter(fold(F.col("doc_id"), folds) != held)
-    known = known.select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = known.groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"), F.max(F.col("quality").cast("int")).alias("_most"))
+    known = known.filter(F.col("quality") == F.col("_most")).drop("_most")
     counts = dict(known.groupBy("quality").count().collect())
     sample = None
     for label in (0, 1):
         part = known.filter(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(conf.per_class)
         sample = part if sample is None else sample.union(part)
-    ids = sample.dropDuplicates(["doc_id"])
+    ids = sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, conf: Settings, folds: int = 5, he
 
     # Broadcast of the sample's ids: two times per_class at most.
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = text.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality")
+    chosen = text.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "quality")
+    chosen = chosen.agg(F.max_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "quality")
     rows = map_arrow(chosen, run, "doc_id long, buckets binary, counts binary, quality int").collect()
     rows.sort(key=lambda r: (r[0], bytes(r[1])))
     rows = [(np.frombuffer(r[1], "<i4"), np.frombuffer(r[2], "<i4"), r[3]) for r in rows]
@@ -159,9 +161,10 @@ def score_documents(docs: DataFrame, model: Model, conf: Settings, keep: list[st
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, conf: Settings = Settings(), threshold: float = 0.3) -> DataFrame:
-    """The rows that the classifier does not reject, with all their columns."""
-    scored = score_documents(docs, train(docs, labels, conf), conf, docs.columns, "_llm_score")
-    return scored.filter(F.col("_llm_score") >= threshold).drop("_llm_score")
+    """The rows that the classifier does not reject, with all their columns, whatever these are called."""
+    plain, own = numbered(docs)
+    scored = score_documents(plain, train(docs, labels, conf), conf, plain.columns, "_llm_score")
+    return scored.filter(F.col("_llm_score") >= threshold).select(*own)
 
 
 def classify(docs: DataFrame, labels: DataFrame, conf: Settings = Settings(), threshold: float = 0.3) -> DataFrame:
