@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import flat, map_arrow, mix, slices, utf8, word_hashes
+from twinproof.llm.common import flat, map_arrow, mix, numbered, slices, utf8, word_hashes
 
 #: Benchmark text that one block holds at most, but for a longer single item.
 BLOCK_BYTES = 16 << 20
@@ -202,6 +202,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
     Null or empty texts have no words; an item without words or without id has no window; repeated items count once, by id.
     """
     others = [c for c in docs.columns if c != "text"] if text_too else ["doc_id"]
+    benchmark = benchmark.select("item_id", "text").dropDuplicates()
     size = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
@@ -216,9 +217,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10,
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows without any benchmark window, with all their columns."""
-    clean = find_contamination(docs, benchmark, window, text_too=True).filter("_spans IS NULL")
-    return clean.withColumnRenamed("_text", "text").select(*docs.columns)
+    """The rows without any benchmark window, with all their columns, whatever these are called."""
+    plain, own = numbered(docs)
+    clean = find_contamination(plain, benchmark, window, text_too=True).filter("_spans IS NULL")
+    return clean.withColumnRenamed("_text", "text").select(*own)
 
 
 def summary(found: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import SPACE, flat, map_arrow, mix, saved, shingles3, slices, utf8, word_hashes
+from twinproof.llm.common import SPACE, flat, map_arrow, mix, numbered, saved, shingles3, slices, utf8, word_hashes
 
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -186,9 +186,10 @@ def verdict(found: DataFrame, cutoffs: dict[tuple[int, int], float], rules: tupl
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, share: float = 0.05, error: float = 0.05, price: float = 20.0) -> DataFrame:
-    """The rows that no rule rejects, with all their columns. Columns whose names clash with measures are left as they are."""
-    measured = text_stats(docs, docs.columns, "_llm_")
+    """The rows that no rule rejects, with all their columns, whatever these are called."""
+    plain, own = numbered(docs)
+    measured = text_stats(plain, plain.columns, "_llm_")
     found = saved(measured.select("doc_id", *(F.col(f"_llm_{c}").alias(c) for c in NAMES)), "text-stats")
     cutoffs = find_cutoffs(found, labels, RULES, BANDS, share, error, price)
-    packed = measured.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_llm_row"), *(F.col(f"_llm_{c}").alias(c) for c in NAMES))
+    packed = measured.select(F.struct(*own).alias("_llm_row"), *(F.col(f"_llm_{c}").alias(c) for c in NAMES))
     return verdict(packed, cutoffs).filter("kept").select("_llm_row.*")
