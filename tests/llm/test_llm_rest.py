@@ -12,7 +12,9 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from twinproof.llm import jaccard_join, packing, queries, sharding, url_filter, warc
+from pyspark.sql import functions as F
+
+from twinproof.llm import decontamination, jaccard_join, packing, quality_classifier, quality_rules, queries, sharding, url_filter, warc
 from twinproof.llm.common import table
 
 
@@ -206,3 +208,74 @@ def test_packing_is_planned_on_lengths_only(spark):
     counts[[3, 500, 1000, 3900, 4096]] = [10**9, 10**6, 10**6, 10**5, 10**5]
     runs = packing.best_two_fit(counts, 4096)
     assert len(runs) < 50 and sum(t * m for t, b in runs for _, m in b) == counts.sum()
+
+
+# -- names that clash, repeated ids, the header's fields ------------------------------------------------
+
+
+def test_headers_have_the_mandatory_fields(spark):
+    rows = [(1, "u", "x" * 1000, "2024-05-06 07:08:09"), (1, "u", "x" * 1000, None), (2, "v", "x" * 1000, None), (2, "v", "x" * 1000, None), (None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, seen string").withColumn("seen", F.col("seen").cast("timestamp"))
+    archive = warc.write_archive(pages, date="seen")
+    found = [warc.parse_header(bytes(r.header)) for r in archive.headers.collect()]
+    for fields in found:
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(fields)
+        assert ("WARC-Refers-To" in fields) == ("WARC-Profile" in fields) == (fields["WARC-Type"] == "revisit")
+    ids = [f["WARC-Record-ID"] for f in found]
+    assert len(set(ids)) == len(rows)
+    assert sorted(f["WARC-Date"] for f in found) == [warc.NO_DATE] * 4 + ["2024-05-06T07:08:09Z"]
+    responses = {f["WARC-Record-ID"] for f in found if f["WARC-Type"] == "response"}
+    assert {f["WARC-Refers-To"] for f in found if f["WARC-Type"] == "revisit"} <= responses
+
+
+def test_keeping_stages_leave_any_column_alone(spark):
+    names = ["_text", "_n_words", "_spans", "_items", "_llm_score", "_llm_row", "_llm_n_words", "kept", "n_words", "quality", "a b"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame([(i, "some plain words about a river and its old stone bridge " * 9, *range(len(names))) for i in range(3)], schema)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    bench = spark.createDataFrame([("q", "nothing that occurs in any of these texts at all today")], "item_id string, text string")
+    for kept in (decontamination.keep_clean(docs, bench), quality_classifier.keep_good(docs, labels, threshold=0.0), quality_rules.keep_good(docs, labels.limit(0))):
+        assert kept.columns == docs.columns
+        for r in kept.collect():
+            assert tuple(r)[2:] == tuple(range(len(names)))
+    assert decontamination.keep_clean(docs, bench).count() == 3
+
+
+def test_packing_replaces_columns_of_its_own_names(spark):
+    pieces = spark.createDataFrame([(1, 0, 3, "a", "b", "c"), (2, 0, 2, "d", "e", "f")], "doc_id long, piece int, length long, sequence_id string, offset string, _nth string")
+    out = {(r.doc_id, r.sequence_id, r.offset) for r in packing.pack(pieces, 5).collect()}
+    assert {s for _, s, _ in out} == {0} and {o for _, _, o in out} in ({0, 3}, {0, 2})
+
+
+def test_training_reads_one_row_an_id_and_no_contradiction(spark):
+    conf = quality_classifier.Settings()
+    docs = [(i, f"good calm words {i} of a story" if i % 2 else f"buy now !!! {i} $$$") for i in range(60)]
+    labels = [(i, i % 2) for i in range(60)]
+    make = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    plain = quality_classifier.train(make(docs, "doc_id long, text string"), make(labels, "doc_id long, quality int"), conf)
+    more = quality_classifier.train(make(docs + [docs[7]] * 500, "doc_id long, text string"), make(labels + labels[:5] + [(100, 0), (100, 1)], "doc_id long, quality int"), conf)
+    assert (plain.weights == more.weights).all() and plain.bias == more.bias
+
+
+def test_repeated_benchmark_items_change_nothing(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k"), (2, "z")], "doc_id long, text string")
+    item = [("q", "b c d e f g h i j k")]
+    one, many = (spark.createDataFrame(item * n, "item_id string, text string") for n in (1, 400))
+    monkeypatch.setattr(decontamination, "build", lambda items, window, _build=decontamination.build: _build(items, window) if len(items) <= 1 else pytest.fail("repeated rows"))
+    found = [sorted(tuple(r) for r in decontamination.summary(decontamination.find_contamination(docs, b)).collect()) for b in (one, many)]
+    assert found[0] == found[1] and found[0][0][2] == 10
+
+
+def test_url_verdict_equals_a_plain_score(spark, data):
+    """Weights taken as trained; the score in plain Python over the buckets that a projection gives."""
+    import math
+
+    table = url_filter.labelled_table(spark)
+    weights = url_filter.train(table, (3, 4), 8192, 300, 20.0, 1e-4)
+    pages = spark.read.parquet(f"{data}/pages.parquet")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, [], table).collect()}
+    host, path = url_filter.split_url(F.col("url"))
+    for r in pages.select("page_id", host.alias("h"), url_filter.buckets(host, path, (3, 4), 8192).alias("x")).collect():
+        z = sum(weights[b] for b in r.x) / math.sqrt(len(r.x)) + weights[-1]
+        if abs(z) > 1e-9:
+            assert got[r.page_id] == ("block" if r.h and z >= 0 else "allow")

@@ -161,10 +161,12 @@ def best_two_fit(counts: np.ndarray, capacity: int) -> list[tuple[int, list[tupl
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Give every piece ``sequence_id`` and ``offset``. Columns needed: doc_id, piece, length; the rest stays.
+    """Give every piece ``sequence_id`` and ``offset``. Columns needed: doc_id, piece, length; the rest stays,
+    but for columns that are named like those two or ``_nth``, which go.
 
     Pieces must be a stored table: it is read twice. No piece gives no rows. Repeated rows are separate pieces.
     """
+    pieces = pieces.drop("sequence_id", "offset", "_nth")
     counts = np.zeros(capacity + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
         counts[r[0]] = r[1]

@@ -38,7 +38,7 @@ def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def assign(docs: DataFrame, shards: int, key: str = "doc_id") -> DataFrame:
-    """Add ``shard`` and ``grown_shard`` (with one shard more); every other column stays.
+    """Add ``shard`` and ``grown_shard`` (with one shard more) in place of columns so named; every other column stays.
 
     The key is a long. Null keys share one shard; repeated rows go to the same one.
     """
