@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from twinproof.functions.ordered import _pieces, with_previous
+from twinproof.functions.ordered import _pieces, with_previous, with_running_count
 from twinproof.operators import changes as C
 from twinproof.operators import monitor as M
 from twinproof.operators import reconcile as R
@@ -85,6 +85,41 @@ def test_long_series_span_many_pieces(hot):
     assert abs(rising.filter("user = 7 AND rising").count() / rising.filter("user = 7").count() - 10 / 13) < 0.01
 
 
+def test_many_series_below_the_share_are_cut_by_size(spark):
+    """A hundred equal series, none of which holds one row in 64, and short ones that stay whole."""
+    i = F.col("id")
+    rows = spark.range(N).select(F.when(i % 10 > 0, i % 100).otherwise(i + 1000).alias("s"), (i * 7919 % 1_000_003).alias("pos"), (i % 13).alias("v"))
+    pieces = _pieces(rows, ["s"], "pos", 64, rows=500).groupBy("s", "_piece").count().collect()
+    cut = [r for r in pieces if r["_piece"] is not None]
+    assert {r["s"] for r in cut} == {x for x in range(100) if x % 10} and sum(r["count"] for r in cut) == N * 9 // 10
+    assert max(r["count"] for r in cut) < 4 * 500 and len(cut) == 90 * 6
+    w = Window.partitionBy("s").orderBy("pos")
+    want = rows.select("s", "pos", F.lag("v").over(w).alias("prev_v"), F.sum((F.col("v") == 0).cast("long")).over(w).alias("c"))
+    got = with_running_count(with_previous(rows, ["s"], "pos", ["v"], rows=500), ["s"], "pos", F.col("v") == 0, "c", rows=500)
+    assert got.select("s", "pos", "prev_v", "c").exceptAll(want).count() == 0 and got.count() == N
+
+
+def test_pieces_have_a_bound_of_their_own(spark, monkeypatch):
+    """Beyond rows * PIECES rows the pieces grow; boundaries stay few enough to broadcast."""
+    monkeypatch.setattr("twinproof.functions.ordered.PIECES", 16)
+    rows = spark.range(40_000).select((F.col("id") % 4).alias("s"), F.col("id").alias("pos"), F.col("id").alias("v"))
+    pieces = _pieces(rows, ["s"], "pos", 2, rows=10)
+    assert pieces.select("s", "_piece").distinct().count() == 16
+    out = with_previous(rows, ["s"], "pos", ["v"], 2, rows=10)
+    assert out.filter("has_prev AND prev_v = pos - 4").count() == 40_000 - 4 and out.filter("NOT has_prev").count() == 4
+
+
+def test_a_piece_is_found_by_binary_search_in_two_levels(spark, monkeypatch):
+    """More boundaries than one look-up searches; every position lies in the piece that counting the boundaries gives."""
+    monkeypatch.setattr("twinproof.functions.ordered._GROUP", 16)
+    rows = spark.range(5_000).select((F.col("id") % 2).alias("s"), (F.col("id") * 3).alias("pos"), F.col("id").alias("v"))
+    got = _pieces(rows, ["s"], "pos", 64, rows=25).groupBy("s", "_piece").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count("*").alias("n")).orderBy("s", "_piece").collect()
+    assert len(got) > 2 * 64 and sum(r["n"] for r in got) == 5_000 and max(r["n"] for r in got) < 4 * 25
+    assert all(a["hi"] < b["lo"] for a, b in zip(got, got[1:]) if a["s"] == b["s"])
+    out = with_previous(rows, ["s"], "pos", ["v"], rows=25)
+    assert out.filter("has_prev AND prev_v = v - 2").count() == 4_998
+
+
 def test_one_hot_and_many_sparse_series_with_times(spark):
     """Positions are timestamps; a third of the rows is one series, the rest 10^5 series of two rows."""
     i = F.col("id")
