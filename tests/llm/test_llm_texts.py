@@ -523,3 +523,49 @@ def test_decontamination_of_nothing(spark, odd, none):
     assert decontamination.summary(decontamination.find_contamination(none, bench)).collect() == []
     assert {r.n_hit for r in decontamination.summary(decontamination.find_contamination(odd, bench.limit(0))).collect()} == {0}
     assert decontamination.keep_clean(odd, bench).columns == odd.columns
+
+
+# -- stored prefix counts, whole sequences -------------------------------------------------------------
+
+
+@given(st.lists(st.sampled_from(PARTS), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_stored_counts_are_counts_of_prefixes(counter, library, parts):
+    t = "".join(parts)
+    stored, every = counter.boundaries(t.encode()).tolist(), counter.prefixes(t).tolist()
+    assert set(stored) <= set(every) and stored == sorted(stored)
+    assert (stored[-1] if stored else 0) == len(library.encode(t, add_special_tokens=False).ids)
+
+
+def test_budget_from_stored_counts(spark, library):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = frame(spark, ["the old stone bridge", "", None, "a b"], [5, 6, None, 5])
+    stored = token_counts.boundary_table(docs, path)
+    assert stored.count() == 4
+    n = [len(library.encode("the old stone bridge"[:k], add_special_tokens=False).ids) for k in (3, 7, 13, 20)]
+    got = [(r.doc_id, r.units_kept) for r in token_counts.within_budget(stored, n[2]).collect()]
+    assert sorted(got, key=str) == sorted([(5, 3), (6, 0), (None, 0), (5, 2)], key=str)
+
+
+def test_truncation_keeps_every_row(spark):
+    """Null ids, one id on two texts, repeated rows, null texts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = frame(spark, ["the old stone bridge", "the old stone bridge", "river and a hill", None, "the same words", ""], [1, 1, 1, 2, None, 3])
+    got = token_counts.truncated(docs, token_counts.prefix_table(docs, path), 2)
+    assert got.columns == docs.columns
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == sorted(
+        [(1, "the old"), (1, "the old"), (1, "river and"), (2, None), (None, "the same"), (3, "")], key=str
+    )
+
+
+def test_sequences_hold_the_documents_ids(spark, odd):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    packed = packing.pack_documents(odd, path, 16, keep_ids=True)
+    rows = packed.collect()
+    whole = {r.sequence_id: np.frombuffer(bytes(r.ids), "<u4") for r in packing.sequences(packed).collect()}
+    assert set(whole) == {r.sequence_id for r in rows} and all(len(w) <= 16 for w in whole.values())
+    docs = {}
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
+        docs.setdefault(r.doc_id, []).extend(whole[r.sequence_id][r.offset : r.offset + r.length].tolist())
+    assert docs == {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(ODD)}

@@ -197,6 +197,16 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     return map_arrow(numbered, run, own + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
-    """Tokenize, cut and pack; one row per piece."""
-    return pack(saved(token_pieces(docs, path, capacity, end_id), "pieces"), capacity)
+def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
+    """Tokenize, cut and pack; one row per piece. With ``keep_ids`` each row has its ids (little-endian unsigned 32-bit) as ``ids``, so that the rows
+    of one sequence_id in the order of offset are the sequence; they travel through one shuffle with their piece."""
+    return pack(saved(token_pieces(docs, path, capacity, end_id, keep_ids), "pieces"), capacity)
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id, length, ids of every sequence, from ``pack_documents(..., keep_ids=True)``. A sequence has at most its capacity of
+    ids, so a group is bounded. No piece gives no rows."""
+    parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    whole = packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("_parts"))
+    joined = F.aggregate("_parts", F.lit(b""), lambda ids, part: F.concat(ids, part["ids"]))
+    return whole.select("sequence_id", "length", joined.alias("ids"))
