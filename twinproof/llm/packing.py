@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import Remembered, gapless, map_arrow, saved, utf8
+from twinproof.llm.common import Remembered, gapless, map_arrow, release, saved, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -85,6 +85,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.setdefault(path, None) or WordIds(path)
         _encoders[path] = encoder
+        if keep_ids:  # what earlier stages have freed goes first
+            release()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
             for i in range(0, len(ids), 500):
@@ -189,9 +191,15 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             nth = length * shift + nth - key[i]
             kept = batch.drop_columns(["_nth"])
             seq, off = first[i] + nth // copies[i], base[i] + nth % copies[i] * length
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(seq), pa.array(off)], [*kept.schema.names, "sequence_id", "offset"])
+            out = pa.RecordBatch.from_arrays([*kept.columns, pa.array(seq), pa.array(off)], [*kept.schema.names, "sequence_id", "offset"])
+            del batch, kept
+            yield out
+            del out
+        if wide:
+            release()
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    wide = "ids" in pieces.columns
     tell_apart = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
     numbered = gapless(pieces, ["length"], tell_apart, "_nth", int(counts.sum())).select(*pieces.columns, "_nth")
     return map_arrow(numbered, run, own + ", sequence_id long, offset long")
