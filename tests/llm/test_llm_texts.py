@@ -569,3 +569,35 @@ def test_sequences_hold_the_documents_ids(spark, odd):
     for r in sorted(rows, key=lambda r: (r.doc_id, r.piece)):
         docs.setdefault(r.doc_id, []).extend(whole[r.sequence_id][r.offset : r.offset + r.length].tolist())
     assert docs == {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in enumerate(ODD)}
+
+
+# -- counts at every prefix ----------------------------------------------------------------------------
+
+
+@given(st.lists(st.sampled_from([*PARTS, "\r\n", "\n ", "ing", "x" * 40]), max_size=12))
+@settings(max_examples=300, deadline=None)
+def test_steps_give_the_count_of_every_prefix(counter, library, parts):
+    t = "".join(parts)
+    got = token_counts.prefix_counts(counter.steps(t.encode()), len(t)).tolist()
+    assert got == [len(library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+
+
+def test_large_steps_are_kept(counter, library, monkeypatch):
+    """A text with a step that no byte holds has 32-bit steps."""
+    t = "a b\n\nc"
+    monkeypatch.setattr(counter, "_steps_of", lambda data: np.array([300, -300, 0, 1, 0, 0, 2], np.int32))
+    assert token_counts.prefix_counts(counter.steps(t.encode()), len(t)).tolist() == [0, 300, 0, 0, 1, 1, 1, 3]
+
+
+def test_query_reads_every_prefix(spark, odd, library, tmp_path):
+    """The budget's cut falls inside a word, between unit ends: only counts at every position find it."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = {r.doc_id: (r.n_tokens, r.kept_chars) for r in token_counts.token_counts(odd.filter("length(text) < 100"), path, 3).collect()}
+    for i, (n, kept) in got.items():
+        counts = [len(library.encode(ODD[i][:k], add_special_tokens=False).ids) for k in range(len(ODD[i]) + 1)]
+        assert n == counts[-1] and kept == max(k for k, c in enumerate(counts) if c <= 3)
+    word = "antidisestablishmentarianisms"
+    [row] = token_counts.token_counts(frame(spark, [word], [1]), path, 2).collect()
+    assert row.over_limit and 0 < row.kept_chars < len(word)
+    stored = token_counts.step_table(frame(spark, ["the old", None], [1, None]), path).collect()
+    assert [(r.doc_id, r.n_chars, len(r.steps)) for r in stored] == [(1, 7, 7), (None, 0, 0)]

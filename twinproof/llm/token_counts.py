@@ -3,8 +3,8 @@
 For a byte-pair vocabulary the encoding of a prefix ends in exactly one token t such that t and the last token of the
 prefix before it stand unmerged side by side. So count[i] = count[i - len(t)] + 1, and every prefix has its exact count after
 one pass; truncation to a budget is a look-up. Texts are cut where the tokenizer's own word pattern always cuts
-(before a space that a visible character follows), and what a unit gives is kept for its next occurrence. Counts at every
-unit's end are stored as a table for all texts; totals and budget questions are read from it.
+(before a space that a visible character follows), and what a unit gives is kept for its next occurrence. The count at every
+character prefix of every text is stored as a table, a step a character; totals and budget questions are read from it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ WORDS = regex.compile(
 _UNIT = regex.compile(r" (?=\P{White_Space})")
 _BLANKS = regex.compile(r"\p{White_Space}+")
 _CONTRACTION = regex.compile(r"'(?:re|ve|ll)")
+#: Runs of white space, which may be cut otherwise at a prefix's end than inside a text.
+_RUNS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
 #: A space before more white space or at the end: units can't be cut at every space.
 _ODD = re.compile(
     rb" (?:[\t-\r ]|\Z|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)"
@@ -59,6 +62,8 @@ class PrefixCounter:
         self.apart: dict[int, bool] = {}
         self.totals: dict[bytes, int] = {}  # of pretokens
         self.units = Remembered(lambda w: self._unit(b" " + w), limit)  # totals of units after a space
+        self.pretokens = Remembered(self._pretoken_steps, limit)
+        self.unit_steps = Remembered(lambda w: self._unit_steps(b" " + w), limit)
 
     def _stand(self, left: int | None, right: int) -> bool:
         """Whether the encoding of the two tokens' bytes is these two tokens."""
@@ -138,6 +143,61 @@ class PrefixCounter:
             own = np.concatenate([*parts, self._units_of(data[at:])])
         return np.cumsum(own, dtype=np.int32)
 
+    def _pretoken_steps(self, word: str) -> bytes | None:
+        """Change of the count with each character of a pretoken, one signed byte each; none if a change is larger."""
+        data = word.encode()
+        count = self.pretoken(data)
+        if len(data) > len(word):
+            at = np.cumsum([0, *(len(c.encode()) for c in word)])
+            count = [count[i] for i in at]
+        if _CONTRACTION.fullmatch(word):  # its first letters are no contraction yet
+            count[2] = count[1] + self.pretoken(word[1].encode())[-1]
+        steps = np.diff(count)
+        return steps.astype(np.int8).tobytes() if -128 <= steps.min() and steps.max() <= 127 else None
+
+    def _unit_steps(self, unit: bytes) -> bytes | None:
+        parts = [self.pretokens[w] for w in WORDS.findall(unit.decode())]
+        return None if None in parts else b"".join(parts)
+
+    def _steps_of(self, data: bytes) -> np.ndarray:
+        """Change of the count with each character of a text without special strings."""
+        text = data.decode()
+        if _ODD.search(data):
+            first, *rest = [p.encode() for p in _UNIT.split(text)]
+        else:
+            first, *rest = data.split(b" ")
+        parts = [self._unit_steps(first), *map(self.unit_steps.__getitem__, rest)]
+        self.pretokens.trim()
+        self.unit_steps.trim()
+        if None in parts:
+            return np.diff(self._inside(text))
+        steps = np.frombuffer(b"".join(parts), np.int8)
+        if runs := [(m.span(), m.group()) for m in _RUNS.finditer(text)]:
+            steps = steps.astype(np.int32)
+            for (s, e), run in runs:  # white space at a prefix's end is one pretoken
+                count = self.pretoken(run.encode())
+                own = np.diff([count[i] for i in np.cumsum([0, *(len(c.encode()) for c in run)])])
+                if e < len(text):
+                    steps[e] += steps[s:e].sum() - own.sum()
+                steps[s:e] = own
+        return steps
+
+    def steps(self, data: bytes) -> bytes:
+        """Change of the count with each character of a text, as signed bytes, or as 32-bit integers if one doesn't fit."""
+        if self.cut is None or not self.cut.search(data):
+            out = self._steps_of(data)
+        else:
+            parts, done = [], 0
+            for m in self.cut.finditer(data):
+                inside = self._steps_of(data[done : m.start()])
+                longer = self._steps_of(data[done : m.end()])  # until its last character, a special string is ordinary text
+                parts += [inside, longer[len(inside) : -1], [1 - longer[len(inside) : -1].sum(dtype=np.int64)]]
+                done = m.end()
+            out = np.concatenate([*parts, self._steps_of(data[done:])])
+        if out.dtype != np.int8:
+            out = out.astype(np.int8 if not len(out) or -128 <= out.min() and out.max() <= 127 else "<i4")
+        return out.tobytes()
+
     def prefixes(self, text: str) -> np.ndarray:
         """Exact count of the first i characters, for every i from 0 to the length."""
         out, base, done = [np.zeros(1, np.int32)], 0, 0
@@ -208,11 +268,54 @@ def boundary_table(docs: DataFrame, path: str) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_bytes long, prefix_counts array<int>")
 
 
+def step_table(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_bytes, n_chars and the change of the exact count with each character of every text, which give the count at every prefix.
+
+    A step is one signed byte, in a text with a larger one 32 bits; so the table is about as large as the texts before compression. Null or
+    empty: no bytes, no steps. Repeated rows stay.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = _counter(path).steps
+        for batch in batches:
+            texts = utf8(batch.column(1))
+            chars = pc.utf8_length(batch.column(1).fill_null("")).cast(pa.int64())
+            for i, j in slices(texts):
+                sizes = pa.array(map(len, texts[i:j]), pa.int64())
+                found = pa.array(map(steps, texts[i:j]), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), sizes, chars.slice(i, j - i), found], ["doc_id", "n_bytes", "n_chars", "steps"])
+
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_bytes long, n_chars long, steps binary")
+
+
+def prefix_counts(steps: bytes | pa.Buffer, n_chars: int) -> np.ndarray:
+    """The count at every prefix, from the empty one on, of a row of ``step_table``."""
+    size = memoryview(steps).nbytes
+    return np.append(0, np.cumsum(np.frombuffer(steps, np.int8 if size == n_chars else "<i4"), dtype=np.int64))
+
+
+def fitting(stored: DataFrame, budget: int) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and kept_chars of every row of ``step_table``: the whole text's count, and the characters of its longest
+    prefix of at most ``budget`` tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, kept = [], []
+            for n, s in zip(batch.column(2).to_pylist(), batch.column(3)):
+                counts = prefix_counts(s.as_buffer(), n)  # of one text at a time
+                tokens.append(int(counts[-1]))
+                kept.append(longest_prefix(counts, budget))
+            columns = [batch.column(0), batch.column(1), pa.array(tokens, pa.int64()), pa.array(kept, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "kept_chars"])
+
+    return map_arrow(stored.select("doc_id", "n_bytes", "n_chars", "steps"), run, "doc_id long, n_bytes long, n_tokens long, kept_chars long")
+
+
 def token_counts(docs: DataFrame, path: str, limit: int) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit of every text, read from the stored prefix counts. Null or empty: no bytes, no tokens."""
-    stored = saved(boundary_table(docs, path), "prefix-counts")
-    last = F.coalesce(F.try_element_at("prefix_counts", F.lit(-1)), F.lit(0)).cast("long")
-    return stored.select("doc_id", "n_bytes", last.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
+    """doc_id, n_bytes, n_tokens, over_limit and kept_chars (what ``limit`` tokens leave) of every text, read from the stored counts at every
+    prefix. Null or empty: no bytes, no tokens."""
+    stored = saved(step_table(docs, path), "prefix-steps")
+    return fitting(stored, limit).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "kept_chars")
 
 
 def within_budget(stored: DataFrame, budget: int) -> DataFrame:
