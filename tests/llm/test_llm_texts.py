@@ -601,3 +601,39 @@ def test_query_reads_every_prefix(spark, odd, library, tmp_path):
     assert row.over_limit and 0 < row.kept_chars < len(word)
     stored = token_counts.step_table(frame(spark, ["the old", None], [1, None]), path).collect()
     assert [(r.doc_id, r.n_chars, len(r.steps)) for r in stored] == [(1, 7, 7), (None, 0, 0)]
+
+
+# -- what finished phases leave ------------------------------------------------------------------------
+
+
+def test_join_drops_tables_of_finished_phases(spark, odd, monkeypatch, tmp_path):
+    """Only what the result reads is left in the shared folder: rows, set roots and the last edges of each search for components."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark, label: f"{tmp_path}/{label}/{len(list(tmp_path.glob(label + '/*')))}")
+    out = jaccard_join.jaccard_components(odd)
+    left = {p.name for p in tmp_path.iterdir() if p.name.split("-")[0] != "edges" and list(p.rglob("*.parquet"))}
+    assert left == {"rows", "set-roots"}
+    assert len(list(tmp_path.glob("edges-*/*/_SUCCESS"))) <= 3
+    assert out.count() == odd.count()
+
+
+def test_frequent_hashes_without_all_of_them_in_the_driver(spark, tmp_path):
+    """Never more than asked for; whatever is left out is no more frequent than what is kept, up to a band."""
+    rows = [(1, i * 2**53 - 2**62, n) for i, n in enumerate([4] * 300 + [9] * 40 + [1000] * 10 + [3] * 50)]
+    prints = spark.createDataFrame(rows, "kind int, id long, n long")
+    scratch = common.Scratch(spark)
+    assert sorted(jaccard_join.frequent(prints, 1, 4, 1000, scratch).often.tolist()) == [4] * 300 + [9] * 40 + [1000] * 10
+    some = jaccard_join.frequent(prints, 1, 4, 50, scratch)
+    assert sorted(some.often.tolist())[-50:] == [9] * 40 + [1000] * 10 and len(some.hashes) == 50
+    assert (np.diff(some.hashes.astype(object)) > 0).all()
+    few = jaccard_join.frequent(prints, 1, 4, 30, scratch)
+    assert 10 <= len(few.hashes) <= 30 and set(few.often.tolist()) <= {9, 1000} and (few.often == 1000).sum() == 10
+    assert len(jaccard_join.frequent(prints, 2, 4, 30, scratch).hashes) == 0
+
+
+def test_class_model_frees_each_phase(spark, data, monkeypatch):
+    """Shuffle files of a finished phase are asked for before the next one writes its own."""
+    asked = []
+    monkeypatch.setattr(common, "forget", lambda spark: asked.append("deleted"))
+    monkeypatch.setattr(class_lm, "forget", lambda spark: asked.append("phase"))
+    class_lm.score_documents(table(spark, data, "documents"))
+    assert asked[:3] == ["phase", "phase", "phase"] and asked[-1] == "phase" and asked.count("deleted") >= 1

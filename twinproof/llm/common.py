@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import math
 import tempfile
 import zipfile
@@ -65,6 +66,39 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete folders of the shared folder that nothing reads any more, and what else their jobs left."""
+    for path in paths:
+        old = spark._jvm.org.apache.hadoop.fs.Path(path)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    forget(spark)
+
+
+def forget(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files and broadcasts of finished jobs once the driver's collector finds their plans unused; ask for
+    that between phases. The driver's heap and generated classes shrink with it."""
+    gc.collect()
+    release()
+    spark.sparkContext._jvm.System.gc()
+
+
+class Scratch:
+    """Tables of a job's phases: saved, and dropped as soon as later phases don't read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def save(self, df: DataFrame, label: str) -> DataFrame:
+        path = shared_dir(self.spark, label)
+        self.paths.setdefault(label, []).append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *labels: str) -> None:
+        """Delete all tables of these labels; frames over them can't be read afterwards."""
+        delete(self.spark, *(path for label in labels for path in self.paths.pop(label, [])))
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
     """The frame with every column but doc_id and text renamed to its number, so that no name clashes with an operator's own, and the columns that give
     the old names back."""

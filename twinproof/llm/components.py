@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import saved
+from twinproof.llm.common import Scratch
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,15 +23,18 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) of every node that has an edge; root is the smallest node that it reaches. Loops and repeats are allowed.
 
-    Each round is written to the shared folder. Rounds end when the edges no longer change, after about the logarithm of the
-    longest path.
+    Each round is written to the shared folder, and the round before it is deleted. Rounds end when the edges no longer change, after
+    about the logarithm of the longest path.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    now, before = saved(now, "edges"), None
+    scratch = Scratch(edges.sparkSession)
+    now, before, turn = scratch.save(now, "edges-0"), None, 0
     while True:
-        now = saved(_stars(_stars(now, True), False), "edges")
+        turn += 1
+        now = scratch.save(_stars(_stars(now, True), False), f"edges-{turn}")
         # The exact sum of row hashes tells whether anything changed.
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        scratch.drop(f"edges-{turn - 1}")
         if state == before:
             break
         before = state

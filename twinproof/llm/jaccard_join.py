@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import flat, map_arrow, mix, saved, shingles3, slices, utf8, word_hashes
+from twinproof.llm.common import Scratch, flat, map_arrow, mix, shingles3, slices, utf8, word_hashes
 from twinproof.llm.components import components
 
 _U = np.uint64
@@ -399,11 +399,11 @@ def _small_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return shared.filter(f"c + large >= {least_shared(percent)}").select("hub", "set_id")
 
 
-def _cells(marked: DataFrame, sets_of, percent: int) -> DataFrame:
+def _cells(marked: DataFrame, sets_of, percent: int, scratch: Scratch) -> DataFrame:
     """Links between records of different components that share a large bucket. ``marked``: token, set_id, n, label."""
     mixed = marked.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("set_id").alias("first")).filter("lo <> hi")
     edges = marked.join(mixed.select("token", "first"), "token").select("set_id", "first", "n", "label")
-    edges = saved(edges.distinct(), "mixed")
+    edges = scratch.save(edges.distinct(), "mixed")
     cells = components(edges, "set_id", "first").withColumnsRenamed({"node": "set_id", "root": "cell"})
     rows = edges.select("set_id", "n", "label").distinct().join(cells, "set_id").withColumn("class", size_class("n", percent))
     # Records of a cell's largest component are only compared with the others.
@@ -412,13 +412,13 @@ def _cells(marked: DataFrame, sets_of, percent: int) -> DataFrame:
     rows = rows.join(major, "cell").withColumn("major", F.col("label") == F.col("largest")).drop("largest")
     counts = rows.groupBy("cell", "class", "major").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = rows.join(counts, ["cell", "class", "major"]).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    rows = saved(rows.select("cell", "class", "major", "block", "set_id", "label"), "cell-rows")
+    rows = scratch.save(rows.select("cell", "class", "major", "block", "set_id", "label"), "cell-rows")
     others = counts.filter("NOT major").select("cell", F.col("class").alias("class_a"), F.col("blocks").alias("blocks_a"))
     b = counts.select("cell", F.col("class").alias("class_b"), "major", F.col("blocks").alias("blocks_b"))
     near = others.join(b, "cell").filter("abs(class_a - class_b) <= 1 AND (major OR class_a <= class_b)")
     near = near.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("blocks_a") - 1))).withColumn("block_b", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)))
     near = near.filter("major OR class_a < class_b OR block_a <= block_b").select("cell", "class_a", "block_a", "class_b", "block_b", F.col("major").alias("major_b"))
-    near = saved(near, "cell-pairs")
+    near = scratch.save(near, "cell-pairs")
     pair = ["cell", "class_a", "block_a", "class_b", "block_b", "major_b"]
     # The searching side, then the searched one.
     a_side = near.join(rows.filter("NOT major").withColumnsRenamed({"class": "class_a", "block": "block_a"}).drop("major"), ["cell", "class_a", "block_a"])
@@ -428,50 +428,73 @@ def _cells(marked: DataFrame, sets_of, percent: int) -> DataFrame:
     return search_cells(sides.withColumnRenamed("label", "grp").join(sets, "set_id"), pair, percent)
 
 
+def frequent(prints: DataFrame, kind: int, least: int, most: int, scratch: Scratch) -> Common:
+    """About the ``most`` most frequent hashes of a kind, and never more, seen ``least`` times at least. A cutoff is found first from the
+    number of hashes by count, so that the driver gets only these rows; of those at the cutoff a range of hashes is taken."""
+    often = scratch.save(prints.filter(F.col("kind") == kind).groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "often")
+    band = F.floor(16 * F.log2(F.col("n").cast("double"))).cast("int")  # at most 1024 bands
+    cut, share, taken = 0, 1.0, 0
+    for b, v in often.groupBy(band.alias("band")).count().orderBy(F.desc("band")).collect():
+        if taken + v > most:
+            cut, share = b, 0.98 * (most - taken) / v
+            break
+        taken += v
+    last = F.lit(int(-(2**63) + share * (2**64 - 2048)))
+    top = often.filter(band > cut).unionAll(often.filter((band == cut) & (F.col("id") <= last)).limit(most - taken)).toArrow()
+    h = top.column("id").to_numpy().view(_U)
+    order = np.argsort(h)
+    return Common(h[order], top.column("n").to_numpy()[order])
+
+
 def jaccard_components(docs: DataFrame, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row.
 
     Documents without words are linked with nothing. A repeated row is linked with its twin. Null doc_ids stay null and count
     as larger than any other.
     """
-    prints = saved(_fingerprints(docs), "prints")
+    scratch = Scratch(docs.sparkSession)
+    prints = scratch.save(_fingerprints(docs), "prints")
     rows = prints.filter("kind = 0").select(F.col("id").alias("doc_id"), "n", "set_id")
-
-    def common(kind: int, least: int, most: int) -> Common:
-        often = prints.filter(F.col("kind") == kind).groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        top = often.orderBy(F.desc("n"), "id").limit(most).toPandas()  # most rows
-        h = top["id"].to_numpy(np.int64).view(_U)
-        order = np.argsort(h)
-        return Common(h[order], top["n"].to_numpy(np.int64)[order])
-
-    postings = saved(_postings(docs, common(1, 4, COMMON), common(2, 4, COMMON_WORDS), percent), "postings")
+    rows = scratch.save(rows, "rows")
+    common, words = frequent(prints, 1, 4, COMMON, scratch), frequent(prints, 2, 4, COMMON_WORDS, scratch)
+    scratch.drop("prints", "often")
+    postings = scratch.save(_postings(docs, common, words, percent), "postings")
 
     hub = F.min(F.struct("uncommon", F.col("set_id").alias("hub"), F.col("n").alias("hub_n"))).alias("h")
     shared = postings.groupBy("token").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo <> hi")
-    shared = saved(shared.select("token"), "shared")
+    shared = scratch.save(shared.select("token"), "shared")
+    scratch.drop()
     rows_of = _narrow(postings, "token", bit_table(shared, "token")).join(shared, "token").distinct()
-    rows_of = saved(rows_of, "bucket-rows")
+    rows_of = scratch.save(rows_of, "bucket-rows")
+    scratch.drop("postings", "shared")
     buckets = rows_of.groupBy("token").agg(F.count("*").alias("records"), hub).select("token", "records", "h.hub", "h.hub_n")
-    placed = saved(rows_of.join(buckets, "token"), "buckets")
+    placed = scratch.save(rows_of.join(buckets, "token"), "buckets")
+    scratch.drop("bucket-rows")
 
     def sets_of(needed: DataFrame) -> DataFrame:
-        return saved(_sets(docs, needed), "sets")
+        return scratch.save(_sets(docs, needed), "sets")
 
     large = placed.filter(f"records > {SMALL}")
     to_hub = large.filter(f"set_id <> hub AND 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").select("set_id", "hub").distinct()
-    links = saved(stars(to_hub, sets_of, percent), "star-links")
+    links = scratch.save(stars(to_hub, sets_of, percent), "star-links")
+    scratch.drop("sets")
 
     labels = components(links, "a", "b").withColumnsRenamed({"node": "set_id", "root": "label"})
     counted = large.groupBy("set_id").agg(F.count("*").alias("large"))
     marked = placed.select("token", "records", "set_id", "n").join(labels, "set_id", "left").join(counted, "set_id", "left")
-    marked = saved(marked.withColumns({"label": F.coalesce("label", "set_id"), "large": F.coalesce("large", F.lit(0).cast("long"))}), "marked")
-    pairs = saved(_small_pairs(marked.filter(f"records <= {SMALL}"), percent), "pairs")
-    more = saved(stars(pairs, sets_of, percent), "pair-links")
-    rest = saved(_cells(marked.filter(f"records > {SMALL}"), sets_of, percent), "cell-links")
+    marked = scratch.save(marked.withColumns({"label": F.coalesce("label", "set_id"), "large": F.coalesce("large", F.lit(0).cast("long"))}), "marked")
+    scratch.drop("buckets")
+    pairs = scratch.save(_small_pairs(marked.filter(f"records <= {SMALL}"), percent), "pairs")
+    scratch.drop()
+    more = scratch.save(stars(pairs, sets_of, percent), "pair-links")
+    scratch.drop("sets", "pairs")
+    rest = scratch.save(_cells(marked.filter(f"records > {SMALL}"), sets_of, percent, scratch), "cell-links")
+    scratch.drop("sets", "marked", "mixed", "cell-rows", "cell-pairs")
     roots = components(links.unionAll(more).unionAll(rest), "a", "b").withColumnsRenamed({"node": "set_id"})
 
     least = rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"))
-    least = saved(least.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "set-roots")
+    least = scratch.save(least.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "set-roots")
+    scratch.drop("star-links", "pair-links", "cell-links")
     ids = least.groupBy("root").agg(F.min("first").alias("component_id"))
     known = least.join(ids, "root").select("set_id", "component_id")
     out = rows.join(known, "set_id", "left")
