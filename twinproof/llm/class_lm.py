@@ -17,7 +17,6 @@ block by joins.
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import LOWER, flat, fold, map_arrow, release, saved, ship, slices, utf8, word_hashes
+from twinproof.llm.common import LOWER, delete, flat, fold, forget, map_arrow, release, saved, ship, slices, utf8, word_hashes
 from twinproof.session import shared_dir
 
 _U = np.uint64
@@ -461,31 +460,21 @@ def word_classes(docs: DataFrame, listed: DataFrame, parts: DataFrame, known: Da
         counted = spark.read.parquet(path)
         bigrams = class_pairs(counted, conf.classes)
         if best and likelihood(bigrams) <= likelihood(best[1]):
+            delete(spark, path)
             break
         if best:
-            _delete(spark, best[2])  # nothing reads the earlier sweep any more
+            delete(spark, best[2])  # nothing reads the earlier sweep any more
+        else:
+            forget(spark)  # the start's and the first sweep's shuffles are as large as the texts' places
         best = counted, bigrams, path
         if sweep < conf.refine:
             now = move(counted, bigrams)
     counted, bigrams, path = best
     classes = saved(counted.filter("id >= 0").groupBy("word").agg(F.min("cls").alias("cls")), "classes")
-    _delete(spark, path)
+    delete(spark, path)
     return classes, bigrams
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    old = spark._jvm.org.apache.hadoop.fs.Path(path)
-    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-    _forget(spark)
-
-
-def _forget(spark: SparkSession) -> None:
-    """Spark deletes the shuffle files of finished jobs once the driver's collector finds their plans unused; ask for that between
-    phases, since each phase's shuffle is as large as the texts' places."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def train(bigrams: np.ndarray, known: DataFrame, conf: Settings) -> Model:
     """``known``: word, ending, c (summed training count), cls of every training word, stored."""
     total, vocabulary, ones, twos = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
@@ -541,13 +530,15 @@ def score_documents(docs: DataFrame, conf: Settings = Settings(), folds: int = 7
         "block": F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"),
     })
     stored = saved(block_words(rows, conf, blocks), "block-words")
-    _forget(docs.sparkSession)
+    forget(docs.sparkSession)
     listed, parts = stored.filter("id IS NOT NULL"), stored.filter("id IS NULL")
     words = saved(listed.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("c")).filter("c > 0"), "words")
+    forget(docs.sparkSession)
     classes, bigrams = word_classes(rows, listed, parts, words, conf)
     words = saved(words.join(classes, "word"), "word-classes")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(train(bigrams, words, conf))  # fixed size
+    forget(spark)
     ship(spark)
 
     def score(texts: pa.Table, dictionary: pa.Table) -> pa.Table:
