@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -637,3 +638,29 @@ def test_class_model_frees_each_phase(spark, data, monkeypatch):
     monkeypatch.setattr(class_lm, "forget", lambda spark: asked.append("phase"))
     class_lm.score_documents(table(spark, data, "documents"))
     assert asked[:3] == ["phase", "phase", "phase"] and asked[-1] == "phase" and asked.count("deleted") >= 1
+
+
+# -- memory of a task ----------------------------------------------------------------------------------
+
+
+def test_batches_have_limited_bytes(spark):
+    """A task gets long rows in several batches; rows stay whole, and a limit that the session has is kept."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    def batches():
+        rows = common.map_arrow(spark.range(0, 2000, 1, 1).selectExpr("id", "repeat('0123456789', 1000) AS text"), sizes, "n long, bytes long").collect()
+        assert sum(r.n for r in rows) == 2000
+        return [r.bytes for r in rows]
+
+    old = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        assert max(batches()) < 8 << 20
+        spark.conf.set(key, str(1 << 20))
+        assert max(batches()) < 2 << 20
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)

@@ -27,6 +27,9 @@ LOWER[65:91] += 32
 
 #: Bytes of text that array code works on at a time, so that a task's memory does not grow with its input.
 SLICE = 1 << 20
+#: The same for an Arrow batch, of which a task holds several at once: Spark's buffers, the batch, its texts and the answer.
+BATCH = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -53,9 +56,20 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with this package present on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow`` with this package present on the executors, in batches of about BATCH bytes unless the session has a limit of its own. A worker
+    outlives its task, so a task gives back what it has freed."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH_CONF, None) is None:
+        spark.conf.set(_BATCH_CONF, str(BATCH))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:

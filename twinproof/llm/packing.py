@@ -11,6 +11,7 @@ capacity * log(capacity) whatever the number of documents.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import Remembered, gapless, map_arrow, release, saved, utf8
+from twinproof.llm.common import Remembered, gapless, map_arrow, saved, utf8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -83,10 +84,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_id
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(path, None) or WordIds(path)
-        _encoders[path] = encoder
-        if keep_ids:  # what earlier stages have freed goes first
-            release()
+        encoder = _encoders.get(path) or WordIds(path)
+        if not keep_ids:
+            _encoders[path] = encoder
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
             for i in range(0, len(ids), 500):
@@ -100,6 +100,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_id
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names[: len(columns)])
+        if keep_ids:  # in a pipeline, the worker's next task is another stage's: it needs the memory, not the words
+            del encoder
+            gc.collect()
 
     return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, PIECES + ", ids binary" * keep_ids)
 
@@ -195,11 +198,8 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
             del batch, kept
             yield out
             del out
-        if wide:
-            release()
 
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    wide = "ids" in pieces.columns
     tell_apart = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
     numbered = gapless(pieces, ["length"], tell_apart, "_nth", int(counts.sum())).select(*pieces.columns, "_nth")
     return map_arrow(numbered, run, own + ", sequence_id long, offset long")
