@@ -8,13 +8,14 @@ import zlib
 
 import numpy as np
 import oracle
+import public_tokenizers
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from twinproof.llm import decontamination, jaccard_join, packing, quality_classifier, quality_rules, queries, sharding, url_filter, warc
+from twinproof.llm import decontamination, id_store, jaccard_join, packing, quality_classifier, quality_rules, queries, sharding, url_filter, warc
 from twinproof.llm.common import table
 
 
@@ -279,3 +280,21 @@ def test_url_verdict_equals_a_plain_score(spark, data):
         z = sum(weights[b] for b in r.x) / math.sqrt(len(r.x)) + weights[-1]
         if abs(z) > 1e-9:
             assert got[r.page_id] == ("block" if r.h and z >= 0 else "allow")
+
+
+def test_ids_look_up_each_unit_once():
+    """Repeated units of a slice cost one look-up in Python; ids are the library's, whatever the white space."""
+
+    class Counting(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+    encoder = id_store.UnitIds(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.units = Counting()
+    texts = ["x " + "the old river " * 200 + "end", "", " ", " a", "a  b c", "a ", "x<|endoftext|> y", "é ü　c it's 3,4", "\n a\n"]
+    want = [np.asarray(encoder.library.encode(t, add_special_tokens=False).ids, encoder.kind).tobytes() for t in texts]
+    assert encoder.ids([t.encode() for t in texts]) == want
+    assert Counting.asked < 50 and encoder.ids([]) == []

@@ -22,13 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twinproof.llm.common import map_arrow, saved, slices, utf8
+from twinproof.llm.common import BATCH, map_arrow, saved, slices, utf8
 from twinproof.llm.token_counts import _ODD, _UNIT, _byte_letters
 from twinproof.session import shared_dir
 
@@ -72,12 +73,6 @@ class UnitIds:
     def encode(self, text: bytes) -> bytes:
         return self.array(text.decode()).tobytes()
 
-    def split(self, text: bytes) -> list[bytes] | None:
-        """Units of a text, those after the first one without their space; none if the text has to stay whole."""
-        if not self.plain or any(s in text for s in self.specials):
-            return None
-        return [p.encode() for p in _UNIT.split(text.decode())] if _ODD.search(text) else text.split(b" ")
-
     def word(self, letters: bytes) -> bytes:
         """Ids of letters after a space: one word of the pattern, which the library's model takes as it is."""
         shown = letters.decode() if letters.isascii() else letters.decode("latin-1").translate(self.letters)
@@ -95,18 +90,21 @@ class UnitIds:
         """Make sure that the ids of these units, each after a space, are known."""
         if len(self.units) > self.limit:
             self.units, self.older = {}, self.units
-        new = []
-        for u in units.difference(self.units):
-            known = self.older.get(u)
-            if known is not None:
-                self.units[u] = known
-            elif (letters := u.rstrip(b",.;:!?")).isalpha() or (text := letters.decode()).isalpha() and max(text) < "\u0250":
-                ids = self.units.get(letters) or self.older.get(letters) or self.word(letters)
-                self.units[u] = ids if len(letters) == len(u) else ids + self.tail(u[len(letters) :])
-            elif b" " in u:
-                self.units[u] = self.encode(b" " + u)
-            else:
-                new.append(u)
+        new, known, before, word = [], self.units, self.older.get, self.word
+        for u in units.difference(known):
+            ids = before(u)
+            if ids is None:
+                if (letters := u.rstrip(b",.;:!?")).isalpha() or (text := letters.decode()).isalpha() and max(text) < "\u0250":
+                    if len(letters) == len(u):
+                        ids = word(u)
+                    else:
+                        ids = (known.get(letters) or before(letters) or word(letters)) + self.tail(u[len(letters) :])
+                elif b" " in u:
+                    ids = self.encode(b" " + u)
+                else:
+                    new.append(u)
+                    continue
+            known[u] = ids
         if new:
             ids = self.array((b" " + b" ".join(new)).decode())
             first = np.flatnonzero(self.spaced[ids])
@@ -116,18 +114,39 @@ class UnitIds:
             self.units.update(zip(new, map(data.__getitem__, map(slice, at, at[1:]))))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Serialized ids of each text."""
+        """Serialized ids of each text. Units are told apart and put together as Arrow arrays; Python sees each one of a slice once."""
         out: list[bytes] = []
-        for i, j in slices(texts):
-            parts = [self.split(t) for t in texts[i:j]]
-            self.learn({p for some in parts if some for p in some[1:]})
-            get = self.units.__getitem__
-            for text, some in zip(texts[i:j], parts):
-                if some is None:
-                    out.append(self.encode(text))
-                else:
-                    first = self.encode(some[0]) if some[0] else b""
-                    out.append(first + b"".join(map(get, some[1:])))
+        for i, j in slices(texts, BATCH):
+            out += self._slice_ids(texts[i:j])
+        return out
+
+    def _slice_ids(self, texts: list[bytes]) -> list[bytes]:
+        out, simple, rests, odd, units = [b""] * len(texts), [], [], [], []
+        for k, text in enumerate(texts):
+            if not self.plain or any(s in text for s in self.specials):
+                out[k] = self.encode(text)
+            elif _ODD.search(text):
+                first, *some = [p.encode() for p in _UNIT.split(text.decode())]
+                out[k] = self.encode(first) if first else b""
+                odd.append((k, len(some)))
+                units += some
+            else:
+                first, space, rest = text.partition(b" ")
+                out[k] = self.encode(first) if first else b""
+                if space:
+                    simple.append(k)
+                    rests.append(rest)
+        parts = pc.split_pattern(pa.array(rests, pa.large_binary()), b" ")
+        flat = pa.concat_arrays([parts.flatten(), pa.array(units, pa.large_binary())]).dictionary_encode()
+        distinct = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(set(distinct))
+        found = pa.array(list(map(self.units.__getitem__, distinct)), pa.large_binary()).take(flat.indices)
+        at = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, 8 * found.offset)
+        data = memoryview(found.buffers()[2] or b"")
+        counts = [*pc.list_value_length(parts).to_pylist(), *(n for _, n in odd)]
+        ends = at[np.cumsum([0, *counts])].tolist()
+        for k, begin, end in zip([*simple, *(k for k, _ in odd)], ends, ends[1:]):
+            out[k] += data[begin:end]
         return out
 
 
@@ -196,10 +215,10 @@ def write_store(docs: DataFrame, path: str, end_id: int = 0, dictionary_size: in
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary), write_checksum=True)
         for batch in batches:
             ids, texts = batch.column(0), utf8(batch.column(1))
-            for i in range(0, len(texts), 500):
-                arrays = [x + end for x in encoder.ids(texts[i : i + 500])]
+            for i in range(0, len(texts), 2000):
+                arrays = [x + end for x in encoder.ids(texts[i : i + 2000])]
                 counts = pa.array([len(a) // width for a in arrays], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids.slice(i, 500), counts, pa.array([squeeze.compress(a) for a in arrays], pa.binary())], ["doc_id", "n", "frame"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, 2000), counts, pa.array([squeeze.compress(a) for a in arrays], pa.binary())], ["doc_id", "n", "frame"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     encoded = map_arrow(texts, frames, "doc_id long, n long, frame binary")
