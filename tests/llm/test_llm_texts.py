@@ -664,3 +664,48 @@ def test_batches_have_limited_bytes(spark):
         assert max(batches()) < 2 << 20
     finally:
         spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+
+
+# -- words of packing ----------------------------------------------------------------------------------
+
+WORD_PARTS = [*PARTS, "'", "s", "'LL", "A", "É", "×", "¼", "\xaa", "Į", "İ", "ŉ", "Å", "H̱", "Σ", "’", "<", "|", "<|ENDOFTEXT|>", "\x00", "\xad", "</w>", "x" * 40]
+
+
+@pytest.fixture(scope="module")
+def word_ids():
+    return packing.WordIds(public_tokenizers.path("word_bpe_49k.json"), 50)
+
+
+@given(st.lists(st.lists(st.sampled_from(WORD_PARTS), max_size=9).map("".join), max_size=4))
+@settings(max_examples=500, deadline=None)
+def test_word_ids_are_the_librarys(word_ids, some):
+    want = [np.asarray(word_ids.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+    assert word_ids.ids([t.encode() for t in some]) == want
+
+
+def test_packing_looks_up_each_part_once():
+    """Repeated parts cost one look-up in Python; words that differ in case, signs or white space share theirs."""
+
+    class Counting(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+    encoder = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    encoder.parts = Counting()
+    text = "The old river, the OLD (river)!\nit's 3,4 " * 200
+    assert encoder.ids([text.encode()]) == [np.asarray(encoder.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert 0 < Counting.asked < 50
+
+
+def test_packing_tasks_find_the_workers_words(spark):
+    """The words that a task has learned stay in its worker for the next task."""
+
+    def known(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(packing._encoders)])], ["n"])
+
+    packing.token_pieces(frame(spark, ["a b c"] * 16), public_tokenizers.path("word_bpe_49k.json"), 4096, 1).collect()
+    assert sum(r.n for r in common.map_arrow(spark.range(0, 64, 1, 16), known, "n long").collect()) > 0

@@ -12,68 +12,171 @@ capacity * log(capacity) whatever the number of documents.
 from __future__ import annotations
 
 import gc
+import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import Remembered, gapless, map_arrow, saved, utf8
+from twinproof.llm.common import BATCH, flat, gapless, map_arrow, saved, slices, utf8
+from twinproof.llm.token_counts import _byte_letters
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class WordIds:
-    """Token ids of white-space-separated words, kept as little-endian bytes.
+#: Code points from here on may compose, or change otherwise than one by one in lower case.
+PLAIN = 0x130
+_BLANK, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+def _kind(c: str) -> int:
+    return _BLANK if c in "\t\n\x0b\x0c\r \x85\xa0" else {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(c)[0], _OTHER)
+
+
+KIND = np.array([_kind(chr(c)) for c in range(PLAIN)], np.uint8)
+LOWERED = np.array([ord(chr(c).lower()) for c in range(PLAIN)], np.uint16)
+# The same for bytes; a byte of a longer character is replaced later, if at all.
+BYTE_KIND = np.where(np.arange(256) < 128, KIND[:256], _LETTER).astype(np.uint8)
+BYTE_LOWERED = np.where(np.arange(256) < 128, LOWERED[:256], np.arange(256)).astype(np.uint8)
 
-    For a byte-level BPE with word ends that lower-cases, composes (NFC) and drops white space, as ``PATTERN`` splits it. Its
-    normalizer costs more than its merges, so words of characters that need no composing go to the model directly;
-    all other words, and whatever may hold a special string, go through the whole library.
+
+def spaced_parts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in lower case with a space between any two parts, and where each begins (one more entry for the end).
+
+    ``data`` holds UTF-8 texts which a blank ends, ``at`` where they begin and the end. The parts are the matches of
+    ``'s|'t|'re|'ve|'m|'ll|'d|[letters]+|[number]|[other but white space]+``. A word with a character from PLAIN on or with ``<|`` stays as it is.
     """
+    kind, low = BYTE_KIND[data], BYTE_LOWERED[data]
+    lead = np.flatnonzero((data >= 0xC2) & (data < 0xC5))
+    code = (data[lead].astype(np.uint16) & 0x1F) << 6 | data[lead + 1] & 0x3F
+    odd = data >= 0xC5
+    odd[lead[code >= PLAIN]] = True
+    odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+    lead, code = lead[code < PLAIN], code[code < PLAIN]
+    kind[lead] = kind[lead + 1] = KIND[code]
+    low[lead], low[lead + 1] = LOWERED[code] >> 6 | 0xC0, LOWERED[code] & 0x3F | 0x80
+    blank = kind == _BLANK
+    low[blank] = 32
+    cut = np.zeros(len(data), bool)
+    cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+    cut[lead + 1] = False
+    # Short forms: an apostrophe that no other sign stands before, and what follows it.
+    short = np.flatnonzero((data[1:-2] == ord("'")) & (kind[:-3] != _OTHER)) + 1
+    if len(data) > 2 and data[0] == ord("'"):
+        short = np.append(short, 0)
+    one, two = low[short + 1], low[short + 2]
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    for these, n in ((short[np.isin(one, [*b"stmd"])], 2), (short[long], 3)):
+        cut[these + 1] = False
+        cut[np.minimum(these + n, len(data) - 1)] = True
+    if odd.any():
+        word = np.cumsum(BYTE_KIND[data] == _BLANK, dtype=np.int32)
+        whole = np.zeros(int(word[-1]) + 1, bool)
+        whole[word[odd]] = True
+        whole = whole[word] & (BYTE_KIND[data] != _BLANK)
+        blank &= ~whole
+        cut[1:] &= ~(whole[1:] & whole[:-1])
+        low[whole] = data[whole]
+    cut &= ~blank
+    cut[1:] &= ~blank[:-1]
+    cuts = np.flatnonzero(cut)
+    text = np.ones(len(data) + len(cuts), bool)
+    text[cuts + np.arange(len(cuts))] = False
+    out = np.full(len(text), 32, np.uint8)
+    out[text] = low
+    return out, at + np.searchsorted(cuts, at)
 
-    # The word pattern of the vocabulary file.
-    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
+
+class WordIds:
+    """Token ids of texts, kept as little-endian bytes.
+
+    For a byte-level BPE with word ends that lower-cases, composes (NFC) and drops white space, and whose word pattern is that of
+    ``spaced_parts``. Its normalizer and pattern cost more than its merges, so texts are cut into parts as arrays, and the parts that are new in some
+    texts go to the model in few calls: there a token with a word end ends a part. Words whose characters may compose, and those that may
+    hold a special string, go through the whole library.
+    """
 
     def __init__(self, path: str, limit: int = 200_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use the cores
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model.tokenize
-        self.limit, self.parts = limit, {}
-        self.words = Remembered(self.word, limit)
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.letters = {chr(b): chr(b) for b in shown} | {chr(b): chr(256 + i) for i, b in enumerate(hidden)}
-        self.letters = str.maketrans(self.letters)
-
-    def word(self, w: bytes) -> bytes:
-        text = w.decode()
-        if max(text) >= "\u0130" or "<|" in text:
-            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        out = []
-        for part in self.PATTERN.findall(text.lower()):
-            if (ids := self.parts.get(part)) is None:
-                shown = part.encode().decode("latin-1").translate(self.letters)
-                ids = self.parts[part] = np.asarray([t.id for t in self.model(shown)], "<u4").tobytes()
-            out.append(ids)
-        return b"".join(out)
+        self.model = Tokenizer(self.library.model)
+        self.model.pre_tokenizer = Split(" ", "removed")
+        self.last = np.zeros(self.library.get_vocab_size(), bool)
+        self.last[[i for t, i in self.library.get_vocab().items() if t.endswith(self.library.model.end_of_word_suffix)]] = True
+        self.letters = str.maketrans({chr(b): c for c, b in _byte_letters().items() if b != 32})
+        # Ids by part in two generations, so that what is in use stays.
+        self.limit, self.parts, self.older = limit, {}, {}
+
+    def learn(self, parts: list[bytes]) -> None:
+        """Make sure that the ids of these parts are known."""
+        if len(self.parts) > self.limit:
+            self.parts, self.older = {}, self.parts
+        known, before, new, odd = self.parts, self.older.get, [], []
+        known[b""] = b""
+        for p in filterfalse(known.__contains__, parts):
+            if (ids := before(p)) is not None:
+                known[p] = ids
+            elif b"<|" in p or not p.isascii() and max(p.decode()) >= chr(PLAIN):
+                odd.append(p)
+            else:
+                new.append(p)
+        for i in range(0, len(new), 10_000):
+            self.learn_plain(new[i : i + 10_000])
+        for i in range(0, len(odd), 1000):
+            some = odd[i : i + 1000]
+            found = self.library.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
+            known.update(zip(some, (np.asarray(f.ids, "<u4").tobytes() for f in found)))
+
+    def learn_plain(self, parts: list[bytes]) -> None:
+        shown = b" ".join(parts).decode("latin-1").translate(self.letters)
+        [found] = self.model.encode_batch_fast([shown], add_special_tokens=False)
+        ids = np.asarray(found.ids, "<u4")
+        ends = 4 * np.flatnonzero(self.last[ids]) + 4
+        if len(ends) != len(parts):
+            raise ValueError("parts and their last tokens do not agree")
+        at, data = [0, *ends.tolist()], ids.tobytes()
+        self.parts.update(zip(parts, map(data.__getitem__, map(slice, at, at[1:]))))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text."""
-        get = self.words.__getitem__
-        out = [b"".join(map(get, t.split())) for t in texts]
-        self.words.trim()
-        if len(self.parts) > self.limit:
-            self.parts.clear()
+        """Ids of each text. Parts are told apart and put together as arrays; Python sees each one of a slice once."""
+        out: list[bytes] = []
+        for i, j in slices(texts, BATCH):
+            out += self._slice_ids(texts[i:j])
         return out
 
+    def _slice_ids(self, texts: list[bytes]) -> list[bytes]:
+        data, at = spaced_parts(*flat([t + b" " for t in texts]))
+        shown = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+        parts = pc.split_pattern(shown, b" ")
+        every = parts.flatten().dictionary_encode()
+        distinct = every.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(distinct)
+        found = pa.array(list(map(self.parts.__getitem__, distinct)), pa.large_binary()).take(every.indices)
+        begins = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, 8 * found.offset)
+        ids = memoryview(found.buffers()[2] or b"")
+        ends = begins[np.cumsum([0, *pc.list_value_length(parts).to_pylist()])].tolist()
+        return [bytes(ids[begin:end]) for begin, end in zip(ends, ends[1:])]
+
 
 _encoders: dict[str, WordIds] = {}
 
 
+def _encoder(path: str) -> WordIds:
+    """The worker's own, which its next task finds again; a task's function would carry a copy of ``_encoders``."""
+    if path not in _encoders:
+        _encoders[path] = WordIds(path, 500_000)
+    return _encoders[path]
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
     """One row per piece of at most ``capacity`` ids; with ``keep_ids`` the ids too, as little-endian bytes.
 
@@ -84,14 +187,12 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_id
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(path) or WordIds(path)
-        if not keep_ids:
-            _encoders[path] = encoder
+        encoder = WordIds(path) if keep_ids else _encoder(path)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
-            for i in range(0, len(ids), 500):
+            for i, j in slices(texts, BATCH):
                 rows = []
-                for doc, tokens in zip(ids[i : i + 500], encoder.ids(texts[i : i + 500])):
+                for doc, tokens in zip(ids[i:j], encoder.ids(texts[i:j])):
                     tokens += end
                     for k, at in enumerate(range(0, len(tokens), step)):
                         part = tokens[at : at + step]
