@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinproof.llm.common import BATCH, flat, gapless, map_arrow, saved, slices, utf8
+from twinproof.llm.common import BATCH, SLICE, flat, gapless, map_arrow, saved, slices, utf8
 from twinproof.llm.token_counts import _byte_letters
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -129,8 +129,8 @@ class WordIds:
                 odd.append(p)
             else:
                 new.append(p)
-        for i in range(0, len(new), 10_000):
-            self.learn_plain(new[i : i + 10_000])
+        for i in range(0, len(new), 2000):
+            self.learn_plain(new[i : i + 2000])
         for i in range(0, len(odd), 1000):
             some = odd[i : i + 1000]
             found = self.library.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
@@ -184,13 +184,13 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_id
     piece may be shorter. ``path`` names a tokenizer that drops white space.
     """
     end = np.asarray([end_id], "<u4").tobytes()
-    step = 4 * capacity
+    step, most = 4 * capacity, SLICE if keep_ids else BATCH  # in a pipeline, earlier stages' memory is still there
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordIds(path) if keep_ids else _encoder(path)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), utf8(batch.column(1))
-            for i, j in slices(texts, BATCH):
+            for i, j in slices(texts, most):
                 rows = []
                 for doc, tokens in zip(ids[i:j], encoder.ids(texts[i:j])):
                     tokens += end
