@@ -258,6 +258,59 @@ def test_jaccard_odd_texts(spark, odd, none):
     assert jaccard_join.jaccard_components(none).collect() == []
 
 
+def test_heaps_of_near_copies_are_not_shipped_for_every_pair(spark, monkeypatch):
+    """Twelve copies of a text, each with one word of its own: what the search reads is a few times all shingles, not a set for each pair."""
+    rnd = random.Random(5)
+    texts = []
+    for g in range(8):
+        base = [f"g{g}w{rnd.randint(0, 10**6)}" for _ in range(120)]
+        for k in range(12):
+            copy = list(base)
+            copy[9 * k + 5] = f"edit{k}of{g}"
+            texts.append(" ".join(copy))
+    texts = list(enumerate(texts))
+    read, search = [], jaccard_join.search_cells
+
+    def spy(rows, keys, percent):
+        read.append(rows.agg(F.sum(F.length("tokens"))).first()[0] or 0)
+        return search(rows, keys, percent)
+
+    monkeypatch.setattr(jaccard_join, "search_cells", spy)
+    got = jaccard_join.jaccard_components(frame(spark, [t for _, t in texts])).collect()
+    assert collections.Counter(map(tuple, got)) == groups_by_brute_force(texts)
+    assert sum(read) <= 4 * 8 * sum(r.n_shingles for r in got)
+
+
+def test_jaccard_groups_in_many_rounds(spark, monkeypatch):
+    """Rounds of a few sets each, cells for nearly all buckets, and records with more partners than a block gives at first."""
+    for name, value in (("ROUND", 20_000), ("ROUND_PARTS", 10**6), ("SMALL", 2), ("BLOCK", 40), ("PARTNERS", 1)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    texts = list(enumerate(copies(3)))
+    got = jaccard_join.jaccard_components(frame(spark, [t for _, t in texts])).collect()
+    assert collections.Counter(map(tuple, got)) == groups_by_brute_force(texts)
+
+
+@given(st.integers(0, 2**32), st.sampled_from([50, 80, 90]))
+@settings(max_examples=100, deadline=None)
+def test_sketches_rule_out_no_match(seed, percent):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**64, rng.choice([1, 2, 30, 64, 65, 300]), np.uint64)
+    sets = [np.unique(np.append(base[rng.random(len(base)) < 0.97], rng.integers(0, 2**64, rng.integers(0, 4), np.uint64))) for _ in range(12)]
+    sets = [x for x in sets if len(x)] + [np.unique(rng.integers(0, 2**64, 200, np.uint64))]
+    matches = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))}
+    sizes, sketches = [len(x) for x in sets], [jaccard_join.sketch(x) for x in sets]
+    left, right = np.triu_indices(len(sets), 1)
+    n = np.array(sizes, np.int64)
+    ok = jaccard_join.can_match(n[left], n[right], [sketches[i] for i in left], [sketches[i] for i in right], percent)
+    allowed = set(zip(left[ok].tolist(), right[ok].tolist()))
+    cell = jaccard_join.Sketches(sizes, list(range(len(sets))), [True] * len(sets), sketches)
+    found = [tuple(sorted((q, r))) for q, r, more in cell.pairs(percent, 100) if not more]
+    assert matches <= allowed and sorted(found) == sorted(allowed)
+    assert percent < 90 or all((i, len(sets) - 1) not in allowed for i in range(len(sets) - 1))
+    partners = collections.Counter(q for q, _, _ in cell.pairs(percent, 100))
+    assert [(q, more) for q, _, more in cell.pairs(percent, 1)] == [(q, k > 1) for q, k in partners.items()]
+
+
 @given(st.lists(st.lists(st.integers(0, 30), min_size=1, max_size=25, unique=True), min_size=2, max_size=12), st.sampled_from([50, 80, 90]))
 @settings(max_examples=200, deadline=None)
 def test_search_in_a_cell(sets, percent):
