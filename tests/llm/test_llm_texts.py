@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from twinproof.llm import class_lm, common, decontamination, jaccard_join, packing, quality_classifier, quality_rules, queries, token_counts
+from twinproof.llm import class_lm, common, components, decontamination, jaccard_join, packing, quality_classifier, quality_rules, queries, token_counts
 from twinproof.llm.common import table
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -281,8 +281,21 @@ def test_heaps_of_near_copies_are_not_shipped_for_every_pair(spark, monkeypatch)
     assert sum(read) <= 4 * 8 * sum(r.n_shingles for r in got)
 
 
+def test_components_in_driver_and_in_jobs(spark, monkeypatch):
+    """A path, a star, loops and repeats: the smallest node either way, and few edges take no more jobs than their tables."""
+    edges = [(k, k + 1) for k in range(100, 140)] + [(-5, k) for k in range(20)] + [(7, 7), (3, -5), (2**62, -(2**62)), (9_000, 9_000)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {**{k: 100 for k in range(100, 141)}, **{k: -5 for k in (-5, *range(20))}, 2**62: -(2**62), -(2**62): -(2**62)}
+    few = components.components(df, "a", "b")
+    assert {tuple(r) for r in few.collect()} == set(want.items()) and few.count() == len(want)
+    monkeypatch.setattr(components, "LOCAL", 0)
+    assert {tuple(r) for r in components.components(df, "a", "b").collect()} == set(want.items())
+    assert components.components(df.limit(0), "a", "b").count() == 0
+
+
 def test_jaccard_groups_in_many_rounds(spark, monkeypatch):
     """Rounds of a few sets each, cells for nearly all buckets, and records with more partners than a block gives at first."""
+    monkeypatch.setattr(components, "LOCAL", 0)
     for name, value in (("ROUND", 20_000), ("ROUND_PARTS", 10**6), ("SMALL", 2), ("BLOCK", 40), ("PARTNERS", 1)):
         monkeypatch.setattr(jaccard_join, name, value)
     texts = list(enumerate(copies(3)))

@@ -47,7 +47,7 @@ MU = 0.01
 #: Bits of a sketch, at most.
 SKETCH = 1 << 16
 #: Partners of a record that a pair of blocks gives at first; with more of them the cells are compared again, for 16 times as many.
-PARTNERS = 16
+PARTNERS = 64
 #: Bytes that a round may write at least, and else so many parts of all documents' shingles (of 8 bytes each).
 ROUND = 64 << 20
 ROUND_PARTS = 4
